@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutflow.llm import decontamination, exact_dedup, langid, sentencepiece_codec, simhash
+from boutflow.llm import decontamination, exact_dedup, langid, sentencepiece_codec, sharding, simhash, token_counts, url_filter
 from boutflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,59 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _captures_and_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages table has no dates and no list; both are derived from it.
+
+    A page was fetched on day ``page_id % 365``. Every fifth page says something of its host, on day
+    ``page_id * 7 % 365``; every tenth speaks for the domain above the host.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", (F.col("page_id") % 365).cast("int"))
+    host = url_filter.host_of(F.col("url"))
+    domain = F.when(F.col("page_id") % 10 == 0, F.regexp_replace(host, r"^[^.]*\.", "")).otherwise(host)
+    entries = pages.where("page_id % 5 = 0").select(
+        F.col("page_id").alias("entry_id"), domain.alias("domain"), (F.col("page_id") * 7 % 365).cast("int").alias("day"),
+        F.when(F.col("page_id") % 3 == 0, "allow").otherwise("block").alias("action"),
+    )
+    return captures, entries
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures, entries = _captures_and_entries(spark, sf_dir)
+    out = url_filter.decide(captures, entries)
+    return out.select("page_id", "host", "day", "listed", "action", "valid_from", "valid_to", F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"))
+
+
+SQL["op2_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
+         CAST(page_id % 365 AS INTEGER) AS day
+  FROM pages
+), e AS (
+  SELECT page_id AS entry_id, CASE WHEN page_id % 10 = 0 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END AS domain,
+         CAST(page_id * 7 % 365 AS INTEGER) AS day, CASE WHEN page_id % 3 = 0 THEN 'allow' ELSE 'block' END AS action
+  FROM p WHERE page_id % 5 = 0
+), last AS (
+  SELECT domain, day, arg_max(action, entry_id) AS action FROM e WHERE domain IS NOT NULL GROUP BY domain, day
+), held AS (
+  SELECT domain, action, day AS valid_from, lead(day) OVER (PARTITION BY domain ORDER BY day) AS valid_to FROM last
+), met AS (
+  SELECT p.page_id, h.domain, h.action, h.valid_from, h.valid_to,
+         row_number() OVER (PARTITION BY p.page_id ORDER BY length(h.domain) DESC) AS rn
+  FROM p JOIN held AS h ON (p.host = h.domain OR ends_with(p.host, '.' || h.domain))
+   AND h.valid_from <= p.day AND (h.valid_to IS NULL OR p.day < h.valid_to)
+)
+SELECT p.page_id, p.host, p.day, m.domain AS listed, m.action, m.valid_from, m.valid_to, coalesce(m.action = 'block', false) AS blocked
+FROM p LEFT JOIN met AS m ON p.page_id = m.page_id AND m.rn = 1
+"""
+
+
+@query
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_copies(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -32,6 +85,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.limits(token_counts.histogram(counted))
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
