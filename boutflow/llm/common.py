@@ -18,16 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster shares, and read from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) is a temporary one made.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the session's ``spark.checkpoint.dir``; only where that is unset (tests on one machine), a temporary one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder that the cluster shares, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

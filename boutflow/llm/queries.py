@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutflow.llm import decontamination, exact_dedup, langid, sentencepiece_codec, sharding, simhash, token_counts, toxicity, url_filter
+from boutflow.llm import decontamination, exact_dedup, langid, secrets_crf, sentencepiece_codec, sharding, simhash, token_counts, toxicity, url_filter
 from boutflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_copies(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets_crf.find_secrets(docs, secrets_crf.fit(docs))
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -94,19 +95,20 @@ class Codec:
         return " ".join([*ids, str(self.model.eos_id())]), "".join(decoded)
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: the id column, ``token_ids`` (int array, end id last) and ``decoded``."""
+def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: ``keep`` (the id column), ``token_ids`` (ints, the end id last) and ``decoded``."""
 
     def make():
         codec = Codec(model_path)
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             out = [codec.both(t) for t in texts(batch, text_col)]
-            return {"token_ids": pa.array([[int(i) for i in x.split(" ")] for x, _ in out], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in out], pa.string())}
+            return {"token_ids": pa.array([np.array(x.split(" "), np.int32) for x, _ in out], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in out], pa.string())}
 
         return work
 
-    return per_batch(docs.select(id_col, text_col), make, [id_col], [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
+    keep = [id_col] if keep is None else keep
+    return per_batch(docs.select(*dict.fromkeys([*keep, text_col])), make, keep, [("token_ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())])
 
 
 def digest_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
