@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ from boutflow.llm.decontamination import words
 
 BUCKETS = 1 << 18
 #: Labelled documents that the fit takes at most.
-MAX_ROWS = 10_000
+MAX_ROWS = 6_000
 CATEGORIES = ("low_quality", "toxic", "toxic_low_quality")
 FOLDS = 3
 STEPS = 60
@@ -68,26 +69,27 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
                 _KNOWN[w] = b
         found.append(b)
     n = np.fromiter(counts.values(), np.float64, len(counts))
-    at = np.fromiter(chain.from_iterable(found), np.int64)
-    return at, np.repeat(np.sqrt(n / max(1.0, n.sum())), np.fromiter(map(len, found), np.int64, len(found)))
+    at = np.fromiter(chain.from_iterable(found), np.int32)
+    return at, np.repeat(np.sqrt(n / max(1.0, n.sum())).astype(np.float32), np.fromiter(map(len, found), np.int64, len(found)))
 
 
 class Rows:
     """Sparse rows of text features, with dense columns for earlier categories."""
 
-    def __init__(self, found: list[tuple[np.ndarray, np.ndarray]], dense: np.ndarray):
-        self.sizes = np.array([len(a) for a, _ in found], np.int64)
-        self.row = np.repeat(np.arange(len(found)), self.sizes)
-        self.at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
-        self.value = np.concatenate([v for _, v in found]) if found else np.zeros(0)
-        self.dense = dense
+    def __init__(self, sizes: np.ndarray, at: np.ndarray, value: np.ndarray, dense: np.ndarray | None = None):
+        """``sizes``: features of each row; ``at`` and ``value``: all rows' features, one row after the other."""
+        self.sizes, self.at, self.value = sizes, at, value
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.dense = np.zeros((len(sizes), 0)) if dense is None else dense
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Rows:
+        found = [features(t) for t in texts]
+        return cls(np.array([len(a) for a, _ in found], np.int64), np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found]))
 
     def take(self, mask: np.ndarray) -> Rows:
-        new = object.__new__(Rows)
         held = mask[self.row]
-        new.sizes, new.at, new.value, new.dense = self.sizes[mask], self.at[held], self.value[held], self.dense[mask]
-        new.row = np.repeat(np.arange(len(new.sizes)), new.sizes)
-        return new
+        return Rows(self.sizes[mask], self.at[held], self.value[held], self.dense[mask])
 
     def only(self, places: np.ndarray) -> Rows:
         """With those features that have a place in ``places`` (else -1), under their places."""
@@ -151,13 +153,12 @@ class Linear:
 
 
 class Chain:
-    def __init__(self, categories: tuple[str, ...], found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+    def __init__(self, categories: tuple[str, ...], rows: Rows, labels: np.ndarray):
         """``labels``: row times category, 0 or 1. Rows come in an order that doesn't depend on the labels."""
         self.categories = categories
         self.models: list[Linear] = []
-        rows = Rows(found, np.zeros((len(found), 0)))
-        fold = np.arange(len(found)) % FOLDS
-        for k in range(len(categories) if found else 0):
+        fold = np.arange(len(labels)) % FOLDS
+        for k in range(len(categories) if len(labels) else 0):
             y = labels[:, k].astype(float)
             self.models.append(Linear(rows, y))
             if k + 1 < len(categories):
@@ -168,7 +169,9 @@ class Chain:
                 rows = rows.with_column(out)
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        rows = Rows([features(t) for t in texts], np.zeros((len(texts), 0)))
+        if not texts:
+            return np.zeros((0, len(self.categories)))
+        rows = Rows.of(texts)
         out = np.zeros((len(texts), len(self.categories)))
         for k, model in enumerate(self.models):
             out[:, k] = model.probability(rows)
@@ -185,17 +188,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             found = [features(t) for t in batch.column(0).to_pylist()]
-            return {"at": pa.array([a for a, _ in found], pa.list_(pa.int64())), "value": pa.array([v for _, v in found], pa.list_(pa.float64()))}
+            return {"at": pa.array([a for a, _ in found], pa.list_(pa.int32())), "value": pa.array([v for _, v in found], pa.list_(pa.float32()))}
 
         return work
 
     labelled = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).join(chosen, "id").select("text", "id", "quality", "toxic")
-    sparse = per_batch(labelled, make, ["id", "quality", "toxic"], [("at", T.ArrayType(T.LongType())), ("value", T.ArrayType(T.DoubleType()))])
-    got = sparse.toArrow()  # max_rows rows, but for repeated ids
-    order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    quality, toxic = (got.column(c).to_numpy()[order] for c in ("quality", "toxic"))
-    found = [(np.array(got.column("at")[i].as_py(), np.int64), np.array(got.column("value")[i].as_py())) for i in order]
-    return Chain(CATEGORIES, found, np.column_stack([quality == 0, toxic == 1, (quality == 0) & (toxic == 1)]).astype(int))
+    sparse = per_batch(labelled, make, ["id", "quality", "toxic"], [("at", T.ArrayType(T.IntegerType())), ("value", T.ArrayType(T.FloatType()))])
+    got = sparse.toArrow().sort_by([(c, "ascending") for c in ("id", "quality", "toxic")])  # max_rows rows, but for repeated ids
+    flat = lambda c: got.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    quality, toxic = (got.column(c).to_numpy() for c in ("quality", "toxic"))
+    rows = Rows(pc.list_value_length(got.column("at")).to_numpy().astype(np.int64), flat("at"), flat("value"))
+    return Chain(CATEGORIES, rows, np.column_stack([quality == 0, toxic == 1, (quality == 0) & (toxic == 1)]).astype(int))
 
 
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
