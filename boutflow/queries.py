@@ -177,7 +177,8 @@ def ranking_table(t: Tables) -> DataFrame:
 
 @query
 def upsets(t: Tables) -> DataFrame:
-    return ranking.surprises(_singles(t), _ratings(t, 2000))
+    singles = _singles(t)
+    return ranking.surprises(singles, ranking.run(t.spark, singles.where(F.year("bout_date") == 2000)))
 
 
 @query

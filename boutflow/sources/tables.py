@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutflow.shipping import ship
+
 #: Organisations of the cohort, and the country that counts as home.
 COHORT_ORGS = ("BUILDING", "MACHINERY")
 HOME = "NATION_0"
@@ -22,6 +24,7 @@ class Tables:
     """Frames over one folder of tables; each is planned once for a session's query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        ship(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
