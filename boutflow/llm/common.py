@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boutflow.shipping import ship
+
 #: White space of the text contracts: space and the control characters 9 to 13.
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

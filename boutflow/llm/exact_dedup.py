@@ -65,7 +65,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     order = F.struct(-F.col("__chars"), F.col("__id").isNull(), F.col("__id"))
     groups = rows.where("__full is not null").groupBy("__full").agg(F.count(F.lit(1)).alias("__size"), F.min(order).alias("__best"))
     groups = groups.select(F.col("__full").alias("__group"), "__size", (-F.col("__best.col1")).alias("__most"), F.col("__best.__id").alias("__keep"))
-    joined = rows.join(groups, F.col("__full") == F.col("__group"), "left")
+    joined = rows.join(groups, F.col("__sha256") == F.col("__group"), "left")  # lone rows too have keys of their own
     alone = F.col("__group").isNull()
     best = ~alone & (F.col("__chars") == F.col("__most")) & F.col("__id").eqNullSafe(F.col("__keep"))
     # repeats of one id: only the best rows of a group meet here, one from each set of copies but for repeats
