@@ -39,6 +39,17 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
 
 
+#: Rows that Spark sends to a Python worker at once, at most: whole texts can be long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows per Arrow batch to BATCH_ROWS."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def per_batch(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]],
@@ -54,11 +65,10 @@ def per_batch(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):  # bounds what is held as Python objects
-                part = batch.slice(start, 1000)
-                new = work(part)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(new[n] for n, _ in added)], names=[f.name for f in schema])
+            new = work(batch)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(new[n] for n, _ in added)], names=[f.name for f in schema])
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -68,10 +78,9 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                yield part.filter(pa.array(work(part), pa.bool_()))
+            yield batch.filter(pa.array(work(batch), pa.bool_()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
 
 

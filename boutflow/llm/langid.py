@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutflow.llm.common import cut_lineage, per_batch
+from boutflow.llm.common import bounded_batches, cut_lineage, per_batch
 
 BUCKETS = 1 << 15
 NGRAMS = (1, 2, 3)
@@ -88,6 +88,7 @@ def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at], pa.int32()), pa.array([seen[lang], *c[at]], pa.int64())], names=["lang", "bucket", "n"])
 
+    bounded_batches(rows.sparkSession)
     parts = rows.select(text_col, lang_col).where(F.col(lang_col).isNotNull()).mapInArrow(count, "lang string, bucket int, n long")
     summed = cut_lineage(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     if (n_languages := summed.where("bucket = -1").count()) > MAX_LANGUAGES:
