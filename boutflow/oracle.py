@@ -279,3 +279,12 @@ regexp_extract(pair, '^([^=]*)', 1) AS parameter, regexp_extract(pair, '=(.*)$',
 SELECT page_id, url, CASE WHEN len(q) = 0 THEN NULL ELSE unnest(CASE WHEN len(q) = 0 THEN [NULL] ELSE q END) END AS pair
 FROM (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda p: p <> '') AS q FROM pages))""",
 }
+
+#: Columns whose type the other engine widens (sums, lengths, row numbers), as the queries have them.
+_TYPES = {
+    "neighbours_reverse": {"n_bouts": "BIGINT"}, "missing_ids": {"appearances": "BIGINT"}, "missing_buckets": {"total": "BIGINT", "least": "BIGINT", "most": "BIGINT"},
+    "outside_buckets": {"total": "BIGINT"}, "workload_by_org": {"total": "BIGINT"}, "year_stats": {"n_bouts": "BIGINT", "cohort_bouts": "BIGINT"}, "network_links": {"n_listed": "BIGINT"},
+    "mixed_probability": {"size": "INTEGER"}, "team_counts": {"size": "INTEGER"}, "team_ends": {"size": "INTEGER", "rank": "INTEGER"}, "partners": {"appearances": "BIGINT"},
+}
+for _name, _columns in _TYPES.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _columns.items())}) FROM ({SQL[_name]})"
