@@ -47,7 +47,7 @@ THRESHOLD = 0.35
 
 #: What tasks know of words; emptied at MAX_WORDS.
 _KNOWN: dict[bytes, tuple[int, ...]] = {}
-MAX_WORDS = 300_000
+MAX_WORDS = 100_000
 
 
 def _buckets(word: bytes) -> tuple[int, ...]:
