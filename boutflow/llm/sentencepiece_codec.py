@@ -103,7 +103,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             out = [codec.both(t) for t in texts(batch, text_col)]
-            return {"token_ids": pa.array([np.array(x.split(" "), np.int32) for x, _ in out], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in out], pa.string())}
+            return {"token_ids": pa.array([np.fromstring(x, np.int32, sep=" ") for x, _ in out], pa.list_(pa.int32())), "decoded": pa.array([d for _, d in out], pa.string())}
 
         return work
 
