@@ -132,3 +132,29 @@ SELECT doc_id, keep_id, group_size, rn = 1 AS kept, sha256(n) AS text_sha256 FRO
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontamination.summary(found)
+
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\x00-\x7F])+')"
+
+SQL["op10_decontamination"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS words
+  FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)
+), places AS (
+  SELECT r, n, k, array_to_string(w[k : k + n - 1], ' ') AS words
+  FROM (SELECT d.r, s.n, d.w, unnest(range(1, len(d.w) - s.n + 2)) AS k FROM d CROSS JOIN (SELECT DISTINCT n FROM windows) AS s WHERE len(d.w) >= s.n)
+), found AS (
+  SELECT p.r, p.k, p.n, v.item FROM places AS p JOIN windows AS v ON p.n = v.n AND p.words = v.words
+), hits AS (
+  SELECT r, count(DISTINCT pos) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS pos FROM found) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(x.n_items, 0) AS n_items, sha256(coalesce(x.names, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hits AS h ON d.r = h.r LEFT JOIN items AS x ON d.r = x.r
+"""

@@ -401,7 +401,7 @@ def test_queries_against_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     for name, sql in SQL.items():
         got = QUERIES[name](spark, SF)
