@@ -31,8 +31,8 @@ def normalised(text: Column) -> Column:
     return reduce(lambda t, c: F.replace(t, F.lit(c)), SPACES, F.coalesce(text, F.lit("")))
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    norm = docs.withColumn("__norm", normalised(F.col(text_col)))
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    norm = docs.withColumn("__norm", normalised(F.col(text)))
     return norm.withColumns({"__length": F.octet_length("__norm"), "__prefix": F.xxhash64(F.substring("__norm", 1, PREFIX))})
 
 
@@ -50,13 +50,12 @@ def refine(docs: DataFrame, text_col: str = "text", hash_all: bool = False) -> D
     """
     keyed = _keyed(docs, text_col)
     keep = [*docs.columns, "__length", "__prefix"]
-    sha = F.sha2("__norm", 256)
     if hash_all:  # the text itself need not cross the network then
-        rows = keyed.select(*[c for c in keep if c != text_col], F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__chars"), sha.alias("__sha256"))
+        rows = keyed.select(*[c for c in keep if c != text_col], F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__chars"), F.sha2("__norm", 256).alias("__sha256"))
         return rows.join(survivors(keyed), ["__length", "__prefix"], "left").withColumn("__full", F.when(F.col("__survives"), F.col("__sha256")))
-    rows = keyed.select(*keep, "__norm").join(survivors(keyed), ["__length", "__prefix"], "left")
-    chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    return rows.withColumn("__full", F.when(F.col("__survives"), sha)).withColumn("__chars", chars).drop("__norm")
+    rows = keyed.select(*keep).join(survivors(keyed), ["__length", "__prefix"], "left")
+    text = F.col(text_col)  # normalised anew on this side, so that one copy of the text crosses the network
+    return rows.withColumns({"__full": F.when(F.col("__survives"), F.sha2(normalised(text), 256)), "__chars": F.char_length(F.coalesce(text, F.lit("")))})
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,9 +78,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs``, with all its columns, for each class of equal texts."""
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").alias("__text"), F.col(f"`{id_col}`").alias("__id"))
-    rows = refine(inner, "__text")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    rows = refine(inner, f"__row.`{text_col}`")
     alone = rows.where("__full is null").select("__row.*")
-    order = F.struct(-F.col("__chars"), F.col("__id").isNull(), F.col("__id"), F.xxhash64("__text"))
+    row = F.col("__row")
+    order = F.struct(-F.col("__chars"), row[id_col].isNull(), row[id_col], F.xxhash64(row[text_col]))
     kept = rows.where("__full is not null").groupBy("__full").agg(F.min_by("__row", order).alias("__row")).select("__row.*")
     return alone.unionByName(kept)
