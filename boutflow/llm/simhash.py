@@ -194,7 +194,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     bits are verified on the shingle sets.
 
     Pairs are taken in two passes, so that a group of near copies does not give all its pairs. First each
-    list's members meet its smallest member only, and what is verified is joined to components. Then
+    list's members meet one of them only, chosen by a hash that differs from list to list, so that a group's
+members meet many others; what is verified is joined to components. Then
     members of a list that are still in different components meet. Two members of one component need not:
     their link changes nothing.
     """
@@ -215,7 +216,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
     rows = cut_lineage(wide.groupBy("key").agg(F.any_value("fp").alias("fp"), F.any_value("lists").alias("lists")))
     posted = rows.select("key", F.posexplode("lists").alias("choice", "bytes"))
     window = Window.partitionBy("choice", "bytes")
-    shared = cut_lineage(posted.withColumns({"n": F.count(F.lit(1)).over(window), "head": F.min("key").over(window)}).where("n > 1").drop("n"))
+    shared = cut_lineage(posted.withColumns({"n": F.count(F.lit(1)).over(window), "first": F.min(F.struct(F.xxhash64("choice", "key"), "key")).over(window)}).where("n > 1").select("choice", "bytes", "key", F.col("first.key").alias("head")))
     prints = lambda name: rows.select(F.col("key").alias(name), F.col("fp").alias(f"fp_{name}"))
     bits = sum(F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(WIDE))
 
