@@ -140,7 +140,9 @@ WIDE = 8
 KEY_BYTES, KEYS = 3, 105
 #: Bits of 512 beyond which a pair is not looked at: at a similarity of 0.8, 77 differ on average, and
 #: the standard deviation is 8.
-WIDE_BITS = 104
+WIDE_BITS = 96
+#: Passes in which a list's members meet one of them only.
+HEAD_TURNS = 3
 
 
 def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
@@ -215,27 +217,29 @@ members meet many others; what is verified is joined to components. Then
     wide = per_batch(sources, make, ["key"], [("fp", T.ArrayType(T.LongType())), ("lists", T.ArrayType(T.IntegerType()))])
     rows = cut_lineage(wide.groupBy("key").agg(F.any_value("fp").alias("fp"), F.any_value("lists").alias("lists")))
     posted = rows.select("key", F.posexplode("lists").alias("choice", "bytes"))
-    window = Window.partitionBy("choice", "bytes")
-    shared = cut_lineage(posted.withColumns({"n": F.count(F.lit(1)).over(window), "first": F.min(F.struct(F.xxhash64("choice", "key"), "key")).over(window)}).where("n > 1").select("choice", "bytes", "key", F.col("first.key").alias("head")))
+    lists = Window.partitionBy("choice", "bytes")
+    shared = cut_lineage(posted.withColumn("n", F.count(F.lit(1)).over(lists)).where("n > 1").drop("n"))
     prints = lambda name: rows.select(F.col("key").alias(name), F.col("fp").alias(f"fp_{name}"))
     bits = sum(F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(WIDE))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        return pairs.join(prints("a"), "a").join(prints("b"), "b").where(bits <= WIDE_BITS).select("a", "b")
-
-    stars = shared.where("head < key").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-    first = cut_lineage(_similar(close(stars), sources, shingle, similarity))
-    group = cut_lineage(components(first))
-    placed = shared.join(group, F.col("key") == F.col("node"), "left").select("choice", "bytes", "head", "key", F.coalesce("component", "key").alias("component"))
+    placed = shared.withColumn("component", F.col("key"))
+    linked = None
+    for turn in range(HEAD_TURNS):
+        head = F.min(F.struct(F.xxhash64("choice", "key", F.lit(turn)), "key", "component")).over(lists)
+        stars = placed.withColumn("head", head).where("head.component <> component").select(F.least("head.key", "key").alias("a"), F.greatest("head.key", "key").alias("b")).distinct()
+        close = stars.join(prints("a"), "a").join(prints("b"), "b").where(bits <= WIDE_BITS).select("a", "b")
+        found = _similar(close, sources, shingle, similarity)
+        linked = cut_lineage(found if linked is None else linked.unionByName(found))
+        group = cut_lineage(components(linked))
+        placed = shared.join(group, F.col("key") == F.col("node"), "left").select("choice", "bytes", "key", F.coalesce("component", "key").alias("component"))
     mixed = placed.groupBy("choice", "bytes").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("choice", "bytes")
-    left = cut_lineage(placed.join(mixed, ["choice", "bytes"], "left_semi").where("key <> head"))
+    left = cut_lineage(placed.join(mixed, ["choice", "bytes"], "left_semi").join(rows.select("key", "fp"), "key"))
     held = left.select("choice", "bytes", "component").distinct()
     apart = held.withColumnRenamed("component", "in_a").join(held.withColumnRenamed("component", "in_b"), ["choice", "bytes"]).where("in_a < in_b")
     for x in "ab":
-        apart = apart.join(left.select("choice", "bytes", F.col("component").alias(f"in_{x}"), F.col("key").alias(x)), ["choice", "bytes", f"in_{x}"])
-    across = apart.select("a", "b").distinct()
-    second = _similar(close(across), sources, shingle, similarity)
-    return components(first.unionByName(second)).select(F.col("node").alias("key"), F.col("component").alias("group"))
+        apart = apart.join(left.select("choice", "bytes", F.col("component").alias(f"in_{x}"), F.col("key").alias(x), F.col("fp").alias(f"fp_{x}")), ["choice", "bytes", f"in_{x}"])
+    across = apart.where(bits <= WIDE_BITS).select("a", "b").distinct()
+    second = _similar(across, sources, shingle, similarity)
+    return components(linked.unionByName(second)).select(F.col("node").alias("key"), F.col("component").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
