@@ -13,7 +13,7 @@ value at up to 2 bits from it instead: two fingerprints at 4 bits or fewer share
 that share one are at 4 bits or fewer, so one link from each to the smallest under the value keeps the
 components exact, at a cost in proportion to the rows.
 
-Equal fingerprints are collapsed before the index. ``near_copies`` is the wide form that finds texts by
+Equal fingerprints are collapsed before the index. ``near_copies`` is the form that finds texts by
 the similarity of their shingle sets; see there.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other; null ids take no
@@ -23,6 +23,7 @@ part in choosing a component's id; repeated rows each give a row; other columns
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -132,37 +133,60 @@ def near_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
     return rows.join(by_fp, F.col("fp") == F.col("__fp")).select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# The wide form ---------------------------------------------------------------------------------------
+# The form by shingles ---------------------------------------------------------------------------------------
 
-#: 64-bit words of a wide fingerprint.
+#: 64-bit words of a text's parity bits.
 WIDE = 8
-#: Byte positions of a key, and keys of a fingerprint.
-KEY_BYTES, KEYS = 3, 105
-#: Bits of 512 beyond which a pair is not looked at: at a similarity of 0.8, 77 differ on average, and
-#: the standard deviation is 8.
-WIDE_BITS = 96
 #: Passes in which a list's members meet one of them only.
 HEAD_TURNS = 3
+#: Texts that tell which shingles are common, and such shingles that are known, at most.
+COMMON_ROWS, COMMON = 20_000, 100_000
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    h = np.unique(shingle_hashes(text, shingle))  # the set of shingles, as the similarity is of sets
-    out = np.zeros(WIDE, np.uint64)
-    for s in range(0, WIDE):
-        m = (h ^ np.uint64(0x9E3779B97F4A7C15 * (s + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
-        m ^= m >> np.uint64(27)
-        m *= np.uint64(0x94D049BB133111EB)
-        m ^= m >> np.uint64(31)
-        out[s] = majority(m[:, None])[0]
-    return out
+def parity_bits(shingles: np.ndarray) -> np.ndarray:
+    """64 bytes: for each of 512 parts of the hashes' range, whether an odd number of ``shingles`` is in it.
+
+    A shingle that only one of two sets has turns one bit, so the sets differ in as many shingles at least as
+    their parity bits do.
+    """
+    counts = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=WIDE * 64)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of (count where common, hash), that a near copy must meet.
+
+    A set of n shingles has ceil(similarity n) in common with each near copy of it, so of two near copies'
+    first n - ceil(similarity n) + 1 at least one is in both. This is so in any order that is the same for
+    all texts; with common shingles last the lists are short. A set without shingles is in list 0.
+    """
+    n = len(shingles)
+    if not n:
+        return np.zeros(1, np.int64)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    take = n - math.ceil(similarity * n - 1e-9) + 1
+    return shingles[np.lexsort((shingles, rank))[:take]].view(np.int64)
+
 
+def common_shingles(sources: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes (ascending) and counts of shingles that are in two or more of about COMMON_ROWS texts."""
+    share = max(1, sources.count() // COMMON_ROWS)
+    some = sources.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).dropDuplicates(["key"])
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            return {"shingles": pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))}
+
+        return work
 
-def wide_positions() -> np.ndarray:
-    """KEYS choices of KEY_BYTES byte positions, fixed, in which each position stands about as often."""
-    rng = np.random.default_rng(SEED)
-    flat = np.concatenate([rng.permutation(WIDE * 8) for _ in range(-(-KEYS * KEY_BYTES // (WIDE * 8)) + KEY_BYTES)])
-    found = [c for c in (flat[k : k + KEY_BYTES] for k in range(0, len(flat) - KEY_BYTES, KEY_BYTES)) if len({*c}) == KEY_BYTES]
-    return np.array(found[:KEYS])
+    laid = per_batch(some, make, ["key"], [("shingles", T.ArrayType(T.LongType()))]).select(F.explode("shingles").alias("h"))
+    found = laid.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
 def _similar(pairs: DataFrame, sources: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -189,55 +213,58 @@ def _similar(pairs: DataFrame, sources: DataFrame, shingle: int, similarity: flo
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """Per distinct text of ``docs`` with a near copy: ``key`` (its hash) and ``group``.
 
-    Texts are linked when the Jaccard similarity of their sets of word shingles is ``similarity`` or more.
-    At 0.8 about a seventh of the fingerprint's bits differ, too many for a guarantee over 8 bytes, so the
-    fingerprint has 64 bytes and the index ``KEYS`` lists of 3 positions each; a pair at 0.8 meets in a
-    list with a probability of about 0.87, at 0.85 of 0.97 and at 0.9 of 0.99. Pairs within ``WIDE_BITS``
-    bits are verified on the shingle sets.
+    Texts are linked when the Jaccard similarity of their sets of word shingles is ``similarity`` or more,
+    and all such pairs are found. At 0.8 about a seventh of a SimHash's bits differ, too many for a guarantee
+    over its bytes, so the inverted index is over the shingles themselves: each text is in the lists of its
+    ``prefix``, of which two near copies share one at least. Pairs whose numbers of shingles or parity bits
+    are further apart than they can be at that similarity are dropped, and the others verified on the sets.
 
     Pairs are taken in two passes, so that a group of near copies does not give all its pairs. First each
     list's members meet one of them only, chosen by a hash that differs from list to list, so that a group's
-members meet many others; what is verified is joined to components. Then
+    members meet many others; what is verified is joined to components. Then
     members of a list that are still in different components meet. Two members of one component need not:
     their link changes nothing.
     """
     sources = docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    positions = wide_positions()
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(sources, shingle))
 
     def make():
-        weights = 256 ** np.arange(KEY_BYTES)
+        common, counts = known.value
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            prints = [wide_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
-            keys = [(p.view(np.uint8)[positions].astype(np.int64) @ weights).astype(np.int32) for p in prints]
-            return {"fp": pa.array([p.view(np.int64) for p in prints], pa.list_(pa.int64())), "lists": pa.array(keys, pa.list_(pa.int32()))}
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            longs = pa.list_(pa.int64())
+            return {"n": pa.array([len(s) for s in sets], pa.int32()), "fp": pa.array([parity_bits(s) for s in sets], longs), "lists": pa.array([prefix(s, similarity, common, counts) for s in sets], longs)}
 
         return work
 
-    wide = per_batch(sources, make, ["key"], [("fp", T.ArrayType(T.LongType())), ("lists", T.ArrayType(T.IntegerType()))])
-    rows = cut_lineage(wide.groupBy("key").agg(F.any_value("fp").alias("fp"), F.any_value("lists").alias("lists")))
-    posted = rows.select("key", F.posexplode("lists").alias("choice", "bytes"))
-    lists = Window.partitionBy("choice", "bytes")
-    shared = cut_lineage(posted.withColumn("n", F.count(F.lit(1)).over(lists)).where("n > 1").drop("n"))
-    prints = lambda name: rows.select(F.col("key").alias(name), F.col("fp").alias(f"fp_{name}"))
+    longs = T.ArrayType(T.LongType())
+    wide = per_batch(sources, make, ["key"], [("n", T.IntegerType()), ("fp", longs), ("lists", longs)])
+    rows = cut_lineage(wide.groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "lists")]))
+    posted = rows.select("key", F.explode("lists").alias("list"))
+    lists = Window.partitionBy("list")
+    shared = cut_lineage(posted.withColumn("members", F.count(F.lit(1)).over(lists)).where("members > 1").drop("members"))
+    prints = lambda name: rows.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("fp").alias(f"fp_{name}"))
     bits = sum(F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(WIDE))
+    na, nb = F.col("n_a"), F.col("n_b")
+    near = (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6) & (bits <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
     placed = shared.withColumn("component", F.col("key"))
     linked = None
     for turn in range(HEAD_TURNS):
-        head = F.min(F.struct(F.xxhash64("choice", "key", F.lit(turn)), "key", "component")).over(lists)
+        head = F.min(F.struct(F.xxhash64("list", "key", F.lit(turn)), "key", "component")).over(lists)
         stars = placed.withColumn("head", head).where("head.component <> component").select(F.least("head.key", "key").alias("a"), F.greatest("head.key", "key").alias("b")).distinct()
-        close = stars.join(prints("a"), "a").join(prints("b"), "b").where(bits <= WIDE_BITS).select("a", "b")
+        close = stars.join(prints("a"), "a").join(prints("b"), "b").where(near).select("a", "b")
         found = _similar(close, sources, shingle, similarity)
         linked = cut_lineage(found if linked is None else linked.unionByName(found))
         group = cut_lineage(components(linked))
-        placed = shared.join(group, F.col("key") == F.col("node"), "left").select("choice", "bytes", "key", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("choice", "bytes").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("choice", "bytes")
-    left = cut_lineage(placed.join(mixed, ["choice", "bytes"], "left_semi").join(rows.select("key", "fp"), "key"))
-    held = left.select("choice", "bytes", "component").distinct()
-    apart = held.withColumnRenamed("component", "in_a").join(held.withColumnRenamed("component", "in_b"), ["choice", "bytes"]).where("in_a < in_b")
+        placed = shared.join(group, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("component", "key").alias("component"))
+    mixed = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
+    left = cut_lineage(placed.join(mixed, "list", "left_semi").join(rows.select("key", "n", "fp"), "key"))
+    held = left.select("list", "component").distinct()
+    apart = held.withColumnRenamed("component", "in_a").join(held.withColumnRenamed("component", "in_b"), "list").where("in_a < in_b")
     for x in "ab":
-        apart = apart.join(left.select("choice", "bytes", F.col("component").alias(f"in_{x}"), F.col("key").alias(x), F.col("fp").alias(f"fp_{x}")), ["choice", "bytes", f"in_{x}"])
-    across = apart.where(bits <= WIDE_BITS).select("a", "b").distinct()
+        apart = apart.join(left.select("list", F.col("component").alias(f"in_{x}"), F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")), ["list", f"in_{x}"])
+    across = apart.where(near).select("a", "b").distinct()
     second = _similar(across, sources, shingle, similarity)
     return components(linked.unionByName(second)).select(F.col("node").alias("key"), F.col("component").alias("group"))
 

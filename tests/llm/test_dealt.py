@@ -325,6 +325,27 @@ def test_near_copies(spark, nothing):
     assert simhash.drop_near_copies(nothing).count() == 0
 
 
+def test_near_copies_finds_every_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for i in range(200):  # a run of words changed: d shingles of n are lost and won, for a similarity of 0.80 to 0.85
+        n = int(rng.integers(60, 900))
+        d = int(n / rng.uniform(9, 12))
+        ws = [f"p{i}w{k}" for k in range(n + 4)]
+        at = int(rng.integers(4, n - d))
+        texts += [" ".join(ws), " ".join([*ws[:at], *(f"q{i}w{k}" for k in range(d - 4)), *ws[at + d - 4 :]])]
+    for i in range(100):  # short ones: k shingles more
+        n = int(rng.integers(4, 40))
+        ws = [f"s{i}w{k}" for k in range(n + 4)]
+        texts += [" ".join(ws), " ".join([*ws, *(f"t{k}" for k in range(max(1, n // 4)))])]
+    texts += ["", " \n", "one", "One ", "two words"]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    at = [k for k in range(0, 600, 2) if len(sets[k] & sets[k + 1]) >= 0.8 * len(sets[k] | sets[k + 1])]
+    assert len(at) > 290
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(605)) - {k + 1 for k in at} - {601, 603}
+
+
 # 9
 
 
