@@ -141,6 +141,8 @@ WIDE = 8
 HEAD_TURNS = 3
 #: Texts that tell which shingles are common, and such shingles that are known, at most.
 COMMON_ROWS, COMMON = 20_000, 100_000
+#: Keys of texts to verify that are sent to all tasks, at most; more are shuffled with the texts.
+SENT_KEYS = 1_000_000
 
 
 def parity_bits(shingles: np.ndarray) -> np.ndarray:
@@ -191,7 +193,11 @@ def common_shingles(sources: DataFrame, shingle: int) -> tuple[np.ndarray, np.nd
 
 def _similar(pairs: DataFrame, sources: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` of keys of ``sources`` (key, text) whose shingle sets have that similarity."""
-    of = lambda name: sources.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    ends = F.broadcast(ends) if 2 * pairs.count() <= SENT_KEYS else ends  # so that the other texts aren't shuffled
+    paired = cut_lineage(sources.join(ends, "key", "left_semi").dropDuplicates(["key"]))
+    of = lambda name: paired.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
     met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
 
     def make():
