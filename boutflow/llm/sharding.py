@@ -7,12 +7,15 @@ many documents go one way as the other, so the number of rows of each shard neve
 make up the difference.
 
 Links are given as (document, hub) rows: documents with a hub in common are neighbours. That is linear in
-the size of a group of copies, where pairs would be its square. A hub of more documents than a
-``SHARD_PARTS``-th of a shard is split into hubs of about that size by a hash, since it can't fit one shard
-with room to move, and so that no key holds a large part of all rows. Ties between shards go by a hash of
-the hub and shard, which is the same for all of a hub's documents, so that they don't swap places.
+the size of a group of copies, where pairs would be its square. A hub of more documents than a whole shard
+is split into parts of up to about a shard by a hash; a smaller one fits one shard and stays whole. A hub's
+counts are summed up and sent back by (hub, salt), so that no key holds a large part of all rows. Ties
+between shards go by a hash of the hub and shard, which is the same for all of a hub's documents, so that
+they don't swap places.
 
-What the driver collects is the table of wishes by pair of shards, ``shards`` squared rows at most.
+What the driver collects is the table of wishes by pair of shards, ``shards`` squared rows at most, and once
+the counts of split hubs' parts, of which there are fewer than twice the shards; each is drawn to a shard
+with room for it.
 
 Edge cases: a null text has size 1 and crc32 0; null texts are neighbours of empty ones; repeated rows are
 rows of their own; columns other than the id and the text are not read; empty tables give empty results.
@@ -25,15 +28,32 @@ from pyspark.sql import functions as F
 
 from boutflow.llm.common import cut_lineage, gapless, text_bytes
 
-#: A hub holds at most about this part of a shard.
+#: A salt's documents of a hub are at most about this part of a shard.
 SHARD_PARTS = 4
 
 
-def split_hubs(links: DataFrame, most: int) -> DataFrame:
-    """``links`` (row, hub) with each hub of more than ``most`` rows split by a hash of the row."""
+def split_hubs(links: DataFrame, whole: int, most: int) -> DataFrame:
+    """``links`` (row, hub) with each hub of more than ``whole`` rows split by a hash of the row, ``salt``, and whether the hub is ``split``.
+
+    A salt of a hub has about ``most`` rows.
+    """
     sizes = links.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(most)).cast("long")
-    return links.join(sizes, "hub").select("row", F.xxhash64("hub", F.pmod(F.xxhash64("row"), parts)).alias("hub"))
+    parts = F.ceil(F.col("n") / F.lit(whole)).cast("long")
+    salts = F.ceil(F.col("n") / parts / F.lit(most)).cast("long")
+    return links.join(sizes, "hub").select("row", F.xxhash64("hub", F.pmod(F.xxhash64("row"), parts)).alias("hub"), F.pmod(F.xxhash64("row", F.lit(1)), salts).alias("salt"), (parts > 1).alias("split"))
+
+
+def homes(held: dict[int, list[int]], whole: int) -> dict[int, int]:
+    """A shard for each part of a split hub: that which holds most of it, of those with room for it.
+
+    Without that, two parts that each fit a shard would both be drawn to the same one, and stay scattered.
+    """
+    out, room = {}, {}
+    for hub, counts in sorted(held.items(), key=lambda x: (-sum(x[1]), x[0])):
+        n = sum(counts)
+        out[hub] = max(range(len(counts)), key=lambda s: (min(room.get(s, whole), n), counts[s], -s))
+        room[out[hub]] = room.get(out[hub], whole) - n
+    return out
 
 
 def allowed(wishes: dict[tuple[int, int], int], free: dict[int, int], shards: int) -> list[tuple[int, int, int, int]]:
@@ -58,14 +78,22 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, rounds: int = 6)
     Counts of shards are at most one apart. Ends when no document may move, or after ``rounds``.
     """
     n = nodes.count()
-    links = cut_lineage(split_hubs(links, max(1, n // shards // SHARD_PARTS)))
+    links = cut_lineage(split_hubs(links, max(1, n // shards), max(1, n // shards // SHARD_PARTS)))
     linked = links.select("row").distinct().withColumn("linked", F.lit(True))
     start = nodes.join(linked, "row", "left").select("row", F.coalesce("linked", F.lit(False)).alias("linked"))
     placed = cut_lineage(start.withColumn("shard", F.pmod("row", F.lit(shards)).cast("int")))
     held = lambda s: F.count_if(F.col("shard") == s)
+    home = None
     for _ in range(rounds):
-        by_hub = links.join(placed, "row").groupBy("hub").agg(F.array(*[held(s) for s in range(shards)]).alias("held"))
-        seen = links.join(by_hub, "hub").groupBy("row").agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("hubs"), *[F.sum(F.col("held")[s]).alias(f"h{s}") for s in range(shards)])
+        if home is None:  # parts of hubs beyond a shard: two for each shard at most
+            parts = links.where("split").join(placed, "row").groupBy("hub").agg(F.array(*[held(s) for s in range(shards)]).alias("held"))
+            home = homes({r.hub: list(r.held) for r in parts.collect()}, n // shards)
+            wanted = nodes.sparkSession.createDataFrame([*home.items()], "part long, home int")
+        by_salt = links.join(placed, "row").groupBy("hub", "salt").agg(*[held(s).alias(f"c{s}") for s in range(shards)])
+        by_hub = by_salt.groupBy("hub").agg(F.array(*[F.sum(f"c{s}") for s in range(shards)]).alias("held"), F.collect_list("salt").alias("salts"))
+        drawn = F.transform("held", lambda x, s: x + F.when(s == F.col("home"), n).otherwise(0))
+        by_hub = by_hub.join(F.broadcast(wanted), F.col("hub") == F.col("part"), "left").select("hub", drawn.alias("held"), F.explode("salts").alias("salt"))
+        seen = links.join(by_hub, ["hub", "salt"]).groupBy("row").agg(F.min("hub").alias("hub"), F.count(F.lit(1)).alias("hubs"), *[F.sum(F.col("held")[s]).alias(f"h{s}") for s in range(shards)])
         here = lambda s: F.when(F.col("shard") == s, F.col("hubs")).otherwise(0)  # noqa: E731  a document isn't its own neighbour
         near = F.array_max(F.array(*[F.struct((F.col(f"h{s}")).alias("n"), F.xxhash64("hub", F.lit(s)), F.lit(s).alias("to")) for s in range(shards)]))
         at = F.coalesce(*[F.when(F.col("shard") == s, F.col(f"h{s}") - here(s)) for s in range(shards)])

@@ -111,6 +111,15 @@ def test_sharding(spark, docs, awkward, nothing):
     assert sharding.shard_copies(nothing).count() == 0
 
 
+@pytest.mark.parametrize(("copies", "most_shards"), [(50, 1), (118, 1), (668, 6)])
+def test_sharding_gathers_a_large_group(spark, copies, most_shards):
+    got = sharding.shard_copies(spark.createDataFrame([(i, "same" if i < copies else f"x{i}") for i in range(2000)], "doc_id long, text string")).collect()
+    assert {*Counter(r.shard for r in got).values()} == {125}
+    held = Counter(r.shard for r in got if r.doc_id < copies)
+    apart = copies - sum(n for _, n in held.most_common(most_shards))
+    assert apart <= (0 if most_shards == 1 else copies // 20)
+
+
 def test_sharding_gathers_copies_under_a_hot_group(spark):
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(400)] + [f"lone {i}" for i in range(400)]
     got = sharding.shard_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
