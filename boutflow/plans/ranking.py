@@ -83,18 +83,33 @@ def seed(state: DataFrame, least: int = 8) -> DataFrame:
     return ranked.select("competitor_id", "mu", "phi", F.lit(glicko.START_VOLATILITY).alias("sigma"), zero.alias("wins"), zero.alias("losses"), zero.alias("draws"))
 
 
+def by_year(spark: SparkSession, singles: DataFrame, years: list[int], least: int = 8) -> DataFrame:
+    """The state after each of ``years``, with ``year``, each seeded by the plain ranking of the year before."""
+    singles = checkpoint(singles.withColumn("year", F.year("bout_date")))
+    out = spark.createDataFrame([], f"{STATE}, year int")
+    for year in sorted(years):  # a handful
+        before = run(spark, singles.where(F.col("year") == year - 1))
+        state = run(spark, singles.where(F.col("year") == year), start=seed(before, least))
+        out = out.unionByName(state.withColumn("year", F.lit(year)))
+    return checkpoint(out)
+
+
 def table(state: DataFrame, names: DataFrame, orgs: DataFrame, least: int = 8) -> DataFrame:
-    """Ranked competitors: rank, name, organisation, rounded rating and deviation, and the record as text."""
+    """Ranked competitors of each year: rank, name, organisation (of ``year``), rounded rating and deviation, and the record as text."""
     from pyspark.sql import Window
 
     ranked = state.where(F.col("wins") + F.col("losses") + F.col("draws") >= least).withColumn("rating", F.col("mu") * glicko.SCALE + 1500)
-    out = ranked.join(names, "competitor_id", "left").join(orgs, "competitor_id", "left")
-    rank = F.row_number().over(Window.orderBy(F.desc("rating"), "competitor_id"))  # the competitors of one ranking
-    return out.select(rank.alias("rank"), "competitor_id", F.coalesce("name", F.lit("Unknown")).alias("name"), "org", F.round("rating", 3).alias("rating"), F.round(F.col("phi") * glicko.SCALE, 3).alias("deviation"), record_text(F.col("wins"), F.col("losses"), F.col("draws")).alias("record"))
+    out = ranked.join(names, "competitor_id", "left").join(orgs, ["competitor_id", "year"], "left")
+    rank = F.row_number().over(Window.partitionBy("year").orderBy(F.desc("rating"), "competitor_id"))  # the competitors of one ranking
+    return out.select("year", rank.alias("rank"), "competitor_id", F.coalesce("name", F.lit("Unknown")).alias("name"), "org", F.round("rating", 3).alias("rating"), F.round(F.col("phi") * glicko.SCALE, 3).alias("deviation"), record_text(F.col("wins"), F.col("losses"), F.col("draws")).alias("record"))
 
 
 def surprises(singles: DataFrame, state: DataFrame) -> DataFrame:
-    """Decisive bouts with ``upset`` (the winner was rated below) and ``squash`` (the loser below the winner less two deviations)."""
-    rated = lambda x: state.select(F.col("competitor_id").alias(x), (F.col("mu") * glicko.SCALE + 1500).alias(f"rating_{x}"), (F.col("phi") * glicko.SCALE).alias(f"deviation_{x}"))
-    rows = singles.where("is_victory").join(rated("a"), "a").join(rated("b"), "b")
-    return rows.select("bout_date", "a", "b", (F.col("rating_a") < F.col("rating_b")).alias("upset"), (F.col("rating_b") < F.col("rating_a") - 2 * F.col("deviation_a")).alias("squash"))
+    """Decisive bouts with ``upset`` (the winner was rated below) and ``squash`` (the loser below the winner less two deviations).
+
+    Ratings are of the bout's own year in ``state``; bouts of unrated competitors are neither.
+    """
+    rated = lambda x: state.select("year", F.col("competitor_id").alias(x), (F.col("mu") * glicko.SCALE + 1500).alias(f"rating_{x}"), (F.col("phi") * glicko.SCALE).alias(f"deviation_{x}"))
+    rows = singles.where("is_victory").withColumn("year", F.year("bout_date")).join(rated("a"), ["a", "year"], "left").join(rated("b"), ["b", "year"], "left")
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select("bout_date", "a", "b", sure(F.col("rating_a") < F.col("rating_b")).alias("upset"), sure(F.col("rating_b") < F.col("rating_a") - 2 * F.col("deviation_a")).alias("squash"))

@@ -162,23 +162,18 @@ def glicko_period_terms(t: Tables) -> DataFrame:
     return per.select("period", "competitor_id", F.round(1 / F.col("information"), 6).alias("v"), F.round(F.col("improvement") / F.col("information"), 6).alias("delta"))
 
 
-def _ratings(t: Tables, year: int) -> DataFrame:
-    """The state after ``year``, seeded by the year before."""
-    singles = _singles(t)
-    before = ranking.run(t.spark, singles.where(F.year("bout_date") == year - 1))
-    return ranking.run(t.spark, singles.where(F.year("bout_date") == year), start=ranking.seed(before, 3))
-
-
 @query
 def ranking_table(t: Tables) -> DataFrame:
-    orgs = _primary(t).where(F.col("year") == 2000).select("competitor_id", F.col("primary_org").alias("org"))
-    return ranking.table(_ratings(t, 2000), t.competitors.select("competitor_id", "name"), orgs, 3)
+    orgs = _primary(t).select("competitor_id", F.col("year").cast("int").alias("year"), F.col("primary_org").alias("org"))
+    years = [r.year for r in rollup.available_years(t.listings).select("year").collect()]
+    return ranking.table(ranking.by_year(t.spark, _singles(t), years, 3), t.competitors.select("competitor_id", "name"), orgs, 3)
 
 
 @query
 def upsets(t: Tables) -> DataFrame:
     singles = _singles(t)
-    return ranking.surprises(singles, ranking.run(t.spark, singles.where(F.year("bout_date") == 2000)))
+    years = [r.year for r in singles.select(F.year("bout_date").alias("year")).distinct().collect() if r.year is not None]
+    return ranking.surprises(singles, ranking.by_year(t.spark, singles, years, 3))
 
 
 @query

@@ -159,6 +159,21 @@ def test_ranking_equals_plain_loops(spark):
     assert sum(r.wins for r in got.values()) == sum(r.losses for r in got.values())
 
 
+def test_rankings_and_upsets_of_each_year(spark):
+    bouts = [(dt.date(y, m, 1), *ab, True) for y, ab in ((2019, (1, 2)), (2020, (2, 1)), (2021, (3, 1))) for m in (1, 2, 3)] + [(dt.date(2022, 1, 1), 1, 9, True)]
+    frame = spark.createDataFrame(bouts, "bout_date date, a long, b long, is_victory boolean")
+    state = ranking.by_year(spark, frame, [2019, 2020, 2021], 3)
+    alone = {r.competitor_id: r.mu for r in ranking.run(spark, frame.where("year(bout_date) = 2020"), start=ranking.seed(ranking.run(spark, frame.where("year(bout_date) = 2019")), 3)).collect()}
+    assert {r.competitor_id: r.mu for r in state.where("year = 2020").collect()} == pytest.approx(alone)
+    names = spark.createDataFrame([(i, f"n{i}") for i in (1, 2, 3)], "competitor_id long, name string")
+    orgs = spark.createDataFrame([(1, 2019, "A"), (1, 2020, "B")], "competitor_id long, year int, org string")
+    got = {(r.year, r["rank"]): (r.competitor_id, r.org) for r in ranking.table(state, names, orgs, 3).collect()}
+    assert got[2019, 1] == (1, "A") and {y for y, _ in got} == {2019, 2020, 2021} and got[2021, 1][0] == 3
+    rows = ranking.surprises(frame, state).collect()
+    assert len(rows) == len(bouts)
+    assert [(r.upset, r.squash) for r in rows if r.bout_date.year == 2022] == [(False, False)]
+
+
 def test_teams(spark):
     d = dt.date(2020, 1, 1)
     bouts = spark.createDataFrame([(1, d, "A", [[1, 2], [3, 4]]), (2, d, "A", [[1, 2], [3, 4]]), (3, dt.date(2020, 1, 2), "A", [[1, 2], [3, 5]]), (4, d, "A", [[1, 2, 3], [4, 5]])], "bout_id long, bout_date date, org string, sides array<array<long>>")
