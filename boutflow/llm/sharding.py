@@ -61,13 +61,14 @@ def allowed(wishes: dict[tuple[int, int], int], free: dict[int, int], shards: in
 
     For each pair, both directions add up to the same number.
     """
-    out = []
+    out, left = [], dict(free)
     for i in range(shards):
         for j in range(i + 1, shards):
             there, back = wishes.get((i, j), 0), wishes.get((j, i), 0)
             swap = min(there, back)
-            more_there = min(there - swap, free.get(j, 0) // (shards - 1))
-            more_back = min(back - swap, free.get(i, 0) // (shards - 1))
+            more_there = min(there - swap, left.get(j, 0))
+            more_back = min(back - swap, left.get(i, 0))
+            left[j], left[i] = left.get(j, 0) - more_there, left.get(i, 0) - more_back
             out += [(i, j, swap + more_there, more_back), (j, i, swap + more_back, more_there)]
     return [x for x in out if x[2] or x[3]]
 
