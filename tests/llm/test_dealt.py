@@ -1,6 +1,7 @@
 """The text operators against brute force, and on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -228,12 +229,41 @@ def test_toxicity_chain(spark, awkward, nothing):
     assert {r.p_toxic for r in toxicity.score(awkward, none).collect()} == {0.0}
 
 
-def test_chain_feeds_out_of_fold_probabilities():
-    rng = np.random.default_rng(0)
-    rows = toxicity.Rows.of([" ".join(rng.choice(["aa", "bb", "cc", "dd"], 8)) for _ in range(120)])
-    chain = toxicity.Chain(toxicity.CATEGORIES, rows, rng.integers(0, 2, (120, 3)))
-    assert [len(m.dense) for m in chain.models] == [0, 1, 2]
-    assert chain.probabilities(["aa bb", None, ""]).shape == (3, 3)
+def test_chain_equals_plain_sums(spark):
+    docs, labels, truth = _toxic_frame(spark)
+    chain = toxicity.fit(docs, labels)
+    assert [len(d) for d in chain.dense] == [0, 1]
+    text = docs.first().text + " grobolta grobolta " + "y" * 100
+    counts = Counter(text.split())
+    total = sum(counts.values())
+    linear = [sum(math.sqrt(n / total) * sum(float(chain.weights[b, k]) for b in toxicity.buckets(w.encode())) for w, n in counts.items()) for k in (0, 1)]
+    first = 1 / (1 + math.exp(-linear[0] - chain.constants[0]))
+    second = 1 / (1 + math.exp(-linear[1] - chain.constants[1] - first * chain.dense[1][0]))
+    for _ in range(2):  # with and without the words' scores at hand
+        assert chain.probabilities([text, None, ""])[0] == pytest.approx([first, second], abs=1e-5)
+
+
+def test_chosen_features_are_those_that_differ_most(spark):
+    docs, labels, _ = _toxic_frame(spark)
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", 200)
+    rows = sample.collect()
+    assert len(rows) == 200 and {r.fold for r in rows} == {0, 1, 2}
+    got = toxicity.telling(sample, [(1, -1), (1, 2)])
+    for out in (-1, 2):
+        some = [r for r in rows if r.fold != out]
+        held = [{b for w in r.text.split() for b in toxicity.buckets(w.encode())} for r in some]
+        yes = sum(r.y1 for r in some)
+        every, both = Counter(b for h in held for b in h), Counter(b for h, r in zip(held, some, strict=True) if r.y1 for b in h)
+        z = {b: abs(both[b] / yes - (n - both[b]) / (len(some) - yes)) / math.sqrt((n + 1) / len(some) * (1 / yes + 1 / (len(some) - yes))) for b, n in every.items() if n > 1}
+        best = sorted(z.values(), reverse=True)[: toxicity.KEPT]
+        assert sorted((z[b] for b in got[1, out]), reverse=True) == pytest.approx(best)
+
+
+def test_toxicity_with_repeated_ids(spark):
+    docs, labels, _ = _toxic_frame(spark)
+    twice = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("zzz")))
+    assert toxicity.labelled_sample(twice, labels.unionByName(labels), "doc_id", "text", 6000).count() == labels.count()
+    assert toxicity.labelled_sample(twice, labels.unionByName(labels), "doc_id", "text", 10).count() == 10
 
 
 # 7
