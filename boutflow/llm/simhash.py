@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutflow.llm.common import cut_lineage, filter_batches, per_batch
+from boutflow.llm.common import bounded_batches, cut_lineage, filter_batches, per_batch
 from boutflow.llm.components import components
 
 SEED = 42
@@ -135,28 +135,39 @@ def near_components(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col
 
 # The form by shingles ---------------------------------------------------------------------------------------
 
-#: 64-bit words of a text's parity bits.
-WIDE = 8
-#: Passes in which a list's members meet one of them only.
-HEAD_TURNS = 3
-#: Texts that tell which shingles are common, and such shingles that are known, at most.
-COMMON_ROWS, COMMON = 20_000, 100_000
-#: Keys of texts to verify that are sent to all tasks, at most; more are shuffled with the texts.
+#: Longs of a text's short parity print.
+SHORT = 8
+#: Buckets (as bits) of the shingles' hashes whose occurrences are counted over all texts.
+ORDER_BITS = 16
+#: Members of a list that meet each other in one group of rows.
+BLOCK = 512
+#: Texts' keys that are sent to all tasks, at most; more are shuffled with the texts.
 SENT_KEYS = 1_000_000
 
 
-def parity_bits(shingles: np.ndarray) -> np.ndarray:
-    """64 bytes: for each of 512 parts of the hashes' range, whether an odd number of ``shingles`` is in it.
+def parity(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """For each of ``bits`` (a power of two) parts of the hashes' values, whether an odd number of ``shingles`` is in it; packed.
 
     A shingle that only one of two sets has turns one bit, so the sets differ in as many shingles at least as
-    their parity bits do.
+    their parities differ in bits. The exclusive or of a parity's halves is the parity of half the bits.
     """
-    counts = np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=WIDE * 64)
-    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little")
 
 
-def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set, in the order of (count where common, hash), that a near copy must meet.
+def folded(parity: np.ndarray, size: int) -> np.ndarray:
+    while len(parity) > size:
+        parity = parity[: len(parity) // 2] ^ parity[len(parity) // 2 :]
+    return parity
+
+
+def parity_bits(n: int) -> int:
+    """Bits of a long parity: at least four times the shingles, so that few fall together."""
+    return max(64 * SHORT, 1 << (4 * n - 1).bit_length() if n else 0)
+
+
+def prefix(shingles: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of (occurrences of the hash's bucket, hash), that a near copy must meet.
 
     A set of n shingles has ceil(similarity n) in common with each near copy of it, so of two near copies'
     first n - ceil(similarity n) + 1 at least one is in both. This is so in any order that is the same for
@@ -165,40 +176,62 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     n = len(shingles)
     if not n:
         return np.zeros(1, np.int64)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
-        rank = np.where(common[at] == shingles, counts[at], 0)
     take = n - math.ceil(similarity * n - 1e-9) + 1
-    return shingles[np.lexsort((shingles, rank))[:take]].view(np.int64)
+    return shingles[np.lexsort((shingles, counts[shingles >> np.uint64(64 - ORDER_BITS)]))[:take]].view(np.int64)
 
 
-def common_shingles(sources: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes (ascending) and counts of shingles that are in two or more of about COMMON_ROWS texts."""
-    share = max(1, sources.count() // COMMON_ROWS)
-    some = sources.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).dropDuplicates(["key"])
+def occurrences(sources: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts are in each bucket: tasks count their own texts, Spark adds up the tasks."""
 
-    def make():
-        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            return {"shingles": pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))}
+    def count(batches):
+        sums = np.zeros(1 << ORDER_BITS, np.int64)
+        for batch in batches:
+            found = [shingle_hashes(t, shingle) for t in batch.column(0).to_pylist()]
+            sums += np.bincount((np.concatenate(found) >> np.uint64(64 - ORDER_BITS)).astype(np.int64), minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at])], names=["bucket", "n"])
 
-        return work
+    bounded_batches(sources.sparkSession)
+    got = sources.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # a row a bucket
+    out = np.zeros(1 << ORDER_BITS, np.int64)
+    out[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, which is written already, marked to be sent to all tasks where it has at most SENT_KEYS rows."""
+    return F.broadcast(df) if df.count() <= SENT_KEYS else df
 
-    laid = per_batch(some, make, ["key"], [("shingles", T.ArrayType(T.LongType()))]).select(F.explode("shingles").alias("h"))
-    found = laid.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
-    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
 
+def _may_be_near(similarity: float) -> Column:
+    """What holds for the sizes (n_a, n_b) and short parities (fp_a, fp_b) of every two near copies."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    bits = sum(F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(SHORT))
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6) & (bits <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
+
+
+def _similar(pairs: DataFrame, rows: DataFrame, sources: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` of keys whose shingle sets have that similarity: by their long parities first, then by the texts."""
+    long = lambda x: rows.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+    met = pairs.join(long("a"), "a").join(long("b"), "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+
+    def make_bounds():
+        def work(batch: pa.RecordBatch) -> list[bool]:
+            most = (1 - similarity) / (1 + similarity) * (batch.column(2).to_numpy() + batch.column(3).to_numpy()) + 1e-6
+            out = []
+            for x, y, k in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most, strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                out.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= k)
+            return out
+
+        return work
 
-def _similar(pairs: DataFrame, sources: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` of keys of ``sources`` (key, text) whose shingle sets have that similarity."""
-    pairs = cut_lineage(pairs)
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    ends = F.broadcast(ends) if 2 * pairs.count() <= SENT_KEYS else ends  # so that the other texts aren't shuffled
-    paired = cut_lineage(sources.join(ends, "key", "left_semi").dropDuplicates(["key"]))
-    of = lambda name: paired.select(F.col("key").alias(name), F.col("text").alias(f"text_{name}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b")
+    likely = cut_lineage(filter_batches(met, make_bounds).select("a", "b"))
+    ends = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct()
+    ends = cut_lineage(rows.select("key", "sha").join(_sent(cut_lineage(ends)), "key", "left_semi"))
+    texts = cut_lineage(sources.join(_sent(ends), "sha").select("key", "text").dropDuplicates(["key"]))
+    of = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
 
     def make():
         def work(batch: pa.RecordBatch) -> list[bool]:
@@ -213,76 +246,84 @@ def _similar(pairs: DataFrame, sources: DataFrame, shingle: int, similarity: flo
 
         return work
 
-    return filter_batches(met, make).select("a", "b")
+    return filter_batches(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), make).select("a", "b")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
-    """Per distinct text of ``docs`` with a near copy: ``key`` (its hash) and ``group``.
+    """Per distinct text of ``docs`` with a near copy: ``sha`` (the SHA-256 of the text) and ``group``.
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is ``similarity`` or more,
-    and all such pairs are found. At 0.8 about a seventh of a SimHash's bits differ, too many for a guarantee
-    over its bytes, so the inverted index is over the shingles themselves: each text is in the lists of its
-    ``prefix``, of which two near copies share one at least. Pairs whose numbers of shingles or parity bits
-    are further apart than they can be at that similarity are dropped, and the others verified on the sets.
-
-    Pairs are taken in two passes, so that a group of near copies does not give all its pairs. First each
-    list's members meet one of them only, chosen by a hash that differs from list to list, so that a group's
-    members meet many others; what is verified is joined to components. Then
-    members of a list that are still in different components meet. Two members of one component need not:
-    their link changes nothing.
+    and the groups are the components of all such links. At 0.8 about a seventh of a SimHash's bits differ,
+    too many for a guarantee over its bytes, so the inverted index is over the shingles themselves: each text
+    is in the lists of its ``prefix``, of which two near copies share one at least. Parities play the part
+    of the fingerprints: a pair has to reach the least agreement of sizes and parity bits that near copies
+    are sure to have, first in a short print and then in one as long as the text asks for, and what is left
+    is verified on the sets.
+
+    A list's members don't all meet. First all meet its head, the member of which most of the prefix is in
+    other texts too: in a group of near copies, the one that is nearest to all. Where members of a list are
+    then in different components, these meet, in blocks; two of one component need not, since their link would change nothing.
     """
-    sources = docs.select(F.xxhash64(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(common_shingles(sources, shingle))
+    sources = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known = docs.sparkSession.sparkContext.broadcast(occurrences(sources, shingle))
 
     def make():
-        common, counts = known.value
+        counts = known.value
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
-            longs = pa.list_(pa.int64())
-            return {"n": pa.array([len(s) for s in sets], pa.int32()), "fp": pa.array([parity_bits(s) for s in sets], longs), "lists": pa.array([prefix(s, similarity, common, counts) for s in sets], longs)}
+            longs, prints = pa.list_(pa.int64()), [parity(s, parity_bits(len(s))) for s in sets]
+            return {
+                "n": pa.array([len(s) for s in sets], pa.int32()), "parity": pa.array([p.tobytes() for p in prints], pa.binary()),
+                "fp": pa.array([folded(p, 8 * SHORT).view(np.int64) for p in prints], longs), "lists": pa.array([prefix(s, similarity, counts) for s in sets], longs),
+            }
 
         return work
 
     longs = T.ArrayType(T.LongType())
-    wide = per_batch(sources, make, ["key"], [("n", T.IntegerType()), ("fp", longs), ("lists", longs)])
-    rows = cut_lineage(wide.groupBy("key").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "lists")]))
+    wide = cut_lineage(per_batch(sources, make, ["sha"], [("n", T.IntegerType()), ("parity", T.BinaryType()), ("fp", longs), ("lists", longs)]))
+    wide = wide.withColumn("key", F.monotonically_increasing_id())  # of written rows, so the same each time
+    repeats = cut_lineage(wide.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")).where("copies > 1"))
+    again = cut_lineage(wide.select("sha", "key").join(_sent(repeats), "sha").where("key <> first").select("key"))
+    rows = wide.join(_sent(again), "key", "left_anti")  # one for each text
+    info = rows.select("key", "n", "fp", F.size("lists").alias("k"))
+
     posted = rows.select("key", F.explode("lists").alias("list"))
-    lists = Window.partitionBy("list")
-    shared = cut_lineage(posted.withColumn("members", F.count(F.lit(1)).over(lists)).where("members > 1").drop("members"))
-    prints = lambda name: rows.select(F.col("key").alias(name), F.col("n").alias(f"n_{name}"), F.col("fp").alias(f"fp_{name}"))
-    bits = sum(F.bit_count(F.col("fp_a")[k].bitwiseXOR(F.col("fp_b")[k])) for k in range(WIDE))
-    na, nb = F.col("n_a"), F.col("n_b")
-    near = (F.least(na, nb) >= similarity * F.greatest(na, nb) - 1e-6) & (bits <= (1 - similarity) / (1 + similarity) * (na + nb) + 1e-6)
-    placed = shared.withColumn("component", F.col("key"))
-    linked = None
-    for turn in range(HEAD_TURNS):
-        head = F.min(F.struct(F.xxhash64("list", "key", F.lit(turn)), "key", "component")).over(lists)
-        stars = placed.withColumn("head", head).where("head.component <> component").select(F.least("head.key", "key").alias("a"), F.greatest("head.key", "key").alias("b")).distinct()
-        close = stars.join(prints("a"), "a").join(prints("b"), "b").where(near).select("a", "b")
-        found = _similar(close, sources, shingle, similarity)
-        linked = cut_lineage(found if linked is None else linked.unionByName(found))
-        group = cut_lineage(components(linked))
-        placed = shared.join(group, F.col("key") == F.col("node"), "left").select("list", "key", F.coalesce("component", "key").alias("component"))
+    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = cut_lineage(posted.join(sizes, "list"))
+    own = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met")).join(info.select("key", "k"), "key").select("key", (F.col("k") - F.col("met")).alias("alone"))
+    heads = shared.join(own, "key").groupBy("list").agg(F.min(F.struct("alone", F.xxhash64("list", "key"), "key")).alias("head")).select("list", F.col("head.key").alias("head"))
+    stars = shared.join(heads, "list").where("head <> key").select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
+    of = lambda x: info.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
+    close = stars.join(of("a"), F.col("a") == F.col("key_a")).join(of("b"), (F.col("b") == F.col("key_b")) & _may_be_near(similarity)).select("a", "b")
+    linked = cut_lineage(_similar(cut_lineage(close), rows, sources, shingle, similarity))
+    group = cut_lineage(components(linked))
+
+    placed = shared.where("members > 2").join(group, F.col("key") == F.col("node"), "left").select("list", "members", "key", F.coalesce("component", "key").alias("component"))
     mixed = placed.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    left = cut_lineage(placed.join(mixed, "list", "left_semi").join(rows.select("key", "n", "fp"), "key"))
-    held = left.select("list", "component").distinct()
-    apart = held.withColumnRenamed("component", "in_a").join(held.withColumnRenamed("component", "in_b"), "list").where("in_a < in_b")
-    for x in "ab":
-        apart = apart.join(left.select("list", F.col("component").alias(f"in_{x}"), F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}")), ["list", f"in_{x}"])
-    across = apart.where(near).select("a", "b").distinct()
-    second = _similar(across, sources, shingle, similarity)
-    return components(linked.unionByName(second)).select(F.col("node").alias("key"), F.col("component").alias("group"))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = placed.join(mixed, "list", "left_semi").join(info, "key").withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    units = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least("block", j).alias("u"), F.greatest("block", j).alias("v")))
+    left = cut_lineage(left.withColumn("unit", F.explode(units)))
+    side = lambda x: left.select("list", "unit", F.col("key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("component", "block", "n", "fp")])
+    x, y = side("a").alias("x"), side("b").alias("y")
+    meet = (F.col("x.list") == F.col("y.list")) & (F.col("x.unit") == F.col("y.unit")) & (F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b"))
+    across = x.join(y, meet & ((F.col("block_a") != F.col("block_b")) | (F.col("x.unit.u") == F.col("x.unit.v"))) & _may_be_near(similarity)).select("a", "b").distinct()
+    second = _similar(cut_lineage(across), rows, sources, shingle, similarity)
+    return components(linked.unionByName(second)).join(rows.select("key", "sha"), F.col("node") == F.col("key")).select("sha", F.col("component").alias("group"))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one document of each group of near copies: that of the smallest id.
+    """``docs``, all columns, with one document of each group of near copies, exact ones included: that of the smallest id (null last).
 
-    Repeats of the text that stays, equal in the id too, are left as they are.
+    Repeats of the document that stays, equal in the id and the text, are left as they are.
     """
-    groups = near_copies(docs, shingle, similarity, text_col)
-    ids = docs.select(F.xxhash64(text_col).alias("key"), F.col(id_col).alias("id"))
-    best = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
-    stays = groups.join(ids, "key").groupBy("group").agg(F.min(best).alias("best")).select("best.key").withColumn("__stays", F.lit(True))
-    gone = groups.select("key").join(stays, "key", "left_anti").select(F.col("key").alias("__gone"))
-    return docs.join(gone, F.xxhash64(docs[text_col]) == F.col("__gone"), "left_anti")
+    groups = cut_lineage(near_copies(docs, shingle, similarity, text_col))
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")), 256))
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "sha")
+    texts = docs.select(sha.alias("sha"), docs[id_col].alias("id")).groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("first"))
+    texts = cut_lineage(texts.join(groups, "sha", "left").where("copies > 1 or group is not null").select("sha", F.col("first.id").alias("id"), "group"))
+    stays = texts.where("group is not null").groupBy("group").agg(F.min(best).alias("best")).select(F.col("best.sha").alias("kept"))
+    marked = texts.join(stays, F.col("sha") == F.col("kept"), "left")
+    gone = cut_lineage(marked.select(F.col("sha").alias("__sha"), F.col("id").alias("__id"), (F.col("group").isNull() | F.col("kept").isNotNull()).alias("__stays")))
+    return docs.join(_sent(gone), (sha == gone["__sha"]) & ~(gone["__stays"] & docs[id_col].eqNullSafe(gone["__id"])), "left_anti")

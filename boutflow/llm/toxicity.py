@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -135,25 +136,25 @@ class Chain:
 
     def _linear(self, text: str | None) -> np.ndarray:
         counts = Counter(words(text))
-        total = np.zeros(len(self.categories))
         v = values(counts)
         known = self.known
         at = [known.get(w, -1) for w in counts]
         if -1 in at:
-            for k, w in enumerate(counts):
-                if at[k] < 0:
-                    own = self.weights[buckets(w)].sum(0)
-                    if len(w) <= MAX_HELD and len(known) < MAX_WORDS:
-                        at[k] = known[w] = len(known)
-                        self.scores[at[k]] = own
-                    else:
-                        total += v[k] * own
-            held = np.array(at) >= 0
-            total += v[held] @ self.scores[[x for x in at if x >= 0]]
-            if len(known) == MAX_WORDS:
+            new = [w for w, k in zip(counts, at, strict=True) if k < 0]
+            parts = [buckets(w) for w in new]
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            own = np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(parts), np.int64)], starts)
+            at = np.array(at)
+            missing = at < 0
+            total = v[missing] @ own + v[~missing] @ self.scores[at[~missing]]
+            if len(known) + len(new) > MAX_WORDS:
                 known.clear()
+            for w, x in zip(new, own, strict=True):
+                if len(w) <= MAX_HELD and len(known) < MAX_WORDS:
+                    self.scores[len(known)] = x
+                    known[w] = len(known)
             return total
-        return total + v @ self.scores[at]
+        return v @ self.scores[at]
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.categories)))
