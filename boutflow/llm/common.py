@@ -70,8 +70,11 @@ def per_batch(
 ) -> DataFrame:
     """``keep`` of ``df`` and the columns ``added``, which a function of an Arrow batch computes.
 
-    ``make`` runs once in each task (it loads a model, say) and gives that function.
+    ``make`` runs once in each task (it loads a model, say) and gives that function. A column of ``keep``
+    whose name clashes with an added one, in any case, makes way for it.
     """
+    taken = {n.lower() for n, _ in added}
+    keep = [c for c in keep if c.lower() not in taken]
     schema = T.StructType([*(df.schema[c] for c in keep), *(T.StructField(n, t) for n, t in added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

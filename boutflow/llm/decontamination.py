@@ -8,19 +8,20 @@ is one window; its own state says where it ends. Per document the operator gives
 cut spans out of the text, or drop the documents whose hits exceed a share of their words.
 
 The automaton is built from the benchmark alone and is broadcast only up to ``MAX_AUTOMATON_BYTES`` of
-item text. Beyond that the items are dealt into blocks by hash; the documents pass one block after the
-other, with the spans so far carried along and the lineage cut in between, so the result is the same.
-
-Edge cases: a null or wordless text has no words, no hits and is not contaminated; null, empty and
-repeated items add nothing; repeated documents each give a row; other columns are not read (``drop_contaminated``
-keeps them as they are); empty tables give no hits or no rows.
+item text, measured before anything is collected. Beyond that the items are dealt into blocks by hash, of
+which the driver holds one at a time; the texts pass each block, what is hit (text hash, spans, items) is
+written, and the blocks' spans are merged by the text's hash, so the result is the same.
+
+Edge cases: a null or wordless text has no words, no hits and is not contaminated; items without words
+add nothing; an item without an id is hit like any other, under the empty id; repeated items count once;
+repeated documents each give a row; other columns are not read (``drop_contaminated`` keeps them as they
+are); empty tables give no hits or no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from boutflow.llm.common import cut_lineage, filter_batches, per_batch
 
-#: Item text, in bytes, of one automaton: about 200,000 words.
+#: Item text, in bytes, of one automaton: about 200,000 words, and some 150 MB as Python holds it.
 MAX_AUTOMATON_BYTES = 1 << 20
 
 _WORD = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -151,47 +152,76 @@ def contaminated(n_hit: int, n_words: int, share: int = 20) -> bool:
     return n_hit > 0 and share * n_hit >= n_words
 
 
-def automata(benchmark: DataFrame, window: int, item_col: str, text_col: str, max_bytes: int) -> Iterator[Automaton]:
-    """One automaton for each block of items; one block where the items' text is within ``max_bytes``."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).dropna()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // max_bytes) or 1
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = sorted({(r.item, r.text) for r in part.collect()})  # one block: at most about max_bytes of text
-        yield Automaton([(i, w) for i, t in rows if (w := words(t))], window)
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_AUTOMATON_BYTES) -> DataFrame:
-    """Per row of ``docs``: id, text, ``n_words``, ``spans`` (of word positions) and ``items`` (ids as strings)."""
-    pairs, strings = T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())
-    out = docs.select(id_col, text_col)
-    first = True
-    for automaton in automata(benchmark, window, item_col, item_text_col, max_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(automaton)
-        if not first:
-            out = cut_lineage(out.withColumnsRenamed({"spans": "__spans", "items": "__items"}))
-
-        def make(shared=shared, first=first):
-            automaton = shared.value
-
-            def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-                counts, spans, items = [], [], []
-                for k, t in enumerate(batch.column(text_col).to_pylist()):
-                    ws = words(t)
-                    s, i = automaton.match(ws)
-                    if not first:
-                        s, i = merged([*s, *batch.column("__spans")[k].as_py()]), i | {*batch.column("__items")[k].as_py()}
-                    counts.append(len(ws))
-                    spans.append(s)
-                    items.append(sorted(i))
-                return {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
-
-            return work
-
-        out = per_batch(out, make, [id_col, text_col], [("n_words", T.LongType()), ("spans", pairs), ("items", strings)])
-        first = False
-    return out
+def items_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
+
+
+def block_count(items: DataFrame, max_bytes: int) -> int:
+    return max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // max_bytes))
+
+
+def automaton_of(items: DataFrame, window: int, block: int = 0, blocks: int = 1) -> Automaton:
+    """The automaton of one block of items: at most about the bytes that a block may have are collected."""
+    part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block) if blocks > 1 else items
+    rows = sorted({(r.item, r.text) for r in part.collect()})
+    return Automaton([(i, w) for i, t in rows if (w := words(t))], window)
+
+
+_SPANS, _ITEMS = T.ArrayType(T.ArrayType(T.IntegerType())), T.ArrayType(T.StringType())
+
+
+def _matched(df: DataFrame, automaton: Automaton, text_col: str, keep: list[str]) -> DataFrame:
+    """``keep`` of ``df`` with n_words, spans and items by one automaton."""
+    shared = df.sparkSession.sparkContext.broadcast(automaton)
+
+    def make():
+        automaton = shared.value
+
+        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            counts, spans, items = [], [], []
+            for t in batch.column(text_col).to_pylist():
+                ws = words(t)
+                s, i = automaton.match(ws)
+                counts.append(len(ws))
+                spans.append(s)
+                items.append(sorted(i))
+            return {"n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": pa.array(items, pa.list_(pa.string()))}
+
+        return work
+
+    return per_batch(df, make, keep, [("n_words", T.LongType()), ("spans", _SPANS), ("items", _ITEMS)])
+
+
+def _merged(df: DataFrame, text_col: str, keep: list[str], found: DataFrame) -> DataFrame:
+    """``keep`` of ``df`` with n_words, and the spans and items of ``found`` (sha, spans, items: those of all blocks) merged."""
+    per = found.groupBy("sha").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))  # a row a block for a text
+    empty = F.array().cast("array<array<int>>"), F.array().cast("array<string>")
+    joined = df.join(per.withColumnsRenamed({"sha": "__found", "spans": "__spans", "items": "__items"}), F.sha2(df[text_col], 256) == F.col("__found"), "left")
+    joined = joined.select(*[df[c] for c in df.columns], F.coalesce("__spans", empty[0]).alias("__spans"), F.coalesce("__items", empty[1]).alias("__items"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+            spans = [merged(s) for s in batch.column("__spans").to_pylist()]
+            return {"n_words": pa.array([len(words(t)) for t in batch.column(text_col).to_pylist()], pa.int64()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "items": batch.column("__items")}
+
+        return work
+
+    return per_batch(joined, make, keep, [("n_words", T.LongType()), ("spans", _SPANS), ("items", _ITEMS)])
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_bytes: int = MAX_AUTOMATON_BYTES, keep: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: ``keep`` (the id), ``n_words``, ``spans`` (of word positions) and ``items`` (ids as strings)."""
+    keep = [id_col] if keep is None else keep
+    rows, items = docs.select(*dict.fromkeys([*keep, text_col])), items_of(benchmark, item_col, item_text_col)
+    blocks = block_count(items, max_bytes)
+    if blocks == 1:
+        return _matched(rows, automaton_of(items, window), text_col, keep)
+    found, texts = None, docs.select(F.sha2(text_col, 256).alias("sha"), F.col(text_col).alias("text"))
+    for block in range(blocks):  # one automaton at a time; what is kept of a block is its hits
+        part = _matched(texts, automaton_of(items, window, block, blocks), "text", ["sha"]).where("size(spans) > 0").drop("n_words").dropDuplicates(["sha"])
+        part = cut_lineage(part)
+        found = part if found is None else found.unionByName(part)
+    return _merged(rows, text_col, keep, found)
 
 
 def summary(found: DataFrame, id_col: str = "doc_id", share: int = 20) -> DataFrame:
@@ -238,12 +268,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, s
     With items in one block, in one pass. Otherwise hits must be joined over blocks, so ``hits`` says
     which texts are contaminated, and an anti-join by the text takes them out.
     """
-    blocks = list(automata(benchmark, window, item_col, item_text_col, max_bytes))
-    if len(blocks) > 1:
-        found = hits(docs.select(F.col(text_col).alias("__id"), F.col(text_col)), benchmark, window, "__id", text_col, item_col, item_text_col, max_bytes)
-        bad = summary(found, "__id", share).where("contaminated").select(F.sha2("__id", 256).alias("__bad")).distinct()
-        return docs.join(bad, F.sha2(text_col, 256) == F.col("__bad"), "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+    items = items_of(benchmark, item_col, item_text_col)
+    if block_count(items, max_bytes) > 1:
+        found = hits(docs.select(F.sha2(text_col, 256).alias("__id"), F.col(text_col).alias("__text")), benchmark, window, "__id", "__text", item_col, item_text_col, max_bytes)
+        bad = summary(found, "__id", share).where("contaminated").select(F.col("__id").alias("__bad")).distinct()
+        return docs.join(bad, F.sha2(docs[text_col], 256) == bad["__bad"], "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(automaton_of(items, window))
 
     def make():
         automaton = shared.value

@@ -2,8 +2,8 @@
 
 Counts of hashed n-grams (1 to 3 characters, lower case) per language come from all training rows: each
 task sums its rows in numpy and Spark adds the tasks' sums. The log-probabilities form a matrix of
-``BUCKETS`` times the number of languages (at most ``MAX_LANGUAGES``, checked), which is broadcast; texts
-are scored in batches by adding up the matrix rows of their n-grams.
+``BUCKETS`` times the number of languages (at most ``MAX_LANGUAGES``, checked), which is broadcast; a batch of
+texts is a sparse matrix of texts and n-grams, multiplied with it in numpy.
 
 Edge cases: ``und`` with score 0 for a null text, a text without a letter, and where there is nothing to
 learn from; equal scores go to the first language in order; repeated rows each give a row; other columns
@@ -56,19 +56,32 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not self.languages:
-            return names, scores
-        for k, text in enumerate(texts):
-            if not has_letter(text):
-                continue
-            total = self.prior.copy()
-            b = buckets(text)
-            for s in range(0, len(b), PIECE):
-                total += self.log[b[s : s + PIECE]].sum(0)
-            best = int(total.argmax())
-            names[k], scores[k] = self.languages[best], float(1 / np.exp(total - total[best]).sum())
+        rows = [k for k, t in enumerate(texts) if self.languages and has_letter(t)]
+        total = np.tile(self.prior, (len(rows), 1)) if rows else np.zeros((0, 1))
+        for at, starts, grams in self._pieces(texts, rows):
+            np.add.at(total, at, np.add.reduceat(self.log[grams], starts, axis=0))
+        best = total.argmax(1)
+        shares = 1 / np.exp(total - total[np.arange(len(rows)), best, None]).sum(1)
+        for k, b, s in zip(rows, best, shares, strict=True):
+            names[k], scores[k] = self.languages[b], float(s)
         return names, scores
 
+    @staticmethod
+    def _pieces(texts: list[str | None], rows: list[int]):
+        """The batch as a sparse matrix of texts and n-grams, in pieces of about PIECE: rows, where each starts, and its buckets."""
+        at, parts, size = [], [], 0
+        for place, k in enumerate(rows):
+            b = buckets(texts[k])
+            for s in range(0, len(b), PIECE):
+                at.append(place)
+                parts.append(b[s : s + PIECE])
+                size += len(parts[-1])
+                if size >= PIECE:
+                    yield at, np.cumsum([0, *map(len, parts[:-1])]), np.concatenate(parts)
+                    at, parts, size = [], [], 0
+        if parts:
+            yield at, np.cumsum([0, *map(len, parts[:-1])]), np.concatenate(parts)
+
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learns from all rows with a language and a letter."""

@@ -140,7 +140,7 @@ SQL["op10_decontamination"] = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents
 ), i AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE text IS NOT NULL
 ), windows AS (
   SELECT DISTINCT item, n, array_to_string(w[k : k + n - 1], ' ') AS words
   FROM (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM i WHERE len(w) > 0)

@@ -3,34 +3,44 @@
 Three patterns give base spans. A conditional random field then tags every token of every whole text as
 the beginning of a secret, inside one, or outside, from the token's shape, its neighbours' shapes and
 key words, the characters around it and features of the whole file; the Viterbi path gives spans, of
-which those that touch no base span are added. The field is trained here, on the base spans of a bounded
-sample (``SAMPLE`` documents of the smallest hash), so it learns what surrounds and makes up a secret.
+which those that touch no base span are added.
+
+The field is trained here, on windows of a bounded sample of documents: up to ``SAMPLE`` that may hold a
+base span and as many others, those of the smallest hash. What it learns from are their base spans and
+secrets of other forms, made up and put into copies of the windows (other key words, ``Bearer`` headers,
+prefixed keys, upper-case hexadecimal), beside made-up strings that are none (dates, versions, numbers,
+key words in plain sentences). So it finds secrets that the patterns don't know.
 
 Features and scores are numpy arrays over all tokens of a batch. The Viterbi path is exact, but is only
 worked out where it can leave "outside": over a run of tokens, no path through a token can gain on
 staying outside when the best sums of upper bounds to its left and right, with its own, stay at 0 or less.
 
-Edge cases: a null text counts as empty and has no spans; with no base span in the sample, the field adds
-none; repeated rows each give a row; other columns are not read; empty tables give empty results.
+Edge cases: a null text counts as empty and has no spans; without any text to learn from, the field adds
+none; of several texts with one id, the least is learnt from; repeated rows each give a row; other columns
+are not read; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutflow.llm.common import per_batch
+from boutflow.llm.common import cut_lineage, per_batch
 
-SAMPLE = 3_000
+SAMPLE = 400
 #: Tokens of a training window, on both sides of a span or of a place chosen by the document's length.
 REACH = 20
-STEPS = 80
+#: Windows around base spans that a document gives to the training at most, spread over all of its spans.
+WINDOWS = 8
+STEPS = 60
 #: Characters whose features are held at a time (or one document's, if longer).
 PIECE = 2_000_000
 KINDS = ("assign", "access", "hex", "crf")
@@ -42,7 +52,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 _MAY_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Words that make a neighbour worth telling.
-KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential", "credentials", "private", "access_key")
+KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential", "credentials", "private", "access_key", "authorization", "private_key", "client_secret", "passphrase", "login")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -251,50 +261,94 @@ class Field:
         return field
 
 
+def _made_up(rng: np.random.Generator) -> tuple[str, int, int]:
+    """A secret of a form that the base patterns don't know, in its setting; start and end of its value."""
+    pick = lambda alphabet, low, high: "".join(rng.choice(list(alphabet), rng.integers(low, high)))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    word, any_case = letters + digits, letters + letters.upper() + digits
+    value = [lambda: pick(any_case, 12, 44), lambda: pick(word, 10, 32), lambda: pick("0123456789ABCDEF", 24, 44), lambda: pick(any_case + "+/", 20, 60) + "=", lambda: pick(letters, 2, 4) + "_" + pick(letters, 4, 5) + "_" + pick(any_case, 20, 40), lambda: pick(letters, 3, 4) + "_" + pick(any_case, 30, 40)][rng.integers(6)]()
+    key = ["pwd", "auth", "private_key", "credential", "credentials", "access_key", "client_secret", "passphrase", "login", "key"][rng.integers(10)]
+    key = [key, key.upper(), key.capitalize()][rng.integers(3)]
+    before = [f"{key}={{}}", f"{key}: {{}}", f'{key} = "{{}}"', f"{key} => '{{}}'", "Authorization: Bearer {}", "bearer {}", f"{key} {{}}"][rng.integers(7)]
+    start = before.index("{")
+    return before.format(value), start, start + len(value)
+
+
+def _harmless(rng: np.random.Generator) -> str:
+    """A string that is no secret, though it has digits, capitals or a key word."""
+    n = [int(x) for x in rng.integers(1, 10**6, 4)]
+    return [
+        f"20{n[0] % 25:02}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}", f"v{n[0] % 20}.{n[1] % 30}.{n[2] % 90}", f"{n[0]}{n[1]}", f"+{n[0] % 99} {n[1]} {n[2]}", f"no. {n[0]}", f"{n[0] % 999}.{n[1] % 999}.{n[2] % 99}",
+        "key: value", "the key to", "auth: none", "login: yes", "password reset", "a bearer of", "private key", f"user{n[0] % 999}", f"page={n[0] % 99}", "ISO/IEC", "HTTP/2", "ABC-DEF", "well-known", f"{n[0] % 23}:{n[1] % 59:02}", f"id={n[0]}", f"www.site{n[0] % 99}.org/page", f"name{n[0] % 99}@mail.org",
+    ][rng.integers(23)]
+
+
+def implanted(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
+    """A stretch of ``text`` with a made-up secret and two harmless strings put between words; the values' places."""
+    words = text.split(" ")
+    at = int(rng.integers(0, len(words)))
+    words = words[max(0, at - 4 * REACH) : at + 4 * REACH]
+    secret, start, end = _made_up(rng)
+    parts = [(int(rng.integers(0, len(words) + 1)), x) for x in (secret, _harmless(rng), _harmless(rng))]
+    for place, x in sorted(parts, key=lambda p: -p[0]):
+        words.insert(place, x)
+    out = " ".join(words)
+    from_ = out.index(secret) + start
+    return out, [(from_, from_ + end - start)]
+
+
 def _windows(text: str) -> tuple[list[list[int]], list[int]]:
     """Training windows of a text: flat features of each, and tags (-1: no token), REACH * 2 + 1 places."""
-    tokens = Tokens([text])
-    n = len(tokens.start)
-    tags = np.zeros(n, np.int64)
-    middles = []
-    for _, _, end, value in base_spans(text):
-        inside = np.flatnonzero((tokens.start < end) & (tokens.end > value))
-        if len(inside):
-            tags[inside], tags[inside[0]] = 2, 1
-            middles.append(int(inside[0]))
-    middles += [n // 4, n // 2, 3 * n // 4] if n else []
     features, out = [], []
-    for m in dict.fromkeys(middles[:8]):
-        at = np.arange(m - REACH, m + REACH + 1)
-        there = (at >= 0) & (at < n)
-        at = np.clip(at, 0, n - 1)
-        features.append(np.where(there[:, None], tokens.features[at], 0).ravel().tolist())
-        out.append(np.where(there, tags[at], -1).tolist())
+
+    def add(text: str, values: list[tuple[int, int]], background: bool) -> None:
+        tokens = Tokens([text])
+        n = len(tokens.start)
+        tags, middles = np.zeros(n, np.int64), []
+        for start, end in values:
+            inside = np.flatnonzero((tokens.start < end) & (tokens.end > start))
+            if len(inside):
+                tags[inside], tags[inside[0]] = 2, 1
+                middles.append(int(inside[0]))
+        middles = middles[:: max(1, -(-len(middles) // WINDOWS))]
+        middles += [n // 4, n // 2, 3 * n // 4] if n and background else []
+        for m in dict.fromkeys(middles):
+            at = np.arange(m - REACH, m + REACH + 1)
+            there = (at >= 0) & (at < n)
+            at = np.clip(at, 0, n - 1)
+            features.append(np.where(there[:, None], tokens.features[at], 0).ravel().tolist())
+            out.append(np.where(there, tags[at], -1).tolist())
+
+    base = [(value, end) for _, _, end, value in base_spans(text)]
+    add(text, base, True)
+    rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    for _ in range(2 if text else 0):
+        copy, values = implanted(text, rng)
+        add(copy, values + [(value, end) for _, _, end, value in base_spans(copy)], False)
     return features, out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Trains the field on windows of at most ``sample`` documents, those of the smallest hash of the id."""
-    ids = docs.select(F.col(id_col).alias("id")).dropna().orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids.distinct()), "id", "left_semi")
+    """Trains the field on windows of at most twice ``sample`` documents: such as may hold a base span, and others."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    first = lambda some: some.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    ids = first(rows.where(F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))).union(first(rows)).distinct()
+    chosen = cut_lineage(rows.join(F.broadcast(ids), "id").groupBy("id").agg(F.min("text").alias("text")).repartition(8, "id"))  # twice ``sample`` ids at most
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             found = [_windows(t or "") for t in batch.column("text").to_pylist()]
-            return {"features": pa.array([f for f, _ in found], pa.list_(pa.list_(pa.int32()))), "tags": pa.array([t for _, t in found], pa.list_(pa.list_(pa.int32())))}
+            small = pa.list_(pa.list_(pa.int16()))
+            return {"features": pa.array([f for f, _ in found], small), "tags": pa.array([t for _, t in found], small)}
 
         return work
 
-    lists = T.ArrayType(T.ArrayType(T.IntegerType()))
+    lists = T.ArrayType(T.ArrayType(T.ShortType()))
     got = per_batch(chosen, make, ["id"], [("features", lists), ("tags", lists)]).toArrow().sort_by("id")
     width = 2 * REACH + 1
-    flat = lambda c: got.column(c).combine_chunks().flatten().flatten().to_numpy(zero_copy_only=False)
+    flat = lambda c: pc.list_flatten(pc.list_flatten(got[c])).to_numpy()
     tags = flat("tags").reshape(-1, width).astype(np.int64)
-    features = flat("features").reshape(-1, width, len(SIZES)).astype(np.int64)
-    # all windows with a secret, and as many others for each
-    some = (tags > 0).any(1)
-    keep = some | (np.cumsum(~some) <= 2 * some.sum() + 200)
-    tags, features = tags[keep], features[keep]
+    features = flat("features").reshape(-1, width, len(SIZES))
     return Field.train(features, np.maximum(tags, 0), tags >= 0)
 
 

@@ -10,7 +10,8 @@ The table of distinct chunks belongs to a task: it fills while the task goes thr
 emptied at ``MAX_CHUNKS`` entries, which bounds the memory. No row is shuffled.
 
 Edge cases: a null text counts as empty and has the end id alone; repeated rows and repeated ids each
-give a row; columns other than the id and the text are not read; an empty table gives an empty result.
+give a row; columns other than the id and the text are not read unless they are to be kept, and one that is
+named like an added column makes way for it; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ that pairs each with the next, so a window holds at most the days of the list.
 
 Edge cases: a capture with a null or unreadable URL, or a null day, passes with null ``listed``; a null
 entry domain or day is left out; entries of one domain and day count by the largest ``entry_id``; repeated
-captures each give a row; captures keep their other columns, renamed inside; empty lists pass everything.
+captures each give a row; captures keep their other columns, but for those named like an added one, which
+that one replaces; empty lists and empty captures are no error.
 """
 
 from __future__ import annotations
@@ -35,20 +36,25 @@ def intervals(entries: DataFrame) -> DataFrame:
     return last.select("domain", "action", F.col("day").alias("valid_from"), F.lead("day").over(after).alias("valid_to"))
 
 
+#: Columns that the decision adds.
+ADDED = ("host", "listed", "action", "valid_from", "valid_to")
+
+
 def decide(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "day") -> DataFrame:
     """``captures`` with ``host``, ``listed`` (the domain that decides), ``action``, ``valid_from``, ``valid_to``."""
-    known = captures.withColumn("__host", host_of(F.col(url_col))).withColumn("__day", F.col(day_col).cast("int"))
-    asked = known.where("__host is not null and __day is not null").select("__host", "__day").distinct()
-    labels = F.split("__host", r"\.")
+    known = captures.select(F.struct(*[captures[f"`{c}`"] for c in captures.columns]).alias("capture"), host_of(captures[url_col]).alias("host"), captures[day_col].cast("int").alias("day"))
+    asked = known.where("host is not null and day is not null").select("host", "day").distinct()
+    labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    names = asked.select("__host", "__day", F.explode(suffixes).alias("domain")).withColumn("bucket", F.floor(F.col("__day") / BUCKET_DAYS))
+    names = asked.select("host", "day", F.explode(suffixes).alias("domain")).withColumn("bucket", F.floor(F.col("day") / BUCKET_DAYS))
     held = intervals(entries)
     end = F.col("valid_to") - 1
     lasting = held.where("valid_to is not null").select("*", F.explode(F.sequence(F.floor(F.col("valid_from") / BUCKET_DAYS), F.floor(end / BUCKET_DAYS))).alias("bucket"))
-    closed = names.join(lasting, ["domain", "bucket"]).where("valid_from <= __day and __day < valid_to")
-    open_ = names.join(held.where("valid_to is null"), "domain").where("valid_from <= __day")  # one interval a domain
-    fields = ["__host", "__day", "domain", "action", "valid_from", "valid_to"]
+    closed = names.join(lasting, ["domain", "bucket"]).where("valid_from <= day and day < valid_to")
+    open_ = names.join(held.where("valid_to is null"), "domain").where("valid_from <= day")  # one interval a domain
+    fields = ["host", "day", "domain", "action", "valid_from", "valid_to"]
     met = closed.select(*fields).unionByName(open_.select(*fields))
-    best = met.groupBy("__host", "__day").agg(F.max_by(F.struct("domain", "action", "valid_from", "valid_to"), F.length("domain")).alias("__by"))
-    out = known.join(best, ["__host", "__day"], "left")
-    return out.select(*[known[c] for c in captures.columns], F.col("__host").alias("host"), F.col("__by.domain").alias("listed"), F.col("__by.action").alias("action"), F.col("__by.valid_from").alias("valid_from"), F.col("__by.valid_to").alias("valid_to"))
+    best = met.groupBy("host", "day").agg(F.max_by(F.struct("domain", "action", "valid_from", "valid_to"), F.length("domain")).alias("by"))
+    out = known.join(best, ["host", "day"], "left")
+    kept = [F.col(f"capture.`{c}`") for c in captures.columns if c.lower() not in ADDED]
+    return out.select(*kept, "host", F.col("by.domain").alias("listed"), *[F.col(f"by.{c}") for c in ADDED[2:]])

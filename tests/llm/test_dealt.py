@@ -79,6 +79,9 @@ def test_digests(awkward, nothing):
         want.append((i, len(ids), sha(" ".join(map(str, ids))), sha(model.decode(ids))))
     assert Counter(map(tuple, got)) == Counter(want)
     assert sentencepiece_codec.digest_texts(nothing, MODEL).count() == 0
+    clash = awkward.withColumns({"decoded": F.lit("mine"), "Token_IDs": F.lit(1)})
+    out = sentencepiece_codec.encode_texts(clash, MODEL, keep=clash.columns)
+    assert out.columns == [*awkward.columns, "token_ids", "decoded"] and out.where("decoded = 'mine'").count() == 0
     assert {len(r.token_ids) for r in sentencepiece_codec.encode_texts(awkward.where("text is null or text = ''"), MODEL).collect()} == {1}
 
 
@@ -89,10 +92,16 @@ def test_url_filter(spark):
     entries = spark.createDataFrame([(1, "bad.org", 10, "block"), (2, "bad.org", 20, "allow"), (3, "a.bad.org", 15, "allow"), (4, "bad.org", 10, "allow"), (5, "bad.org", 10, "block"), (6, None, 1, "block"), (7, "bad.org", 40, "block")], "entry_id long, domain string, day int, action string")
     captures = [("http://bad.org/x", 9), ("http://bad.org/x", 10), ("http://x.a.bad.org:80/", 15), ("https://u@b.BAD.org?q", 19), ("http://bad.org", 20), ("http://bad.org", 20), ("http://bad.org", 99), ("http://notbad.org", 12), (None, 3), ("junk", 3), ("http://bad.org", None)]
     frame = spark.createDataFrame([(*c, "z") for c in captures], "url string, day int, host string")
-    got = Counter((r[0], r[1], r[-4], r[-3]) for r in url_filter.decide(frame.withColumnRenamed("host", "source"), entries).collect())
+    decided = url_filter.decide(frame, entries)
+    assert decided.columns == ["url", "day", *url_filter.ADDED]
+    got = Counter((r[0], r[1], r[-4], r[-3]) for r in decided.collect())
     want = Counter([("http://bad.org/x", 9, None, None), ("http://bad.org/x", 10, "bad.org", "block"), ("http://x.a.bad.org:80/", 15, "a.bad.org", "allow"), ("https://u@b.BAD.org?q", 19, "bad.org", "block"), ("http://bad.org", 20, "bad.org", "allow"), ("http://bad.org", 20, "bad.org", "allow"), ("http://bad.org", 99, "bad.org", "block"), ("http://notbad.org", 12, None, None), (None, 3, None, None), ("junk", 3, None, None), ("http://bad.org", None, None, None)])
     assert got == want
-    assert url_filter.decide(frame.withColumnRenamed("host", "source"), entries.limit(0)).where("listed is not null").count() == 0
+    assert url_filter.decide(frame, entries.limit(0)).where("listed is not null").count() == 0
+    assert url_filter.decide(frame.limit(0), entries).count() == 0
+    clash = frame.selectExpr("url", "day", "host as by", "host as __host", "host as Action", "host as domain")
+    assert url_filter.decide(clash, entries).columns == ["url", "day", "by", "__host", "domain", *url_filter.ADDED]
+    assert url_filter.decide(clash, entries).where("by <> 'z'").count() == 0
 
 
 # 3
@@ -141,18 +150,13 @@ def test_base_spans_follow_the_patterns():
     assert [(s, k, e) for s, k, e, _ in secrets_crf.base_spans(text)] == sorted(want) and len(want) == 4
 
 
-def _field():
-    rng = np.random.default_rng(3)
-    texts = [" ".join(["lorem ipsum dolor"] * 5) + f' token = "{rng.bytes(20).hex()}" ' + " ".join(["sit amet 12"] * 5) for _ in range(60)]
-    found = [secrets_crf._windows(t) for t in texts]
-    tags = np.array([x for _, t in found for x in t])
-    features = np.array([x for f, _ in found for x in f]).reshape(*tags.shape, len(secrets_crf.SIZES))
-    return secrets_crf.Field.train(features, np.maximum(tags, 0), tags >= 0)
+@pytest.fixture(scope="module")
+def field(docs):
+    return secrets_crf.fit(docs.where("doc_id % 2 = 0"), sample=60)
 
 
-def test_field_finds_secrets_and_prunes_exactly(rows):
-    field = _field()
-    texts = [t for _, t, _ in rows][:60] + ['the token = "9f8e7d6c5b4a39281706f5e4d3c2b1a0ffeeddcc" ends']
+def test_field_prunes_exactly(field, rows):
+    texts = [t for _, t, _ in rows][:60] + ['the pwd = "9F8E7D6C5B4A39281706F5E4D3C2B1A0FFEEDDCC" ends']
     tokens = secrets_crf.Tokens(texts)
     assert field.spans(tokens)[-1][0] == len(texts) - 1
     gain = sum((field.weights[:, 1:] - field.weights[:, :1])[tokens.features[:, k]] for k in range(len(secrets_crf.SIZES)))
@@ -164,6 +168,35 @@ def test_field_finds_secrets_and_prunes_exactly(rows):
     assert field.spans(tokens) == want
 
 
+def test_field_finds_secrets_that_the_patterns_miss(field, rows):
+    rng = np.random.default_rng(77)
+    texts, values = zip(*(secrets_crf.implanted(t, rng) for i, t, _ in rows if i % 2 for _ in range(3)), strict=True)
+    found = right = missed = 0
+    for (base, every), want in zip(secrets_crf.scan(list(texts), field), values, strict=True):
+        added = [(s, e) for s, k, e in every if k == 3]
+        covered = [w for w in want if any(s < w[1] and w[0] < e for s, _, e in base)]
+        good = [x for x in added if any(x[0] < e and s < x[1] for s, e in want)]
+        found, right = found + len(added), right + len(good)
+        missed += sum(w not in covered and not any(x[0] < w[1] and w[0] < x[1] for x in added) for w in want)
+    assert found > 150 and right >= 0.95 * found and missed <= 0.15 * len(texts), (found, right, missed, len(texts))
+    clean = [t for i, t, _ in rows if i % 2]
+    assert sum(len(every) - len(base) for base, every in secrets_crf.scan(clean, field)) <= 0.02 * len(clean)
+
+
+def test_base_columns_of_rows_equal_plain_patterns(spark, docs, rows, field):
+    rng = np.random.default_rng(5)
+    bits = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", ' "', "'", " ", "AKIA", "ABCDEFGH12345678XYZ", "deadbeef", "0123456789abcdef", "é", "\n", "xy/z.+=", "word "]
+    rows = rows + [(10_000 + i, "".join(rng.choice(bits, 60)), None) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    kinds = (("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", "(AKIA[A-Z0-9]+)", 1, 20), ("hex", "([0-9a-f]+)", 1, 24))
+    want = Counter()
+    for i, t, _ in rows:
+        spans = sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in re.finditer(p, t or "") if len(m[g]) >= n)
+        want[(i, *(sum(k == j for _, k, _ in spans) for j in range(3)), sha(",".join(f"{kinds[k][0]}:{s}:{e}" for s, k, e in spans)))] += 1
+    got = secrets_crf.find_secrets(docs, field)
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got.collect()) == want and sum(n for k, n in want.items() if k[1]) > 0
+
+
 def test_secret_rows(awkward, nothing):
     field = secrets_crf.fit(awkward)
     got = {(r.doc_id, r.n_assign, r.n_access, r.n_hex) for r in secrets_crf.find_secrets(awkward, field).collect()}
@@ -193,6 +226,8 @@ def test_language_scores_equal_plain_sums(rows, awkward, nothing):
     text = rows[50][1]
     total = np.array([np.log(n[x] / len(texts)) + sum(np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for b in langid.buckets(text).tolist()) for x in names])
     assert model.predict([text])[0] == [names[int(total.argmax())]]
+    alone = [model.predict([t]) for t, _ in texts]  # a batch scores as its texts do
+    assert model.predict([t for t, _ in texts]) == ([n[0] for n, _ in alone], pytest.approx([s[0] for _, s in alone]))
     got = {r.doc_id: r for r in langid.predict(awkward, langid.fit(awkward)).collect()}
     assert {got[i].lang_pred for i in (1, 2, 3, 8)} == {"und"} and got[9].lang_pred == "fr" and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in langid.predict(awkward, langid.fit(nothing)).collect()} == {"und"}
@@ -445,7 +480,9 @@ def test_decontamination_of_small_alphabets(spark, nothing):
     docs = [(i, word(rng.integers(0, 60)) + "!") for i in range(40)] + [(90, None), (91, "")]
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.summary(decontamination.hits(*frames, window=5))
-    assert Counter(map(tuple, got.collect())) == _brute(docs, [x for x in items if x[0] is not None], 5)
+    assert Counter(map(tuple, got.collect())) == _brute(docs, [('' if i is None else i, t) for i, t in items], 5)
+    blocks = decontamination.summary(decontamination.hits(*frames, window=5, max_bytes=20))
+    assert Counter(map(tuple, blocks.collect())) == Counter(map(tuple, got.collect()))
     assert decontamination.summary(decontamination.hits(frames[0], frames[1].limit(0))).where("n_hit > 0").count() == 0
     assert decontamination.hits(nothing, frames[1]).count() == 0
 
@@ -453,7 +490,7 @@ def test_decontamination_of_small_alphabets(spark, nothing):
 def test_cut_spans(spark):
     item = " ".join(f"t{k}" for k in range(14))
     docs = spark.createDataFrame([(1, "before it, T" + item[1:] + "; after " + "x " * 30), (2, "clean")], "doc_id long, text string")
-    out = {r.doc_id: r.cut_text for r in decontamination.cut_spans(decontamination.hits(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()}
+    out = {r.doc_id: r.cut_text for r in decontamination.cut_spans(decontamination.hits(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), keep=["doc_id", "text"])).collect()}
     assert out[2] == "clean" and out[1].startswith("before it, ;") and "t5" not in out[1]
 
 
