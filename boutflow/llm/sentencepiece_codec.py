@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from boutflow.llm.common import per_batch, texts
 
 #: Distinct chunks that a task holds at once.
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 100_000
 #: Chunks longer than this are segmented but not held.
 MAX_HELD_CHARS = 64
 MARKER = "▁"
