@@ -72,7 +72,7 @@ def adjusted(base: Column, importance: Column) -> Column:
 def stale_year_priority(year: Column, this_year: Column, active: Column, in_cohort: Column) -> Column:
     """Priority of a stale year of bouts: current, previous and older years, for active and inactive competitors."""
     age = this_year - year
-    idle = F.when(age == 0, 99).when(age == 1, 80).otherwise(80 + F.least(age, F.lit(19)))
+    idle = F.when(age == 0, 99).when(age <= 2, 80).otherwise(80 + F.least(age, F.lit(19)))
     busy = F.when(age == 0, 10).when(age == 1, 30).otherwise(F.least(50 + age, F.lit(99)))
     return F.when(~in_cohort, 99).when(active, busy).otherwise(idle).cast("int")
 

@@ -33,6 +33,7 @@ def bout_type(sides: Column) -> Column:
 
 def is_proxy_org(name: Column) -> Column:
     """Organisations that stand for free-lance shows of a country."""
+    # fixed value: the name pattern
     return name.rlike("(?i)^Wrestling In (.+) - Freelance Shows")
 
 
@@ -41,7 +42,7 @@ def trimmed_label(text: Column) -> Column:
 
 
 def venue_country(text: Column, aliases: dict[str, str] | None = None) -> Column:
-    """The country at the end of ``<kind of event> @ place, region, country``; Unknown without one."""
+    """The country (fixed values: the kinds of event) at the end of ``<kind of event> @ place, region, country``; Unknown without one."""
     place = F.regexp_extract(text, r"(?:Event|Online Stream|TV-Show|Pay Per View|Dark Match|House Show) @ (.+)$", 1)
     last = F.trim(F.regexp_replace(F.trim(F.element_at(F.split(place, ","), -1)), r"\.$", ""))
     if aliases:
@@ -52,7 +53,7 @@ def venue_country(text: Column, aliases: dict[str, str] | None = None) -> Column
 
 def link_kind(href: Column) -> Column:
     """Kinds of links by their query id."""
-    number = F.regexp_extract(href, r"[?&]id=(\d+)", 1)
+    number = F.regexp_extract(href, r"(?:[?&]|&amp;)id=(\d+)", 1)
     kinds = {"2": "competitor", "8": "organisation", "1": "event", "28": "tag_team", "29": "stable"}
     known = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
     return F.coalesce(known[number], F.lit("other"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutflow.functions.dates import age_days
@@ -23,12 +23,81 @@ def coverage(competitors: DataFrame, listings: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).select("year", "n_with_data", "n_cohort", F.round(F.col("n_with_data") / F.col("n_cohort"), 6).alias("share"))
 
 
+def upper_medians(rows: DataFrame, by: list[str], value: str, name: str = "upper_median") -> DataFrame:
+    """Per group: the upper median, the value of rank n // 2 from 0.
+
+    Values are counted, the group's range is cut into PARTS, and running sums over the parts tell which of
+    them holds the median; only in it are values ranked one by one. So no task gathers a group.
+    """
+    ranges = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.sum("n").over(Window.partitionBy(*by, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    bounds = ranges.groupBy(*by).agg(F.sum("n").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    width = (F.col("hi") - F.col("lo")) / PARTS
+    at = F.least(F.when(width > 0, F.floor((F.col("v") - F.col("lo")) / width)).otherwise(0), F.lit(PARTS - 1)).cast("int")
+    dealt = ranges.join(bounds, by).withColumn("part", at)
+    parts = dealt.groupBy(*by, "part").agg(F.sum("n").alias("in_part"), F.first("rows").alias("rows"))  # PARTS rows a group
+    before = F.coalesce(F.sum("in_part").over(Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    middle = F.floor(F.col("rows") / 2)
+    held = parts.withColumn("before", before).where((F.col("before") <= middle) & (middle < F.col("before") + F.col("in_part"))).select(*by, "part", "before", middle.alias("middle"))
+    inside = dealt.join(held, [*by, "part"]).withColumn("start", F.col("before") + F.coalesce(below, F.lit(0)))
+    return inside.where((F.col("start") <= F.col("middle")) & (F.col("middle") < F.col("start") + F.col("n"))).select(*by, F.col("v").alias(name))
+
+
+#: Parts of a group's range of values, of which the one with the median is looked at value by value.
+PARTS = 4096
+
+
 def freshness(competitors: DataFrame, updates: DataFrame, as_of: str) -> DataFrame:
     """Per cohort flag: profiles, those with an update, and mean, upper median, least and largest age in days."""
     rows = competitors.join(updates, "competitor_id", "left").withColumn("age", age_days(F.col("last_updated"), F.lit(as_of).cast("timestamp")))
-    agg = rows.groupBy("in_cohort").agg(F.count(F.lit(1)).alias("n"), F.count("age").alias("n_updated"), F.avg("age").alias("mean"), F.array_sort(F.collect_list("age")).alias("ages"), F.min("age").alias("newest"), F.max("age").alias("oldest"))
-    middle = F.when(F.size("ages") > 0, F.get("ages", F.floor(F.size("ages") / 2).cast("int")))
-    return agg.select("in_cohort", "n", "n_updated", *[F.round(c, 5).alias(n) for c, n in ((F.col("mean"), "mean_age"), (middle, "upper_median_age"), (F.col("newest"), "newest_age"), (F.col("oldest"), "oldest_age"))])
+    agg = rows.groupBy("in_cohort").agg(F.count(F.lit(1)).alias("n"), F.count("age").alias("n_updated"), F.avg("age").alias("mean"), F.min("age").alias("newest"), F.max("age").alias("oldest"))
+    out = agg.join(upper_medians(rows, ["in_cohort"], "age", "middle"), "in_cohort", "left")
+    return out.select("in_cohort", "n", "n_updated", *[F.round(c, 5).alias(n) for c, n in (("mean", "mean_age"), ("middle", "upper_median_age"), ("newest", "newest_age"), ("oldest", "oldest_age"))])
+
+
+def list_freshness(lists: DataFrame, as_of: str) -> DataFrame:
+    """Per year of lists (competitor_id, year, last_updated): lists with an update, and their mean, least and largest age in days."""
+    age = age_days(F.col("last_updated"), F.lit(as_of).cast("timestamp"))
+    return lists.where("last_updated is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n_lists"), *[F.round(f(age), 5).alias(n) for f, n in ((F.avg, "mean_age"), (F.min, "newest_age"), (F.max, "oldest_age"))])
+
+
+def recent_gaps(competitors: DataFrame, listings: DataFrame, this_year: int) -> DataFrame:
+    """One row of the cohort: active competitors (with a list of one of the two years before), those of them without one of this year, and all without one of the year before."""
+    per = listings.where("in_cohort").groupBy("competitor_id").agg(*[F.bool_or(F.col("year") == this_year - k).alias(f"y{k}") for k in range(3)])
+    rows = competitors.where("in_cohort").select("competitor_id").join(per, "competitor_id", "left").fillna(False, ["y0", "y1", "y2"])
+    active = F.col("y1") | F.col("y2")
+    return rows.agg(F.count(F.lit(1)).alias("n_cohort"), F.count_if(active).alias("n_active"), F.count_if(active & ~F.col("y0")).alias("active_without_this_year"), F.count_if(~F.col("y1")).alias("without_last_year"))
+
+
+def outside_shares(shares: DataFrame, least: int = 10) -> DataFrame:
+    """Per in-cohort competitor of ``neighbours.cohort_share`` with a neighbour outside: their number and share, and whether they are most of ``least`` or more."""
+    outside = F.col("n_neighbours") - F.col("n_cohort")
+    return shares.where(F.col("in_cohort") & (outside > 0)).select("competitor_id", "n_neighbours", outside.alias("n_outside"), F.round(outside / F.col("n_neighbours"), 6).alias("outside_share"), ((2 * outside > F.col("n_neighbours")) & (F.col("n_neighbours") >= least)).alias("mostly_outside"))
+
+
+def outside_summary(shares: DataFrame) -> DataFrame:
+    """One row: in-cohort competitors, those with neighbours outside, these neighbours' mean number, and those with most outside."""
+    rows = outside_shares(shares)
+    total = shares.where("in_cohort").agg(F.count(F.lit(1)).alias("n_cohort"))
+    return rows.agg(F.count(F.lit(1)).alias("n_with_outside"), F.round(F.avg("n_outside"), 6).alias("mean_outside"), F.count_if("mostly_outside").alias("n_mostly_outside")).join(F.broadcast(total))  # a row each
+
+
+def completeness(facts: DataFrame, listings: DataFrame, fields: list[str]) -> DataFrame:
+    """Per cohort flag: profiles, those with each optional field, and with and without bouts."""
+    listed = listings.select("competitor_id").distinct().withColumn("listed", F.lit(True))
+    has = lambda c: F.count_if(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    rows = facts.join(listed, "competitor_id", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+    return rows.groupBy("in_cohort").agg(F.count(F.lit(1)).alias("n"), *[has(c).alias(f"with_{c}") for c in fields], F.count_if("listed").alias("with_bouts"), F.count_if(~F.col("listed")).alias("without_bouts"))
+
+
+def team_links(bouts: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per year of parsed ``bouts`` (page_id, bout_date, sides): bouts, those with a side of two or more, those whose page links a team or names one before parentheses, and distinct teams."""
+    link = r'<a href="\?id=(?:28|29)&amp;nr=(\d+)[^"]*">[^<]+</a>'
+    marks = pages.select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit(link), F.lit(1))).alias("team_ids"), F.col("html").rlike(r">([^<(]+)</a> \([^)]+&amp;[^)]+\)").alias("named"))
+    rows = bouts.withColumn("tag", F.exists("sides", lambda s: F.size(s) >= 2)).join(marks, "page_id")
+    per = rows.groupBy(F.year("bout_date").alias("year")).agg(F.count(F.lit(1)).alias("n_bouts"), F.count_if("tag").alias("n_tag"), F.count_if(F.size("team_ids") > 0).alias("n_linked"), F.count_if(F.col("named") & F.col("tag")).alias("n_named"))
+    teams = rows.select(F.year("bout_date").alias("year"), F.explode("team_ids").alias("team")).groupBy("year").agg(F.count_distinct("team").alias("n_teams"))
+    return per.join(teams, "year", "left").withColumn("n_teams", F.coalesce("n_teams", F.lit(0)))
 
 
 def stubs(listings: DataFrame, competitors: DataFrame, first: int, last: int) -> DataFrame:
@@ -38,10 +107,14 @@ def stubs(listings: DataFrame, competitors: DataFrame, first: int, last: int) ->
     return years.join(counts, ["competitor_id", "year"], "left").fillna(0, ["n_bouts"])
 
 
-def stub_audit(years: DataFrame, competitors: DataFrame, least: int = 3) -> DataFrame:
-    """Competitors with ``least`` empty years or a single populated one: both numbers, and first and last populated year."""
+def stub_audit(years: DataFrame, competitors: DataFrame, least: int = 3, stale_days: int = 365) -> DataFrame:
+    """Competitors with ``least`` stubs or a single populated year: both numbers, and first and last populated year.
+
+    A stub is an empty year whose ``age`` in days (null: never read) is beyond ``stale_days``; without that column, each empty year.
+    """
     full = F.col("n_bouts") > 0
-    per = years.groupBy("competitor_id").agg(F.count_if(~full).alias("n_stubs"), F.count_if(full).alias("n_populated"), F.min(F.when(full, F.col("year"))).alias("first_year"), F.max(F.when(full, F.col("year"))).alias("last_year"))
+    old = F.coalesce(F.col("age") > stale_days, F.lit(True)) if "age" in years.columns else F.lit(True)
+    per = years.groupBy("competitor_id").agg(F.count_if(~full & old).alias("n_stubs"), F.count_if(full).alias("n_populated"), F.min(F.when(full, F.col("year"))).alias("first_year"), F.max(F.when(full, F.col("year"))).alias("last_year"))
     return per.where((F.col("n_stubs") >= least) | (F.col("n_populated") == 1)).join(competitors.select("competitor_id", "in_cohort"), "competitor_id").select("competitor_id", "in_cohort", "n_stubs", "n_populated", "first_year", "last_year")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boutflow.functions.scoring import cohort_confidence, mixed_probability
 from boutflow.functions.text import bout_type
+from boutflow.operators.audit import upper_medians
 
 
 def with_probability(bouts: DataFrame, cohort_orgs: tuple[str, ...], home: str, raised: tuple[str, ...]) -> DataFrame:
@@ -87,9 +88,8 @@ def summarise_features(vectors: DataFrame, label: str) -> DataFrame:
     """Per feature and class: rows, mean, upper median and share of non-zero values."""
     names = [c for c in vectors.columns if c not in ("subject_id", label)]
     flat = vectors.unpivot(["subject_id", label], names, "feature", "value")
-    at = lambda v: F.element_at(v, F.floor(F.size(v) / 2).cast("int") + 1)
-    agg = flat.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.array_sort(F.collect_list("value")).alias("values"), F.round(F.avg((F.col("value") != 0).cast("double")), 6).alias("non_zero_share"))
-    return agg.select("feature", label, "n", "mean", F.round(at(F.col("values")), 6).alias("upper_median"), "non_zero_share")
+    agg = flat.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg((F.col("value") != 0).cast("double")), 6).alias("non_zero_share"))
+    return agg.join(upper_medians(flat, ["feature", label], "value"), ["feature", label], "left").select("feature", label, "n", "mean", F.round("upper_median", 6).alias("upper_median"), "non_zero_share")
 
 
 #: Rules whose precision is measured: (name, feature, at least or below, value).

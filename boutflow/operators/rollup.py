@@ -60,6 +60,16 @@ def primary_orgs(listings: DataFrame, share: float = 0.40) -> DataFrame:
     return joined.select(*KEY, "n_bouts", F.when(settled, F.col("org")).otherwise(free).alias("primary_org"), F.col("country").alias("primary_country"))
 
 
+def inactive(competitors: DataFrame, primary: DataFrame, this_year: int, ends: DataFrame | None = None) -> DataFrame:
+    """Per competitor: whether its career has an end (``ends``: competitor_id, career_end), or no bout is of the last three years."""
+    last = primary.groupBy("competitor_id").agg(F.max("year").alias("last_year"))
+    rows = competitors.select("competitor_id").join(last, "competitor_id", "left")
+    ended = F.lit(False)
+    if ends is not None:
+        rows, ended = rows.join(ends.select("competitor_id", "career_end"), "competitor_id", "left"), F.col("career_end").isNotNull()
+    return rows.select("competitor_id", "last_year", (ended | F.col("last_year").isNull() | (F.col("last_year") < this_year - 3)).alias("inactive"))
+
+
 def latest_orgs(competitors: DataFrame, primary: DataFrame, this_year: int) -> DataFrame:
     """Per competitor: the organisation of the last year; ``Inactive`` without a bout in the last three years."""
     last = primary.groupBy("competitor_id").agg(F.max("year").alias("last_year"), F.max_by("primary_org", "year").alias("latest_org"))

@@ -18,17 +18,29 @@ def combinations(bouts: DataFrame) -> DataFrame:
     return distinct_outcomes(bouts).where(equal).select("org", F.explode("sides").alias("members")).groupBy("org", "members").agg(F.count(F.lit(1)).alias("n_bouts")).withColumns({"size": F.size("members"), "team": F.array_join(F.transform("members", lambda x: x.cast("string")), "-")})
 
 
-def ends(teams: DataFrame, n: int = 10) -> DataFrame:
+def within(bouts: DataFrame, members: DataFrame) -> DataFrame:
+    """Bouts with a side all of whose members are among ``members`` (org, competitor_id) of the bout's organisation."""
+    sides = bouts.select("bout_id", "org", F.posexplode("sides").alias("side", "ids")).withColumn("competitor_id", F.explode("ids"))
+    known = members.select("org", "competitor_id").distinct().withColumn("known", F.lit(True))
+    whole = sides.join(known, ["org", "competitor_id"], "left").groupBy("bout_id", "side").agg(F.count_if(F.col("known").isNull()).alias("others")).where("others = 0")
+    return bouts.join(whole.select("bout_id").distinct(), "bout_id", "left_semi")
+
+
+def ends(teams: DataFrame, n: int = 10, parts: int = 64) -> DataFrame:
     """Per organisation and size: the ``n`` most and least frequent teams, with their rank from either end.
 
-    Frequencies of a size take few values, and ties go by the members, so each end is found by rows of a window over teams of one organisation and size.
+    Teams are dealt into parts by hash, each part keeps its own ``n`` at either end, and only these are
+    ranked together.
     """
     keys = ["org", "size"]
-    top = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n_bouts"), "members"))
-    low = F.row_number().over(Window.partitionBy(*keys).orderBy("n_bouts", "members"))
-    first = teams.withColumn("rank", top).where(F.col("rank") <= n).withColumn("end", F.lit("top"))
-    last = teams.withColumn("rank", low).where(F.col("rank") <= n).withColumn("end", F.lit("bottom"))
-    return first.unionByName(last).select("org", "size", "end", "rank", "team", "n_bouts")
+    dealt = teams.select(*keys, "members", "team", "n_bouts", F.pmod(F.xxhash64("team"), F.lit(parts)).alias("part"))
+    out = None
+    for end, order in (("top", F.desc("n_bouts")), ("bottom", F.asc("n_bouts"))):
+        rank = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy(order, "members"))  # noqa: E731, B023
+        some = dealt.withColumn("rank", rank([*keys, "part"])).where(F.col("rank") <= n)
+        last = some.withColumn("rank", rank(keys)).where(F.col("rank") <= n).select(*keys, F.lit(end).alias("end"), "rank", "team", "n_bouts")
+        out = last if out is None else out.unionByName(last)
+    return out
 
 
 def partners(teams: DataFrame) -> DataFrame:

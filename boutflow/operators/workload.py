@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutflow.functions.quantiles import exclusive_quartile
+from boutflow.functions.quantiles import exclusive_quartile_of_counts
 
 
 def by_org(listings: DataFrame, primary: DataFrame, least: int = 5) -> DataFrame:
     """Per year and primary organisation of ``least`` in-cohort competitors or more: total, exclusive quartiles, largest.
 
-    Values are first counted, so what is gathered per group is a row for each distinct number of bouts' rows.
+    Values are counted first: what is ranked in a group is its distinct numbers of bouts, which a year bounds.
     """
     per = primary.join(listings.where("in_cohort").select("competitor_id", "year").distinct(), ["competitor_id", "year"], "left_semi")
-    agg = per.groupBy("year", F.col("primary_org").alias("org")).agg(F.count(F.lit(1)).alias("n_competitors"), F.sum("n_bouts").alias("total"), F.max("n_bouts").alias("most"), F.array_sort(F.collect_list("n_bouts")).alias("values"))
-    quartiles = [F.round(exclusive_quartile(F.col("values"), i), 6).alias(n) for i, n in ((1, "q1"), (2, "median"), (3, "q3"))]
+    counts = per.groupBy("year", F.col("primary_org").alias("org"), "n_bouts").agg(F.count(F.lit(1)).alias("n"))
+    agg = counts.groupBy("year", "org").agg(F.sum("n").alias("n_competitors"), F.sum(F.col("n") * F.col("n_bouts")).alias("total"), F.max("n_bouts").alias("most"), F.array_sort(F.collect_list(F.struct("n_bouts", "n"))).alias("values"))
+    quartiles = [F.round(exclusive_quartile_of_counts(F.col("values"), F.col("n_competitors"), i), 6).alias(n) for i, n in ((1, "q1"), (2, "median"), (3, "q3"))]
     return agg.where(F.col("n_competitors") >= least).select("year", "org", "n_competitors", "total", *quartiles, "most")
 
 

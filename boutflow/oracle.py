@@ -97,6 +97,10 @@ sides AS (
   SELECT user_id AS competitor_id, max(ts) AS last_updated FROM events GROUP BY user_id
 ), aged AS (
   SELECT c.*, (epoch(TIMESTAMP '2024-06-30 00:00:00') - floor(epoch(u.last_updated))) / 86400.0 AS age FROM competitors AS c LEFT JOIN updates AS u USING (competitor_id)
+), organisations AS (
+  SELECT org, org_id, CASE WHEN org_id <> 3 THEN 'Org ' || org END AS name, CAST(1990 + org_id AS VARCHAR) AS founded,
+         CASE WHEN org_id <> 4 THEN (SELECT max(ts) FROM events WHERE user_id % 5 = org_id - 1) - org_id * INTERVAL 100 DAY END AS last_updated
+  FROM (SELECT org, dense_rank() OVER (ORDER BY org) AS org_id FROM (SELECT DISTINCT c_mktsegment AS org FROM customer))
 ), importances AS (
   SELECT competitor_id, n_bouts, n_opponents, round(0.6 * least(n_bouts / 100.0, 1.0) + 0.4 * least(n_opponents / 50.0, 1.0), 6) AS importance
   FROM (SELECT competitor_id, count(*) AS n_bouts FROM listings WHERE year IN (2000, 2001) GROUP BY ALL)
@@ -118,13 +122,13 @@ sides AS (
     SELECT CASE WHEN n >= 3 THEN best ELSE priority END, 4, CASE WHEN n >= 3 THEN 'refresh_all_bouts' ELSE 'refresh_bouts' END, CAST(competitor_id AS VARCHAR), CASE WHEN n >= 3 THEN NULL ELSE year END
     FROM (SELECT *, count(*) OVER (PARTITION BY competitor_id) AS n, min(priority) OVER (PARTITION BY competitor_id) AS best FROM (
       SELECT a.competitor_id, y.year, CAST(CASE WHEN i.competitor_id IS NOT NULL THEN CASE WHEN y.year = 2001 THEN 30 ELSE least(50 + 2002 - y.year, 99) END
-               ELSE CASE WHEN y.year = 2001 THEN 80 ELSE 80 + least(2002 - y.year, 19) END END AS INTEGER) AS priority
+               ELSE CASE WHEN y.year >= 2000 THEN 80 ELSE 80 + least(2002 - y.year, 19) END END AS INTEGER) AS priority
       FROM (SELECT DISTINCT competitor_id, year FROM listings) AS y JOIN aged AS a USING (competitor_id) LEFT JOIN importances AS i USING (competitor_id)
       WHERE a.in_cohort AND (a.age IS NULL OR a.age > CASE WHEN y.year = 2001 THEN 90 WHEN i.competitor_id IS NOT NULL THEN 180 ELSE 365 END)
       UNION ALL
       SELECT a.competitor_id, 2002, CAST(greatest(1, 10 - floor(5 * i.importance)) AS INTEGER) FROM aged AS a JOIN importances AS i USING (competitor_id) WHERE a.in_cohort))
     UNION ALL
-    SELECT CAST(greatest(0, least(95, 95 - floor(n_bouts / 100))) AS INTEGER), 5, 'refresh_org', org, NULL FROM freq
+    SELECT CAST(greatest(0, least(95, 95 - floor(n_bouts / 100))) AS INTEGER), 5, 'refresh_org', org, NULL FROM freq JOIN organisations USING (org) WHERE last_updated IS NULL OR epoch(TIMESTAMP '2024-06-30 00:00:00') - floor(epoch(last_updated)) > 365 * 86400
     UNION ALL
     SELECT CAST(greatest(1, 10 - floor(5 * coalesce(importance, 0))) AS INTEGER), 6, 'refresh_bouts', CAST(competitor_id AS VARCHAR), 2002
     FROM aged LEFT JOIN importances USING (competitor_id) WHERE diverse
@@ -267,8 +271,8 @@ LEFT JOIN shares AS s USING (competitor_id)"""),
 FROM (SELECT subject_id, count(DISTINCT competitor_id) AS n_lists, count(*) AS n_rows, count(DISTINCT bout_id) AS n_bouts FROM lost GROUP BY 1) AS b
 LEFT JOIN {_counter("lost", "year", "subject_id")} AS ye USING (subject_id) LEFT JOIN {_counter("lost", "country", "subject_id")} AS co USING (subject_id) LEFT JOIN {_counter("lost", "org", "subject_id")} AS og USING (subject_id)"""),
     "page_links": r"""SELECT page_id, CAST(position - 1 AS INTEGER) AS position, href, CASE WHEN trim(t) = '' THEN 'Unknown' ELSE trim(t) END AS text,
-CASE regexp_extract(href, '[?&]id=(\d+)', 1) WHEN '2' THEN 'competitor' WHEN '8' THEN 'organisation' WHEN '1' THEN 'event' WHEN '28' THEN 'tag_team' WHEN '29' THEN 'stable' ELSE 'other' END AS kind,
-TRY_CAST(regexp_extract(href, '[?&]nr=(\d+)', 1) AS BIGINT) AS number FROM (
+CASE regexp_extract(href, '(?:[?&]|&amp;)id=(\d+)', 1) WHEN '2' THEN 'competitor' WHEN '8' THEN 'organisation' WHEN '1' THEN 'event' WHEN '28' THEN 'tag_team' WHEN '29' THEN 'stable' ELSE 'other' END AS kind,
+TRY_CAST(regexp_extract(href, '(?:[?&]|&amp;)nr=(\d+)', 1) AS BIGINT) AS number FROM (
 SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS t,
 unnest(range(1, len(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>([^<]*)</a>', 1)) + 1)) AS position FROM pages)""",
     "page_titles": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', ' ', 'g'),
@@ -288,3 +292,6 @@ _TYPES = {
 }
 for _name, _columns in _TYPES.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _columns.items())}) FROM ({SQL[_name]})"
+
+
+from boutflow import oracle_store  # noqa: E402, F401  adds more

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from boutflow.functions import scoring
 from boutflow.functions.dates import age_days
+from boutflow.operators.organisations import is_stale
 from boutflow.operators.rollup import recently_active
 
 
@@ -23,8 +24,11 @@ def importances(listings: DataFrame, this_year: int) -> DataFrame:
     return out.withColumn("importance", F.round(scoring.importance(F.col("n_bouts"), F.col("n_opponents")), 6))
 
 
-def build(competitors: DataFrame, listings: DataFrame, updates: DataFrame, missing: DataFrame, confidence: DataFrame, org_frequency: DataFrame, this_year: int, as_of: str, transition: bool = False, force: bool = False, only_bouts: bool = False) -> DataFrame:
-    """The full plan. ``missing``: missing_id, n_referrers; ``confidence``: subject_id, confidence; ``org_frequency``: org, n_bouts."""
+def build(competitors: DataFrame, listings: DataFrame, updates: DataFrame, missing: DataFrame, confidence: DataFrame, org_frequency: DataFrame, this_year: int, as_of: str, transition: bool = False, force: bool = False, only_bouts: bool = False, organisations: DataFrame | None = None) -> DataFrame:
+    """The full plan. ``missing``: missing_id, n_referrers; ``confidence``: subject_id, confidence; ``org_frequency``: org, n_bouts.
+
+    Of the organisations those come that are stale by ``organisations`` (org, last_updated), or not in it, or all if forced.
+    """
     now = F.lit(as_of).cast("timestamp")
     known = competitors.join(updates, "competitor_id", "left").withColumn("age", age_days(F.col("last_updated"), now))
     active = recently_active(listings, this_year).withColumn("active", F.lit(True))
@@ -52,7 +56,8 @@ def build(competitors: DataFrame, listings: DataFrame, updates: DataFrame, missi
     single = per.where("n < 3").select("competitor_id", F.explode("years").alias("y")).select(*item(F.col("y.priority"), 4, "refresh_bouts", F.col("competitor_id"), F.col("y.year")))
 
     often = F.greatest(F.lit(0), F.least(F.lit(95), 95 - F.floor(F.col("n_bouts") / 100))).cast("int")
-    orgs = org_frequency.select(*item(often, 5, "refresh_org", F.col("org")))
+    due_orgs = org_frequency if organisations is None or force else org_frequency.join(organisations.where(~is_stale(as_of)).select("org"), "org", "left_anti")
+    orgs = due_orgs.select(*item(often, 5, "refresh_org", F.col("org")))
     other = known.where("diverse").join(has_now.withColumn("has_now", F.lit(True)), "competitor_id", "left")
     check = F.col("has_now").isNull() | F.lit(force) | scoring.bouts_are_stale(F.col("age"), now_year, now_year, F.col("active"), F.col("in_cohort"), F.lit(True))
     diverse = other.where(check).select(*item(scoring.adjusted(F.when(in_transition, 50).otherwise(10), F.col("importance")), 6, "refresh_bouts", F.col("competitor_id"), now_year))

@@ -299,7 +299,7 @@ def importance(t: Tables) -> DataFrame:
 def _plan(t: Tables) -> DataFrame:
     edges = _edges(t)
     guess = classify.confidence(classify.appearances(_scored(t), t.listings, t.competitors)).select("subject_id", "confidence")
-    return refresh.build(t.competitors, t.listings, t.updates, neighbours.missing(edges, t.competitors), guess, neighbours.org_frequency(t.listings), THIS_YEAR, AS_OF)
+    return refresh.build(t.competitors, t.listings, t.updates, neighbours.missing(edges, t.competitors), guess, neighbours.org_frequency(t.listings), THIS_YEAR, AS_OF, organisations=t.organisations)
 
 
 @query
@@ -351,3 +351,6 @@ def page_titles(t: Tables) -> DataFrame:
 @query
 def page_urls(t: Tables) -> DataFrame:
     return pages.url_parts(t.read("pages"))
+
+
+from boutflow import queries_store  # noqa: E402, F401  registers more

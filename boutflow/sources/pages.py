@@ -35,7 +35,7 @@ def links(pages: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("text"))
     rows = pages.select("page_id", F.posexplode(pairs).alias("position", "l"))
     text = F.coalesce(F.nullif(F.trim(F.col("l.text")), F.lit("")), F.lit("Unknown"))
-    number = F.regexp_extract("l.href", r"[?&]nr=(\d+)", 1).try_cast("long")
+    number = F.regexp_extract("l.href", r"(?:[?&]|&amp;)nr=(\d+)", 1).try_cast("long")
     return rows.select("page_id", "position", F.col("l.href").alias("href"), text.alias("text"), link_kind(F.col("l.href")).alias("kind"), number.alias("number"))
 
 
@@ -102,7 +102,7 @@ def tokens(card: Column) -> Column:
             .when(p == "(", "open").when(p == ")", "close").when(p == "&", "amp").when(p == "and", "and")
             .when(p == "vs.", "versus").when(p.isin("defeat", "defeats"), "defeat").otherwise("text")
         )
-        number = F.regexp_extract(href, r"[?&]nr=(\d+)", 1).try_cast("long")
+        number = F.regexp_extract(href, r"(?:[?&]|&amp;)nr=(\d+)", 1).try_cast("long")
         return F.struct(kind.alias("kind"), number.alias("id"), F.when(linked, F.regexp_extract(p, r">([^<]*)</a>", 1)).otherwise(p).alias("text"))
 
     return F.transform(parts, classify)

@@ -51,3 +51,45 @@ def write_lists(lists: DataFrame, folder: str) -> None:
 def read_lists(spark, folder: str) -> DataFrame:
     """Reads lists whose files may lack columns that came later."""
     return spark.read.option("mergeSchema", "true").parquet(folder)
+
+
+def split_history(history: DataFrame, lists: DataFrame) -> DataFrame:
+    """The lists (competitor_id, year, n_bouts) after whole histories (competitor_id, bout_date) came in.
+
+    A history replaces the lists of its years; rows of an unknown year are skipped; empty lists of years that
+    a fetched history lacks go.
+    """
+    new = history.where("bout_date is not null").groupBy("competitor_id", F.year("bout_date").alias("year")).agg(F.count(F.lit(1)).alias("n_bouts"))
+    fetched = history.select("competitor_id").distinct()
+    vanished = lists.where("n_bouts = 0").join(fetched, "competitor_id", "left_semi").join(new.select("competitor_id", "year"), ["competitor_id", "year"], "left_anti")
+    return replace_keys(drop_empty(lists, vanished), new, ["competitor_id", "year"])
+
+
+def encoded_lists(listings: DataFrame) -> DataFrame:
+    """competitor_id, year and ``bouts_json``: each list as the JSON text of an array of bouts."""
+    bout = F.struct("bout_id", F.col("bout_date").cast("string").alias("date"), "org", "country", "is_victory", "participants")
+    return listings.groupBy("competitor_id", "year").agg(F.to_json(F.array_sort(F.collect_list(bout))).alias("bouts_json"))
+
+
+def decoded_lists(stored: DataFrame) -> DataFrame:
+    """A row for each bout of stored lists; a list that is null or empty gives none."""
+    schema = "array<struct<bout_id:bigint,date:string,org:string,country:string,is_victory:boolean,participants:array<bigint>>>"
+    rows = stored.select("competitor_id", "year", F.explode(F.from_json(F.coalesce("bouts_json", F.lit("[]")), schema)).alias("b"))
+    return rows.select("competitor_id", "year", "b.bout_id", F.try_to_date("b.date").alias("bout_date"), "b.org", "b.country", "b.is_victory", "b.participants")
+
+
+def encoded_counters(rollup: DataFrame, columns: list[str]) -> DataFrame:
+    """Counters (``key=n`` text of a roll-up) as the JSON text of a map; an empty counter is stored as null."""
+    as_map = lambda c: F.transform_values(F.str_to_map(c, F.lit(","), F.lit("=")), lambda _, v: v.cast("long"))
+    return rollup.select("competitor_id", "year", *[F.when(F.col(c) != "", F.to_json(as_map(F.col(c)))).alias(c) for c in columns])
+
+
+def decoded_counters(stored: DataFrame, columns: list[str]) -> DataFrame:
+    """competitor_id, year, counter, key, n of stored counters; null ones count as empty."""
+
+    def entries(name: str):
+        counter = F.coalesce(F.from_json(name, "map<string,bigint>"), F.from_json(F.lit("{}"), "map<string,bigint>"))
+        return F.transform(F.map_entries(counter), lambda e: F.struct(F.lit(name).alias("counter"), e["key"].alias("key"), e["value"].alias("n")))
+
+    pairs = [entries(c) for c in columns]
+    return stored.select("competitor_id", "year", F.explode(F.concat(*pairs)).alias("e")).select("competitor_id", "year", "e.*")

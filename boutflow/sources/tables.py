@@ -12,12 +12,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boutflow.operators.organisations import numbered
 from boutflow.shipping import ship
 
 #: Organisations of the cohort, and the country that counts as home.
 COHORT_ORGS = ("BUILDING", "MACHINERY")
 HOME = "NATION_0"
 RAISED = ("NATION_1", "NATION_2", "NATION_3")
+#: Renamed organisations: name, year of the change, name before it; and short names.
+RENAMES = [("BUILDING", 1999, "OLD BUILDING"), ("OLD BUILDING", 1997, "FIRST BUILDING"), ("MACHINERY", 1998, "ENGINES")]
+SHORT = [("BUILDING", "BLD"), ("OLD BUILDING", "OLD"), ("MACHINERY", "MCH"), ("FURNITURE", "FUR")]
+#: Ids that are known to have no profile page.
+KNOWN_MISSING = [5, 10, 20, 7777777]
 
 
 class Tables:
@@ -71,3 +77,53 @@ class Tables:
     def updates(self) -> DataFrame:
         """competitor_id, last_updated: the last event of the object of that number."""
         return self.read("events").groupBy(F.col("user_id").alias("competitor_id")).agg(F.max("ts").alias("last_updated"))
+
+    @cached_property
+    def organisations(self) -> DataFrame:
+        """org, org_id, name (null for one), founded, last_updated (null for one): the customers' segments."""
+        rows = numbered(self.read("customer").select(F.col("c_mktsegment").alias("org")))
+        seen = self.read("events").groupBy((F.col("user_id") % 5 + 1).alias("org_id")).agg(F.max("ts").alias("seen"))
+        updated = F.when(F.col("org_id") != 4, F.col("seen") - F.make_dt_interval((F.col("org_id") * 100).cast("int")))
+        named = F.when(F.col("org_id") != 3, F.concat(F.lit("Org "), "org"))
+        return rows.join(seen, "org_id", "left").select("org", "org_id", named.alias("name"), (1990 + F.col("org_id")).cast("string").alias("founded"), updated.alias("last_updated"))
+
+    @cached_property
+    def profiles(self) -> DataFrame:
+        """competitor_id, profile_json: what a profile page tells, as JSON text; null or empty for some."""
+        i, c = F.col("competitor_id"), self.competitors
+        start = F.date_add(F.lit("1960-01-01").cast("date"), ((i * 37) % 11000).cast("int"))
+        org = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), (i % 5 + 1).cast("int"))
+        fields = {
+            "Name": F.col("name"), "Current gimmick": F.when(i % 3 == 0, F.concat(F.lit("G "), "name")), "Gender": F.when(F.col("diverse"), "diverse").when(F.col("in_cohort"), "Female").otherwise("male"),
+            "Promotion": F.when(i % 4 != 0, org), "Birthplace": F.when(i % 6 != 0, F.col("country")), "Career start": F.when(i % 5 != 0, F.date_format(start, "dd.MM.yyyy")).otherwise(F.date_format(start, "yyyy")),
+            "Career end": F.when(i % 7 == 0, "06.1996"),
+        }
+        text = F.to_json(F.struct(*[x.alias(k) for k, x in fields.items()]))
+        return c.select("competitor_id", F.when(i % 11 == 0, F.lit(None)).when(i % 13 == 0, "{}").otherwise(text).alias("profile_json"))
+
+    @cached_property
+    def lists(self) -> DataFrame:
+        """competitor_id, year, n_bouts, last_updated of each stored list; older years were read earlier."""
+        per = self.listings.groupBy("competitor_id", "year").agg(F.count(F.lit(1)).alias("n_bouts"))
+        return per.join(self.updates, "competitor_id", "left").withColumn("last_updated", F.col("last_updated") - F.make_dt_interval(((2002 - F.col("year")) * 50).cast("int")))
+
+    @cached_property
+    def bout_pages(self) -> DataFrame:
+        """page_id, url, html: each bout as the row of a bout list; participants without a profile are unlinked, and some sides are named teams."""
+        known = self.competitors.select(F.col("competitor_id").alias("id"), F.col("name").alias("person"))
+        ids = self.bouts.select("bout_id", F.posexplode("sides").alias("side", "ids"))
+        people = ids.select("bout_id", "side", "ids", F.explode("ids").alias("id")).join(known, "id", "left")
+        linked = F.concat(F.lit('<a href="?id=2&amp;nr='), "id", F.lit('">'), "person", F.lit("</a>"))
+        shown = F.when(F.col("person").isNotNull(), linked).otherwise(F.concat(F.lit("Stranger "), "id"))
+        cards = people.groupBy("bout_id", "side", "ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", shown.alias("shown")))), lambda x: x["shown"]), " &amp; ").alias("text"), F.count("person").alias("n_known"))
+        total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+        team = (F.size("ids") == 2) & (F.col("n_known") == 2) & (total % 3 == 0)
+        named = F.concat(F.when(total % 2 == 0, '<a href="?id=28&amp;nr=').otherwise('<a href="?id=29&amp;nr='), total, F.lit('">Team '), total, F.lit("</a> ("), "text", F.lit(")"))
+        card = cards.groupBy("bout_id").agg(F.max(F.when(F.col("side") == 0, F.when(team, named).otherwise(F.col("text")))).alias("won"), F.max(F.when(F.col("side") == 1, F.when(team, named).otherwise(F.col("text")))).alias("lost"))
+        org = self.organisations.select("org", "org_id")
+        rows = self.bouts.join(card, "bout_id").join(org, "org")
+        html = F.concat(
+            F.lit("<table><tr><td>"), F.date_format("bout_date", "dd.MM.yyyy"), F.lit('</td><td><span class="MatchType">Bout: </span><span class="MatchCard">'), "won", F.when(F.col("is_victory"), " defeats ").otherwise(" vs. "), "lost",
+            F.lit(' (10:00)</span><div class="MatchEventLine"><a href="?id=8&amp;nr='), "org_id", F.lit('">'), "org", F.lit("</a> House Show @ Hall, City, "), "country", F.lit(".</div></td></tr></table>"),
+        )
+        return rows.select(F.col("bout_id").alias("page_id"), F.concat(F.lit("https://bouts.example/?id=1&nr="), "bout_id").alias("url"), html.alias("html"))

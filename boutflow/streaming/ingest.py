@@ -2,7 +2,7 @@
 
 Each micro-batch of pages is parsed to bouts and upserted by page: bouts of a page that comes again replace
 those of before, so a batch that runs twice after a failure leaves the same table. Rows of pages without a
-readable bout go to a quarantine folder.
+readable bout go to a quarantine folder, under the batch's number, which a repeated batch overwrites.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boutflow.plans.ranking import Steps
 from boutflow.sources import pages as source
+from boutflow.sources.store import latest
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
 #: Pages are dealt by id into so many partitions, and a batch rewrites those that it touches only.
@@ -20,10 +22,13 @@ BUCKETS = 64
 
 def ingest(spark: SparkSession, landing: str, target: str, quarantine: str, progress: str):
     """Parses what has newly landed in ``landing`` (Parquet of pages) into ``target``; returns the finished query."""
+    steps = Steps(spark)
+    checkpointed = steps.save
     stream = spark.readStream.schema(PAGES).parquet(landing)
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        last = batch.where("page_id is not null").dropDuplicates(["page_id"])
+    def upsert(batch: DataFrame, number: int) -> None:
+        last = batch.where("page_id is not null").withColumn("place", F.monotonically_increasing_id())
+        last = checkpointed(latest(last, ["page_id"], "place").drop("place"))  # of versions in one batch, the one read last
         parsed = source.bouts(last)
         bucket = F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")
         new = parsed.withColumn("bucket", bucket)
@@ -36,9 +41,9 @@ def ingest(spark: SparkSession, landing: str, target: str, quarantine: str, prog
             old = None
         if old is not None:
             new = old.join(touched, "bucket", "left_semi").join(last.select("page_id"), "page_id", "left_anti").select(new.columns).unionByName(new)
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.cache()  # read before its partitions are rewritten
+        new = checkpointed(new)  # read before its partitions are rewritten
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
-        last.join(parsed.select("page_id"), "page_id", "left_anti").select("page_id", "url").write.mode("append").parquet(quarantine)
+        last.join(parsed.select("page_id"), "page_id", "left_anti").select("page_id", "url").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
 
     query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import math
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -113,8 +115,8 @@ def test_mixed_probability(spark):
 
 def test_published_rating_example(spark):
     to = lambda r, d: ((r - 1500) / glicko.SCALE, d / glicko.SCALE)
-    state = spark.createDataFrame([(i, *to(r, d), 0.06, 0, 0, 0) for i, r, d in ((1, 1500, 200), (2, 1400, 30), (3, 1550, 100), (4, 1700, 300))], ranking.STATE)
-    games = spark.createDataFrame([("p", 1, 2, 1.0), ("p", 1, 3, 0.0), ("p", 1, 4, 0.0)], "period string, competitor_id long, opponent_id long, score double")
+    state = spark.createDataFrame([(2020, i, *to(r, d), 0.06, 0, 0, 0) for i, r, d in ((1, 1500, 200), (2, 1400, 30), (3, 1550, 100), (4, 1700, 300))], ranking.STATE)
+    games = spark.createDataFrame([(2020, 1, 2, 1.0), (2020, 1, 3, 0.0), (2020, 1, 4, 0.0)], "year int, competitor_id long, opponent_id long, score double")
     r = {r.competitor_id: r for r in ranking.play(games, state).collect()}
     assert r[1].mu * glicko.SCALE + 1500 == pytest.approx(1464.06, abs=0.02) and r[1].phi * glicko.SCALE == pytest.approx(151.52, abs=0.02)
     assert r[1].sigma == pytest.approx(0.05999, abs=1e-5) and (r[1].wins, r[1].losses) == (1, 2)
@@ -122,9 +124,23 @@ def test_published_rating_example(spark):
     assert ranking.terms(games, state).first().v == pytest.approx(1.7785, abs=2e-3)
 
 
-def _plain_glicko(games):
+def _volatility(sigma, phi, v, delta, tau=0.5):
+    """The root by halving, for one player."""
+    a = math.log(sigma**2)
+
+    def f(x):
+        e = math.exp(x)
+        return e * (delta**2 - phi**2 - v - e) / (2 * (phi**2 + v + e) ** 2) - (x - a) / tau**2
+
+    low, high = a - 40 * tau, a + 40 * tau  # f falls from above zero to below
+    for _ in range(200):
+        low, high = ((low + high) / 2, high) if f((low + high) / 2) > 0 else (low, (low + high) / 2)
+    return math.exp(low / 2)
+
+
+def _plain_glicko(games, start=None):
     """games: (period, a, b, decisive); plain loops over players."""
-    s = {}
+    s = {k: list(v) for k, v in (start or {}).items()}
     for period in sorted({g[0] for g in games}):
         now = [g for g in games if g[0] == period]
         for _, a, b, _ in now:
@@ -138,7 +154,7 @@ def _plain_glicko(games):
                 e = [1 / (1 + math.exp(-gi * (mu - before[o][0]))) for gi, (o, _) in zip(g, met, strict=True)]
                 v = 1 / sum(gi * gi * ei * (1 - ei) for gi, ei in zip(g, e, strict=True))
                 up = sum(gi * (sc - ei) for gi, ei, (_, sc) in zip(g, e, met, strict=True))
-                sigma = float(glicko.new_volatility(*(np.array([z]) for z in (sigma, phi, v, v * up)))[0])
+                sigma = _volatility(sigma, phi, v, v * up)
                 phi = 1 / math.sqrt(1 / (phi**2 + sigma**2) + 1 / v)
                 mu += phi**2 * up
             else:
@@ -155,7 +171,7 @@ def test_ranking_equals_plain_loops(spark):
     got = {r.competitor_id: r for r in ranking.run(spark, frame).collect()}
     assert set(got) == set(want)
     for k, (mu, phi, sigma) in want.items():
-        assert (got[k].mu, got[k].phi, got[k].sigma) == pytest.approx((mu, phi, sigma), abs=1e-9)
+        assert (got[k].mu, got[k].phi, got[k].sigma) == pytest.approx((mu, phi, sigma), abs=1e-6)
     assert sum(r.wins for r in got.values()) == sum(r.losses for r in got.values())
 
 
@@ -174,6 +190,34 @@ def test_rankings_and_upsets_of_each_year(spark):
     assert [(r.upset, r.squash) for r in rows if r.bout_date.year == 2022] == [(False, False)]
 
 
+def test_ranking_by_week_and_over_years_equals_plain_loops(spark):
+    rng = np.random.default_rng(2)
+    bouts = sorted({(dt.date(int(y), int(m), 1 + int(d)), int(a), int(b), bool(w)) for y, m, d, a, b, w in zip(rng.integers(2019, 2022, 90), rng.integers(1, 4, 90), rng.integers(0, 27, 90), rng.integers(0, 6, 90), rng.integers(0, 6, 90), rng.integers(0, 2, 90), strict=True) if a != b})
+    frame = spark.createDataFrame(bouts, "bout_date date, a long, b long, is_victory boolean")
+    of = lambda y: [("{0:04}-{1:02}".format(*d.isocalendar()[:2]), a, b, w) for d, a, b, w in bouts if d.year == y]
+    ranked = lambda y: {k for k, n in Counter(x for _, a, b, _ in of(y) for x in (a, b)).items() if n >= 8}
+    for year in (2020, 2021):
+        before = _plain_glicko(of(year - 1))
+        want = _plain_glicko(of(year), {k: (before[k][0], before[k][1], 0.06) for k in ranked(year - 1)})
+        got = {r.competitor_id: r for r in ranking.by_year(spark, frame, [2020, 2021], 8, by_week=True).where(F.col("year") == year).collect()}
+        assert set(got) == set(want)
+        for k, (mu, phi, sigma) in want.items():
+            assert (got[k].mu, got[k].phi, got[k].sigma) == pytest.approx((mu, phi, sigma), abs=1e-6)
+
+
+def test_periods_take_the_same_time(spark, tmp_path):
+    bouts = [(dt.date(2000 + y, m, 1 + k), k % 7, 7 + k % 5, True) for y in range(2) for m in range(1, 13) for k in range(20)]
+    steps = ranking.Steps(spark)
+    games = ranking.numbered_periods(ranking.results(spark.createDataFrame(bouts, "bout_date date, a long, b long, is_victory boolean")))
+    state, took, sizes = spark.createDataFrame([], ranking.STATE), [], []
+    for step in range(1, 13):
+        start = time.time()
+        state = steps.save(ranking.play(games.where(F.col("step") == step).drop("step", "period"), state))
+        took.append(time.time() - start)
+        sizes.append(len(str(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    assert sum(took[-4:]) < 2 * sum(took[:4]) and max(sizes) < 10
+
+
 def test_teams(spark):
     d = dt.date(2020, 1, 1)
     bouts = spark.createDataFrame([(1, d, "A", [[1, 2], [3, 4]]), (2, d, "A", [[1, 2], [3, 4]]), (3, dt.date(2020, 1, 2), "A", [[1, 2], [3, 5]]), (4, d, "A", [[1, 2, 3], [4, 5]])], "bout_id long, bout_date date, org string, sides array<array<long>>")
