@@ -259,7 +259,7 @@ WHERE NOT EXISTS (SELECT 1 FROM listings AS l WHERE l.competitor_id = c.competit
 FROM (SELECT operation, CAST(floor(priority / 10) * 10 AS INTEGER) AS decade, year, object_id FROM plan) GROUP BY GROUPING SETS ((operation), (decade), (year), ())"""),
     "anniversaries": _sql("""SELECT competitor_id, debut, CAST(2024 - year(debut) AS INTEGER) AS years, a AS anniversary FROM (
 SELECT competitor_id, min(bout_date) AS debut, make_date(2024, month(min(bout_date)), CASE WHEN month(min(bout_date)) = 2 AND day(min(bout_date)) = 29 THEN 28 ELSE day(min(bout_date)) END) AS a
-FROM listings WHERE in_cohort GROUP BY 1) WHERE abs(date_diff('day', DATE '2024-06-30', a)) <= 60"""),
+FROM listings WHERE in_cohort GROUP BY 1) WHERE abs(date_diff('day', DATE '2024-02-20', a)) <= 60"""),
     "decades": _sql("SELECT CAST(floor(y / 10) * 10 AS INTEGER) AS decade, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT competitor_id, min(year) AS y FROM listings GROUP BY 1) GROUP BY 1"),
     "dossiers": _sql(f"""SELECT b.competitor_id, b.n_bouts, b.n_years, ye.c AS years, co.c AS countries, og.c AS orgs, o.t AS top_opponents, s.n_neighbours, s.cohort_share
 FROM (SELECT competitor_id, count(*) AS n_bouts, count(DISTINCT year) AS n_years FROM listings GROUP BY 1) AS b

@@ -11,7 +11,7 @@ _MORE = (
          CASE WHEN blank OR competitor_id % 4 = 0 THEN 'Freelancer' ELSE (['AUTOMOBILE', 'BLD', 'FUR', 'HOUSEHOLD', 'MCH'])[competitor_id % 5 + 1] END AS org,
          CASE WHEN NOT blank THEN CAST(year(start) AS INTEGER) END AS career_start, CASE WHEN NOT blank AND competitor_id % 7 = 0 THEN 1996 END AS career_end, CASE WHEN NOT blank AND competitor_id % 6 <> 0 THEN country END AS birthplace,
          CASE WHEN NOT blank AND competitor_id % 5 <> 0 THEN start END AS debut, blank
-  FROM (SELECT *, competitor_id % 11 = 0 OR competitor_id % 13 = 0 AS blank, DATE '1960-01-01' + CAST(competitor_id * 37 % 11000 AS INTEGER) AS start FROM competitors)
+  FROM (SELECT *, competitor_id % 11 = 0 OR competitor_id % 13 = 0 AS blank, DATE '1960-01-01' + CAST(competitor_id * 397 % 11000 AS INTEGER) AS start FROM competitors)
 ), last_years AS (SELECT competitor_id, max(year) AS last_year, arg_max(primary_org, year) AS org FROM prim GROUP BY 1
 ), inact AS (
   SELECT competitor_id, last_year, f.career_end IS NOT NULL OR last_year IS NULL OR last_year < 1999 AS inactive FROM facts AS f LEFT JOIN last_years USING (competitor_id)
@@ -126,3 +126,57 @@ FROM (SELECT *, bout_id IN (SELECT bout_id FROM named) AS linked FROM bouts) AS
 unnest([false, bout_id % 10 = 3, bout_id % 10 = 3 OR bout_id % 7 = 0, bout_id % 10 = 3 OR (is_victory AND bout_id % 5 = 0), false, true]) AS found FROM bouts) GROUP BY 1"""),
     "profile_pages": _sql("SELECT competitor_id AS page_id, CASE WHEN competitor_id % 3 <> 0 THEN name ELSE 'Ego ' || name END AS name, competitor_id IN (1, 2) OR in_cohort AS in_cohort, CAST(1950 + competitor_id % 40 AS VARCHAR) AS founded, country, '1999,2000' AS years FROM competitors"),
 }
+
+
+#: Ratings by period in a recursive query: for each year the periods of the year before, without a seed, then its own.
+_SCALE = 173.7178
+_G = "(1 / sqrt(1 + 3 * {0} * {0} / (pi() * pi())))"
+_ROOT = """list_reduce(list_prepend({'lo': ln(sigma * sigma) - 20, 'hi': ln(sigma * sigma) + 20}, list_transform(range(60), lambda i: {'lo': 0.0, 'hi': 0.0})), lambda s, i:
+    CASE WHEN exp((s.lo + s.hi) / 2) * (delta * delta - phi * phi - v - exp((s.lo + s.hi) / 2)) / (2 * power(phi * phi + v + exp((s.lo + s.hi) / 2), 2)) - ((s.lo + s.hi) / 2 - ln(sigma * sigma)) / 0.25 > 0
+         THEN {'lo': (s.lo + s.hi) / 2, 'hi': s.hi} ELSE {'lo': s.lo, 'hi': (s.lo + s.hi) / 2} END)"""
+_RATED = f"""
+WITH RECURSIVE {_MORE.strip()}, results AS (
+  SELECT CAST(year(bout_date) AS INTEGER) AS gy, dense_rank() OVER (PARTITION BY year(bout_date) ORDER BY month(bout_date)) AS step, id, opp, score FROM (
+    SELECT bout_date, a AS id, b AS opp, CASE WHEN is_victory THEN 1.0 ELSE 0.5 END AS score FROM singles UNION ALL SELECT bout_date, b, a, CASE WHEN is_victory THEN 0.0 ELSE 0.5 END FROM singles)
+), years AS (SELECT DISTINCT gy AS y FROM results
+), seq AS (
+  SELECT y, gy, step, row_number() OVER (PARTITION BY y ORDER BY gy, step) AS k, gy = y AND step = 1 AS turn
+  FROM years JOIN (SELECT DISTINCT gy, step FROM results) AS p ON p.gy IN (y - 1, y)
+), played AS (SELECT s.y, s.k, r.id, r.opp, r.score FROM seq AS s JOIN results AS r ON s.gy = r.gy AND s.step = r.step
+), rated AS (
+  SELECT y, CAST(0 AS BIGINT) AS k, CAST(-99 AS BIGINT) AS id, 0.0::DOUBLE AS mu, 1.0::DOUBLE AS phi, 0.06::DOUBLE AS sigma, CAST(0 AS BIGINT) AS w, CAST(0 AS BIGINT) AS l, CAST(0 AS BIGINT) AS d FROM years
+  UNION ALL
+  (WITH now AS (
+    SELECT s.y, s.k, id, mu, phi, CASE WHEN turn THEN 0.06 ELSE sigma END AS sigma, CASE WHEN turn THEN 0 ELSE w END AS w, CASE WHEN turn THEN 0 ELSE l END AS l, CASE WHEN turn THEN 0 ELSE d END AS d
+    FROM rated AS r JOIN seq AS s ON r.y = s.y AND s.k = r.k + 1 WHERE NOT turn OR w + l + d >= 3 OR id = -99
+  ), met AS (
+    SELECT p.y, p.k, p.id, p.score, coalesce(a.mu, 0.0) AS mu, coalesce(b.mu, 0.0) AS mu_o, coalesce(b.phi, 400 / {_SCALE}) AS phi_o
+    FROM (SELECT DISTINCT y, k FROM now) AS t JOIN played AS p ON p.y = t.y AND p.k = t.k LEFT JOIN now AS a ON a.y = p.y AND a.id = p.id LEFT JOIN now AS b ON b.y = p.y AND b.id = p.opp
+  ), sums AS (
+    SELECT y, k, id, 1 / sum(g * g * e * (1 - e)) AS v, sum(g * (score - e)) AS up, count(*) FILTER (WHERE score = 1) AS won, count(*) FILTER (WHERE score = 0) AS lost, count(*) FILTER (WHERE score = 0.5) AS drawn
+    FROM (SELECT *, {_G.format("phi_o")} AS g, 1 / (1 + exp(-{_G.format("phi_o")} * (mu - mu_o))) AS e FROM met) GROUP BY 1, 2, 3
+  ), joined AS (
+    SELECT coalesce(n.y, s.y) AS y, coalesce(n.k, s.k) AS k, coalesce(n.id, s.id) AS id, coalesce(mu, 0.0) AS mu, coalesce(phi, 400 / {_SCALE}) AS phi, coalesce(sigma, 0.06) AS sigma,
+           coalesce(w, 0) + coalesce(won, 0) AS w, coalesce(l, 0) + coalesce(lost, 0) AS l, coalesce(d, 0) + coalesce(drawn, 0) AS d, v IS NOT NULL AS active, coalesce(v, 1.0) AS v, coalesce(up, 0.0) AS up, coalesce(v * up, 0.0) AS delta
+    FROM now AS n FULL OUTER JOIN sums AS s ON n.y = s.y AND n.id = s.id
+  ), solved AS (SELECT *, CASE WHEN active THEN exp(({_ROOT}).lo / 2) ELSE sigma END AS new_sigma FROM joined
+  ), moved AS (
+    SELECT *, CASE WHEN active THEN 1 / sqrt(1 / (phi * phi + new_sigma * new_sigma) + 1 / v) ELSE sqrt(phi * phi + new_sigma * new_sigma) END AS new_phi FROM solved
+  )
+  SELECT y, k, id, CASE WHEN active THEN mu + new_phi * new_phi * up ELSE mu END, new_phi, new_sigma, CAST(w AS BIGINT), CAST(l AS BIGINT), CAST(d AS BIGINT) FROM moved)
+), state AS (
+  SELECT r.y AS year, id AS competitor_id, mu * {_SCALE} + 1500 AS rating, phi * {_SCALE} AS deviation, w, l, d FROM rated AS r JOIN (SELECT y, max(k) AS k FROM seq GROUP BY 1) AS m ON r.y = m.y AND r.k = m.k WHERE id <> -99
+)
+"""
+_SHORT_THEN = """CASE WHEN primary_org = 'BUILDING' AND year < 1997 THEN 'FIRST BUILDING' WHEN primary_org = 'BUILDING' AND year < 1999 THEN 'OLD' WHEN primary_org = 'BUILDING' THEN 'BLD'
+WHEN primary_org = 'MACHINERY' AND year < 1998 THEN 'ENGINES' WHEN primary_org = 'MACHINERY' THEN 'MCH' WHEN primary_org = 'FURNITURE' THEN 'FUR' ELSE primary_org END"""
+SQL["ranking_table"] = f"""{_RATED}
+SELECT s.year, CAST(row_number() OVER (PARTITION BY s.year ORDER BY rating DESC, s.competitor_id) AS INTEGER) AS rank, s.competitor_id, coalesce(n.name, c.name, 'Unknown') AS name, p.org, round(rating, 3) AS rating, round(deviation, 3) AS deviation,
+       CASE WHEN d > 0 THEN w || '-' || l || '-' || d ELSE w || '-' || l END AS record
+FROM state AS s LEFT JOIN competitors AS c USING (competitor_id)
+LEFT JOIN (SELECT competitor_id, year, name_used AS name FROM (SELECT competitor_id, year, name_used, count(*) AS n FROM names_used GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY competitor_id, year ORDER BY n DESC, name_used) = 1) AS n USING (competitor_id, year)
+LEFT JOIN (SELECT competitor_id, year, {_SHORT_THEN} AS org FROM prim) AS p USING (competitor_id, year)
+WHERE w + l + d >= 3 AND s.year IN (SELECT year FROM listings GROUP BY competitor_id, year HAVING count(*) > 8)"""
+SQL["upsets"] = f"""{_RATED}
+SELECT bout_date, a, b, coalesce(x.rating < y.rating, false) AS upset, coalesce(y.rating < x.rating - 2 * x.deviation, false) AS squash
+FROM singles LEFT JOIN state AS x ON x.competitor_id = a AND x.year = year(bout_date) LEFT JOIN state AS y ON y.competitor_id = b AND y.year = year(bout_date) WHERE is_victory"""

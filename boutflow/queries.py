@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutflow.functions import dates, glicko, text
-from boutflow.operators import audit, classify, dossier, neighbours, network, rollup, teams, workload
+from boutflow.operators import audit, classify, dossier, neighbours, network, organisations, rollup, teams, workload
 from boutflow.plans import ranking, refresh
 from boutflow.sources import pages, store
-from boutflow.sources.tables import COHORT_ORGS, HOME, RAISED, Tables
+from boutflow.sources.tables import COHORT_ORGS, HOME, RAISED, RENAMES, SHORT, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 #: The clock of rules that need one. Bouts end in 2001, events in January 2024.
 THIS_YEAR, AS_OF = 2002, "2024-06-30 00:00:00"
+#: The day for anniversaries of first bouts, which are early in a year here.
+DEBUT_DAY = "2024-02-20"
 #: The share of bouts that makes an organisation primary; here the modal share is 0.27 on average.
 SHARE = 0.25
 
@@ -164,9 +166,15 @@ def glicko_period_terms(t: Tables) -> DataFrame:
 
 @query
 def ranking_table(t: Tables) -> DataFrame:
-    orgs = _primary(t).select("competitor_id", F.col("year").cast("int").alias("year"), F.col("primary_org").alias("org"))
+    """The ranking of each year under the names most used in it, with short organisations; three bouts rank here."""
+    spark = t.spark
+    former = organisations.former_names(spark.createDataFrame(RENAMES, "name string, change_year int, old_name string"))
+    short = organisations.with_short(organisations.named_for_year(_primary(t), former), spark.createDataFrame(SHORT, "name string, short string"))
+    used = rollup.modal(rollup.counted(t.names_used, "name_used"), rollup.KEY, "used").select(*rollup.KEY, "used")
     years = [r.year for r in rollup.available_years(t.listings).select("year").collect()]
-    return ranking.table(ranking.by_year(t.spark, _singles(t), years, 3), t.competitors.select("competitor_id", "name"), orgs, 3)
+    state = ranking.by_year(spark, _singles(t), years, 3)
+    names = state.select(*rollup.KEY).join(used, rollup.KEY, "left").join(t.competitors.select("competitor_id", "name"), "competitor_id", "left")
+    return ranking.table(state, names.select(*rollup.KEY, F.coalesce("used", "name").alias("name")), short.select(*rollup.KEY, F.col("short_org").alias("org")), 3)
 
 
 @query
@@ -315,7 +323,7 @@ def plan_stats(t: Tables) -> DataFrame:
 @query
 def anniversaries(t: Tables) -> DataFrame:
     """In-cohort competitors whose first bout's day is within 60 days of the clock's, with the years since."""
-    as_of = F.to_date(F.lit(AS_OF))
+    as_of = F.to_date(F.lit(DEBUT_DAY))
     debut = t.listings.where("in_cohort").groupBy("competitor_id").agg(F.min("bout_date").alias("debut"))
     near = debut.where(dates.near_anniversary(F.col("debut"), as_of, 60))
     return near.select("competitor_id", "debut", (F.year(as_of) - F.year("debut")).alias("years"), dates.anniversary(F.col("debut"), as_of).alias("anniversary"))

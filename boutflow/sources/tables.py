@@ -91,7 +91,7 @@ class Tables:
     def profiles(self) -> DataFrame:
         """competitor_id, profile_json: what a profile page tells, as JSON text; null or empty for some."""
         i, c = F.col("competitor_id"), self.competitors
-        start = F.date_add(F.lit("1960-01-01").cast("date"), ((i * 37) % 11000).cast("int"))
+        start = F.date_add(F.lit("1960-01-01").cast("date"), ((i * 397) % 11000).cast("int"))
         org = F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), (i % 5 + 1).cast("int"))
         fields = {
             "Name": F.col("name"), "Current gimmick": F.when(i % 3 == 0, F.concat(F.lit("G "), "name")), "Gender": F.when(F.col("diverse"), "diverse").when(F.col("in_cohort"), "Female").otherwise("male"),
