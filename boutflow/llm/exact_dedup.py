@@ -3,12 +3,14 @@
 Texts are equal when they agree after every white-space character is deleted. Rows are told apart in
 three steps, each of which looks at those rows only that the step before left in a group of two or more:
 the length, then a hash of the first ``PREFIX`` characters, then the SHA-256 of the full text. The first
-two need a few bytes a row; the full content is hashed for the survivors alone.
+two send a few bytes a row through the shuffle, though they read each text to normalise it; the full content
+is hashed for the survivors alone.
 
 Hot groups: every step counts with map-side sums, the survivors' keys are joined by plain equi-joins that
 adaptive execution can split, and the row that stays is found by an aggregate, never by a window over a
 group. Of a group, the row with the most characters stays, then the one with the smallest id (null last);
-rows that agree in both are repeats of which one stays.
+rows that agree in both are repeats of which one stays, the one of the smallest hash of its text and then of
+its other columns (maps apart, which have no hash).
 
 Edge cases: a null text counts as empty; empty tables give empty results; ``classes`` reads the id and the
 text alone; ``drop_copies`` keeps all columns whatever their names.
@@ -82,6 +84,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = refine(inner, f"__row.`{text_col}`")
     alone = rows.where("__full is null").select("__row.*")
     row = F.col("__row")
-    order = F.struct(-F.col("__chars"), row[id_col].isNull(), row[id_col], F.xxhash64(row[text_col]))
+    hashed = [row[f.name] for f in docs.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    order = F.struct(-F.col("__chars"), row[id_col].isNull(), row[id_col], F.xxhash64(row[text_col]), F.xxhash64(*hashed))
     kept = rows.where("__full is not null").groupBy("__full").agg(F.min_by("__row", order).alias("__row")).select("__row.*")
     return alone.unionByName(kept)

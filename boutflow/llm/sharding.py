@@ -13,6 +13,9 @@ counts are summed up and sent back by (hub, salt), so that no key holds a large
 between shards go by a hash of the hub and shard, which is the same for all of a hub's documents, so that
 they don't swap places.
 
+Propagation ends when no document may move, or after ``rounds`` rounds: the law holds after each of them, and
+a round more only brings more linked documents together (``cut_links`` tells how many are apart).
+
 What the driver collects is the table of wishes by pair of shards, ``shards`` squared rows at most, and once
 the counts of split hubs' parts, of which there are fewer than twice the shards; each is drawn to a shard
 with room for it.

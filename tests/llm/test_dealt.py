@@ -380,7 +380,9 @@ def test_simhash_rows(awkward, nothing):
     assert simhash.near_components(nothing).count() == 0
 
 
-def test_near_copies(spark, nothing):
+@pytest.mark.parametrize("block", [512, 4])
+def test_near_copies(spark, nothing, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = np.random.default_rng(4)
     base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
     texts = []
@@ -396,7 +398,27 @@ def test_near_copies(spark, nothing):
     groups = _groups(range(80), near)
     kept = simhash.drop_near_copies(frame)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(groups.values())
-    assert simhash.drop_near_copies(nothing).count() == 0
+    if block == 512:
+        twice = frame.unionByName(frame.withColumn("doc_id", F.col("doc_id") + 1000)).withColumns({"__sha": F.lit(1), "group": F.lit(2)})
+        assert {r.doc_id for r in simhash.drop_near_copies(twice).collect()} == set(groups.values())
+        assert simhash.drop_near_copies(nothing).count() == 0
+
+
+def test_near_copies_of_a_chain_of_edits(spark, monkeypatch):
+    """A group whose ends are far apart, with many members that are near to none: no list is settled by its head alone."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for i in range(150):
+        ws = list(base)
+        for at in rng.choice(150, rng.integers(0, 7), replace=False):
+            ws[at] = f"e{i}x{at}"
+        texts.append(" ".join(ws))
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(a, b) for a in range(150) for b in range(a + 1, 150) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == set(_groups(range(150), near).values())
 
 
 def test_near_copies_finds_every_pair_at_the_threshold(spark):
