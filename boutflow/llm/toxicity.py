@@ -9,7 +9,7 @@ those that the label table has: ``low_quality``, then ``toxic``.
 A text is a vector of its distinct words, each with the square root of the word's share of the text, so its
 length is 1 whatever the text's; the runs of ``GRAM`` bytes in a word (its start marked) carry the word's
 value too, so that forms of one stem are known by it. A model keeps the ``KEPT`` features whose shares of
-documents with and without the category differ most clearly. The fit takes a documented, bounded sample of
+documents with and without the category differ most clearly, by ``LEAST_Z`` standard errors at least. The fit takes a documented, bounded sample of
 labelled rows: the ``MAX_ROWS`` labels of the smallest hash, or all if they are fewer. Features are counted
 and chosen in Spark, and the driver gets the chosen features of the sample alone. Scoring covers all rows
 and whole texts: a model's score of a text is the sum of its words' scores, which a task works out once
@@ -47,6 +47,8 @@ FOLDS = 3
 STEPS = 60
 GRAM = 5
 KEPT = 3_000
+#: Standard errors by which a feature's shares must differ: in a small sample most others are chance.
+LEAST_Z = 2.0
 THRESHOLD = 0.35
 
 #: Words whose scores a task holds at once, and their length in bytes, at most.
@@ -204,7 +206,7 @@ def telling(sample: DataFrame, models: list[tuple[int, int]]) -> dict[tuple[int,
             continue
         every, with_label = (reduce(lambda a, b: a + b, [F.col(f"{c}_{f}") for f in folds]) for c in ("n", f"y{k}"))
         z = F.abs(with_label / yes - (every - with_label) / (n - yes)) / F.sqrt((every + 1) / n * (1 / yes + 1 / (n - yes)))
-        part = counts.where(every > 1).orderBy(F.desc(z), "bucket").limit(KEPT).select(F.lit(k).alias("k"), F.lit(out).alias("fold"), "bucket")
+        part = counts.where((every > 1) & (z >= LEAST_Z)).orderBy(F.desc(z), "bucket").limit(KEPT).select(F.lit(k).alias("k"), F.lit(out).alias("fold"), "bucket")
         best = part if best is None else best.unionByName(part)
     got = best.toArrow() if best is not None else None  # KEPT rows a model
     pick = lambda k, f: got.filter(pc.and_(pc.equal(got["k"], k), pc.equal(got["fold"], f)))["bucket"].to_numpy()
