@@ -2,7 +2,8 @@
 
 Each micro-batch of pages is parsed to bouts and upserted by page: bouts of a page that comes again replace
 those of before, so a batch that runs twice after a failure leaves the same table. Rows of pages without a
-readable bout go to a quarantine folder, under the batch's number, which a repeated batch overwrites.
+readable bout go to a quarantine folder, under the batch's number, which a repeated batch overwrites; what
+an earlier version of such a page gave stays.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def ingest(spark: SparkSession, landing: str, target: str, quarantine: str, prog
     def upsert(batch: DataFrame, number: int) -> None:
         last = batch.where("page_id is not null").withColumn("place", F.monotonically_increasing_id())
         last = checkpointed(latest(last, ["page_id"], "place").drop("place"))  # of versions in one batch, the one read last
-        parsed = source.bouts(last)
+        parsed = checkpointed(source.bouts(last))
         bucket = F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")
         new = parsed.withColumn("bucket", bucket)
-        touched = last.select(bucket.alias("bucket")).distinct()
+        touched = new.select("bucket").distinct()
         try:
             old = spark.read.parquet(target)
         except Exception as error:  # the first batch finds no table
@@ -40,7 +41,7 @@ def ingest(spark: SparkSession, landing: str, target: str, quarantine: str, prog
                 raise
             old = None
         if old is not None:
-            new = old.join(touched, "bucket", "left_semi").join(last.select("page_id"), "page_id", "left_anti").select(new.columns).unionByName(new)
+            new = old.join(touched, "bucket", "left_semi").join(parsed.select("page_id"), "page_id", "left_anti").select(new.columns).unionByName(new)
         new = checkpointed(new)  # read before its partitions are rewritten
         new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
         last.join(parsed.select("page_id"), "page_id", "left_anti").select("page_id", "url").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")

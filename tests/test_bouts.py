@@ -338,3 +338,7 @@ def test_streaming_ingest_is_idempotent(spark, tmp_path):
     land(2, [(1, "u", ROW.format(f"{link(1)} defeats {link(3)}")), (3, "u", ROW.format(f"{link(5)} vs. {link(6)}"))])
     got = {r.page_id: [list(s) for s in r.sides] for r in spark.read.parquet(f"{tmp_path}/bouts").collect()}
     assert got == {1: [[1], [3]], 3: [[5], [6]]} and spark.read.parquet(f"{tmp_path}/bad").count() == 1
+    land(3, [(3, "u", "nothing any more"), (4, "u", ROW.format(f"{link(7)} defeats {link(8)}"))])  # what page 3 gave before stays
+    got = {r.page_id: [list(s) for s in r.sides] for r in spark.read.parquet(f"{tmp_path}/bouts").collect()}
+    assert got == {1: [[1], [3]], 3: [[5], [6]], 4: [[7], [8]]}
+    assert sorted(r.page_id for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == [2, 3]
