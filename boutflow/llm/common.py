@@ -103,12 +103,13 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def gapless(df: DataFrame, name: str, group: list[str], order: list[str], rows: int, slice_rows: int = 100_000) -> DataFrame:
+def gapless(df: DataFrame, name: str, group: list[str], order: list[str], rows: int, slice_rows: int = 10_000) -> DataFrame:
     """``df`` with the column ``name``: the row's place, from 0, in its ``group``.
 
     Places follow a hash of ``order`` and then ``order``. Each group is cut into slices by that hash, so
     no task sorts a whole group: rows are numbered in their slice, and the slices' counts, summed up
-    before them, give where each slice starts. ``rows`` is the number of rows of ``df``.
+    before them, give where each slice starts. ``rows`` is the number of rows of ``df``, of which there are
+    about ``slice_rows`` for each slice number, over all groups.
     """
     from pyspark.sql import Window
 
