@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -103,17 +104,17 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def gapless(df: DataFrame, name: str, group: list[str], order: list[str], rows: int, slice_rows: int = 10_000) -> DataFrame:
+def gapless(df: DataFrame, name: str, group: list[str], order: list[str], rows: int) -> DataFrame:
     """``df`` with the column ``name``: the row's place, from 0, in its ``group``.
 
     Places follow a hash of ``order`` and then ``order``. Each group is cut into slices by that hash, so
     no task sorts a whole group: rows are numbered in their slice, and the slices' counts, summed up
-    before them, give where each slice starts. ``rows`` is the number of rows of ``df``, of which there are
-    about ``slice_rows`` for each slice number, over all groups.
+    before them, give where each slice starts. ``rows`` is the number of rows of ``df``; there
+    are about its square root of slices, so that neither a slice nor a group's list of slices is large.
     """
     from pyspark.sql import Window
 
-    slices = max(1, rows // slice_rows)
+    slices = max(1, math.isqrt(rows))
     sliced = df.withColumn("__slice", F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int"))
     before = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = sliced.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))

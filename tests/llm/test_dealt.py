@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from boutflow.llm import decontamination, exact_dedup, langid, secrets_crf, sentencepiece_codec, sharding, simhash, token_counts, toxicity, url_filter
+from boutflow.llm.common import gapless
 from boutflow.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -130,6 +131,15 @@ def test_sharding_gathers_a_large_group(spark, copies, most_shards):
     assert apart <= (0 if most_shards == 1 else copies // 20)
 
 
+def test_places_have_no_gaps(spark):
+    df = spark.range(3000).selectExpr("id", "case when id < 2000 then 0 when id < 2001 then null else id % 7 end as g")
+    for group in ([], ["h"]):
+        held = defaultdict(list)
+        for r in gapless(df.selectExpr("id", "coalesce(g, -1) as h"), "place", group, ["id"], 3000).collect():
+            held[r.h if group else None].append(r.place)
+        assert sum(map(len, held.values())) == 3000 and all(sorted(x) == list(range(len(x))) for x in held.values())
+
+
 def test_sharding_gathers_copies_under_a_hot_group(spark):
     texts = ["hot"] * 400 + [f"pair {i // 2}" for i in range(400)] + [f"lone {i}" for i in range(400)]
     got = sharding.shard_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
