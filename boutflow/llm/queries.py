@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boutflow.llm import decontamination, exact_dedup, hard_negatives, langid, secrets_crf, sentencepiece_codec, sharding, simhash, token_counts, toxicity, url_filter, whitening
+from boutflow.llm import decontamination, exact_dedup, hard_negatives, langid, secrets_crf, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, whitening
 from boutflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,32 @@ FROM d LEFT JOIN hits AS h ON d.r = h.r LEFT JOIN items AS x ON d.r = x.r
 """
 
 
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+SQL["op11_substring_dedup"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, doc_id, k, array_to_string(w[k : k + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS k FROM d WHERE len(w) >= 13)
+), firsts AS (
+  SELECT s, min(doc_id) AS least FROM windows GROUP BY s
+), gone AS (
+  SELECT DISTINCT r, p FROM (
+    SELECT v.r, unnest(range(v.k, v.k + 13)) AS p FROM windows AS v JOIN firsts AS f ON v.s = f.s WHERE v.doc_id > f.least OR v.doc_id IS NULL AND f.least IS NOT NULL
+  )
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN kept AS k ON d.r = k.r
+"""
+
+
 @query
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
