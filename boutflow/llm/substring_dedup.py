@@ -15,8 +15,8 @@ Suffixes are sampled and dealt out by their first words, each group gets its own
 3. Dealing. What is left is dealt by prefix, with its words. Each task first settles what repeats within its own
    batch of documents (exactly, on the words) and sends a window's first document only. So a passage that a third of all
    documents holds comes once from each batch.
-4. Trees. The windows of a part are read from their anchor on, with the words before the anchor at the end, and sorted by
-   their words: with the lengths of the common prefixes of neighbours this is the suffix tree of the part in
+4. Trees. A part has a tree for each few prefixes. Their windows are read from their anchor on, with the words before the anchor at the end, and sorted by
+   their words: with the lengths of the common prefixes of neighbours this is the suffix tree in
    array form. Its internal nodes at the depth of a whole window, with their smallest document, give the repeats; neighbouring
    ones make up one maximal span.
 
@@ -46,6 +46,8 @@ WINDOW, PREFIX = 13, 5
 PART_BYTES = 32 << 20
 #: Documents beyond which a prefix fills a part by itself and gets longer.
 MOST = 1 << 20
+#: Windows in a tree, and in what a task holds of them at once; a prefix with more has a larger one.
+TREE_WINDOWS = 50_000
 #: Stands for a null id.
 LAST = (1 << 63) - 1
 
@@ -304,11 +306,12 @@ def _suffixes(window: int, parts: int, hot: np.ndarray):
                 continue
             doc = words.doc[at]
             content, ids = _hash_runs(found.hashes, window)[at], keys[doc, 0]
-            rows_of = found.codes[at[:, None] + np.arange(window)].astype(np.int32)
             order = np.argsort(content, kind="stable")
             fresh = np.append(True, content[order][1:] != content[order][:-1])
             same = np.flatnonzero(~fresh)
-            if (rows_of[order[same]] != rows_of[order[same - 1]]).any():  # a hash with two contents
+            one, other = at[order[same]], at[order[same - 1]]
+            if any((found.codes[one + j] != found.codes[other + j]).any() for j in range(window)):  # a hash with two contents
+                rows_of = found.codes[at[:, None] + np.arange(window)].astype(np.int32)
                 order = np.lexsort(rows_of.T[::-1])
                 fresh = np.append(True, (rows_of[order][1:] != rows_of[order][:-1]).any(axis=1))
             done = ids > _first_documents(order, fresh, ids)
@@ -353,6 +356,26 @@ def subtree(codes: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order, np.append(0, common) if n else order
 
 
+def _groups(prefix: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Records whose prefixes are neighbours in order, so many that they have TREE_WINDOWS windows, and each prefix whole."""
+    order = np.argsort(prefix, kind="stable")
+    last = np.flatnonzero(np.append(prefix[order][1:] != prefix[order][:-1], True))
+    windows, at, k = np.cumsum(size[order])[last], 0, 0
+    while k < len(last):
+        to = max(k + 1, int(np.searchsorted(windows, (windows[k - 1] if k else 0) + TREE_WINDOWS, side="right")))
+        yield order[at : last[to - 1] + 1]
+        at, k = last[to - 1] + 1, to
+
+
+def _repeats(codes: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.ndarray, lead: np.ndarray, window: int, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of records with their own prefixes, the windows that a smaller document has: the records' names and the windows' places in them."""
+    record = np.repeat(np.arange(len(size)), size)
+    within = np.arange(len(record)) - np.repeat(np.cumsum(size) - size, size)
+    order, common = subtree(codes[(first[record] + within)[:, None] + np.arange(window)], lead[record] - within)
+    gone = np.flatnonzero(ids[record] > _first_documents(order, common <= window, ids[record]))
+    return names[record[gone]], within[gone]
+
+
 def _trees(window: int):
     """Rows of a part to the spans of windows that a smaller document has too."""
 
@@ -372,15 +395,13 @@ def _trees(window: int):
         doc = np.concatenate([_unpacked(r["doc"], r["n"], np.uint32).astype(np.int64) + b for r, b in zip(rows, before, strict=False)])
         start, size, lead = (np.concatenate([_unpacked(r[c], r["n"], kind).astype(np.int64) for r in rows]) for c, kind in (("x", np.uint32), ("y", np.uint8), ("z", np.uint8)))
         norm = np.frombuffer(b"".join(pa.decompress(r.pop("words"), r["n_bytes"], "zstd", asbytes=True) for r in rows), np.uint8)
-        codes, _ = _encoded(norm, np.flatnonzero(norm == 32) + 1)
-        n_words = size + window - 1
-        record = np.repeat(np.arange(len(size)), size)
-        within = np.arange(len(record)) - np.repeat(np.cumsum(size) - size, size)
-        first = (np.cumsum(n_words) - n_words)[record] + within
-        order, common = subtree(codes.astype(np.int32)[first[:, None] + np.arange(window)], lead[record] - within)
-        ids = keys[doc[record], 0]
-        gone = np.flatnonzero(ids > _first_documents(order, common <= window, ids))
-        d, s = doc[record[gone]], start[record[gone]] + within[gone]
+        codes = _encoded(norm, np.flatnonzero(norm == 32) + 1)[0].astype(np.int32)
+        del norm
+        first = np.cumsum(size + window - 1) - (size + window - 1)
+        prefix = _hash_runs(_mixed(codes.astype(np.uint64) + np.uint64(1)), PREFIX)[first + lead]
+        gone = [_repeats(codes, keys[doc[k], 0], first[k], size[k], lead[k], window, k) for k in _groups(prefix, size)]
+        record, within = (np.concatenate([g[x] for g in gone]) for x in (0, 1))
+        d, s = doc[record], start[record] + within
         tidy = np.lexsort((s, d))
         d, s, e = _runs(d[tidy], s[tidy])
         if len(d):

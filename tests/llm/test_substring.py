@@ -96,6 +96,16 @@ def test_subtree_orders_windows_and_finds_equal_ones():
         assert common[k] == same
 
 
+def test_groups_keep_prefixes_whole(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "TREE_WINDOWS", 10)
+    rng = np.random.default_rng(6)
+    prefix, size = rng.integers(0, 30, 200), rng.integers(1, 9, 200)
+    groups = list(substring_dedup._groups(prefix, size))
+    assert sorted(np.concatenate(groups).tolist()) == list(range(200)) and len(groups) > 20
+    assert sum(len(set(prefix[g].tolist())) for g in groups) == len(set(prefix.tolist()))
+    assert all(size[g].sum() <= 10 or len(set(prefix[g].tolist())) == 1 for g in groups)
+
+
 def test_anchors_are_the_same_in_equal_windows():
     text = b"one two three four five six seven eight nine ten eleven twelve thirteen"
     found = [substring_dedup.Anchored(substring_dedup.Words([lead + text]), 13) for lead in (b"", b"some other words before this ")]
