@@ -158,9 +158,10 @@ def _runs(docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return docs[fresh], starts[fresh], starts[last] + 1
 
 
-#: A row for a part. kind: ASK about prefixes, TELL of prefixes that more documents of a batch have, DONE spans that need no other
-#: batch, WINDOWS for the trees. ids and texts: of the documents that ``doc`` numbers; x, y, z: what each kind has.
-ASK, TELL, DONE, TREES = range(4)
+#: A row for a part. kind: ASK about prefixes, TELL of prefixes that more documents of a batch have, DONE places and spans that need no
+#: other batch, TREES records for the trees, HOT prefixes that fill a part. ids and hashes: of the documents that ``doc``
+#: numbers; x, y, z: what each kind has.
+ASK, TELL, DONE, TREES, HOT = range(5)
 _ROW = "part int, kind int, n_docs int, n int, ids binary, hashes binary, doc binary, x binary, y binary, z binary, words binary, n_bytes int"
 _NAMES = [c.split()[0] for c in _ROW.split(", ")]
 
@@ -228,28 +229,63 @@ def _prefixes(window: int, parts: int):
     return run
 
 
-_OUT = "id long, text_hash long, places array<int>, hot boolean"
+def _home(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which all about a document meets."""
+    return (_mixed(keys[:, 1].view(np.uint64) ^ _mixed(keys[:, 0].view(np.uint64))) % np.uint64(parts)).astype(np.int64)
 
 
-def _out(keys: np.ndarray, doc: np.ndarray, values: np.ndarray, each: int = 1) -> pa.RecordBatch:
-    """A row for each document with its ``values``, ``each`` of them for an entry of ``doc``."""
-    order = np.argsort(doc, kind="stable")
-    used, counts = np.unique(doc, return_counts=True)
-    flat = values.reshape(-1, each)[order].reshape(-1)
-    offsets = np.concatenate([[0], np.cumsum(counts * each)]).astype(np.int32)
-    places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(keys[used, 0]), pa.array(keys[used, 1]), places, pa.array(np.zeros(len(used), bool))], names=["id", "text_hash", "places", "hot"])
+class _Found:
+    """Places (of prefixes) or spans of documents, gathered by a task, to be sent to the documents' parts in few rows."""
 
+    def __init__(self, parts: int):
+        self.parts, self.keys, self.doc, self.x, self.y, self.n = parts, [], [], [], [], 0
 
-def _count_prefixes(most: int):
-    """Rows of a part to the places of each document's repeated prefixes, and the hashes of those that more than ``most`` documents have (hot)."""
+    def add(self, keys: np.ndarray, doc: np.ndarray, x: np.ndarray, y: np.ndarray | None = None) -> None:
+        self.keys.append(keys)
+        self.doc.append(doc.astype(np.int64) + self.n)
+        self.x.append(x)
+        self.y.append(x if y is None else y)
+        self.n += len(keys)
+
+    def rows(self) -> list[tuple]:
+        if not self.n:
+            return []
+        keys, doc, x, y = (np.concatenate(v) for v in (self.keys, self.doc, self.x, self.y))
+        return [_row(part, DONE, keys, doc[k], (x[k], np.uint32), (y[k], np.uint32)) for part, k in _slices(_home(keys, self.parts)[doc])]
+
+
+_OUT = "id long, text_hash long, places array<int>"
+
+
+def _by_document(each: int):
+    """Rows of a part to a row for each of its documents, with ``each`` numbers for an entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [r for batch in batches for r in batch.to_pylist()]
+        if not found:
+            return
+        before = np.cumsum([0, *(r["n_docs"] for r in found)])
+        keys, same = np.unique(np.concatenate([_keys_of(r) for r in found]), axis=0, return_inverse=True)
+        doc = same.reshape(-1)[np.concatenate([_unpacked(r["doc"], r["n"], np.uint32).astype(np.int64) + b for r, b in zip(found, before, strict=False)])]
+        values = np.stack([np.concatenate([_unpacked(r[c], r["n"], np.uint32) for r in found]) for c in "xy"[:each]], axis=1)
+        order = np.argsort(doc, kind="stable")
+        used, counts = np.unique(doc, return_counts=True)
+        offsets = np.concatenate([[0], np.cumsum(counts * each)]).astype(np.int32)
+        places = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order].reshape(-1).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[used, 0]), pa.array(keys[used, 1]), places], names=["id", "text_hash", "places"])
+
+    return run
+
+
+def _count_prefixes(most: int, parts: int):
+    """Rows of a part to the places of each document's repeated prefixes, and the hashes of those that more than ``most`` documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, told = [], []
+        asked, told, found = [], [], _Found(parts)
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == DONE:
-                    yield _out(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32), _unpacked(r["x"], r["n"], np.uint32))
+                    found.add(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32), _unpacked(r["x"], r["n"], np.uint32))
                 elif r["kind"] == ASK:
                     asked.append(r)
                 else:
@@ -264,11 +300,11 @@ def _count_prefixes(most: int):
             good = repeated[at : at + len(p)]
             at += len(p)
             if good.any():
-                yield _out(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32)[good], _unpacked(r["x"], r["n"], np.uint32)[good])
-        hot = distinct[counts > most].view(np.int64)
+                found.add(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32)[good], _unpacked(r["x"], r["n"], np.uint32)[good])
+        rows, hot = found.rows(), distinct[counts > most]
         if len(hot):
-            none = pa.nulls(len(hot), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(hot), none, pa.array(np.ones(len(hot), bool))], names=["id", "text_hash", "places", "hot"])
+            rows.append(_row(0, HOT, np.zeros((0, 2), np.int64), np.zeros(0, np.int64), (hot, np.uint64)))
+        yield _batch_of(rows)
 
     return run
 
@@ -376,19 +412,19 @@ def _repeats(codes: np.ndarray, ids: np.ndarray, first: np.ndarray, size: np.nda
     return names[record[gone]], within[gone]
 
 
-def _trees(window: int):
+def _trees(window: int, parts: int):
     """Rows of a part to the spans of windows that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, found = [], _Found(parts)
         for batch in batches:
             for r in batch.to_pylist():
                 if r["kind"] == DONE:
-                    spans = np.stack([_unpacked(r["x"], r["n"], np.uint32), _unpacked(r["y"], r["n"], np.uint32)], axis=1)
-                    yield _out(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32), spans, 2)
+                    found.add(_keys_of(r), _unpacked(r["doc"], r["n"], np.uint32), _unpacked(r["x"], r["n"], np.uint32), _unpacked(r["y"], r["n"], np.uint32))
                 else:
                     rows.append(r)
         if not rows:
+            yield _batch_of(found.rows())
             return
         keys = np.concatenate([_keys_of(r) for r in rows])
         before = np.cumsum([0, *(r["n_docs"] for r in rows)])
@@ -404,8 +440,8 @@ def _trees(window: int):
         d, s = doc[record], start[record] + within
         tidy = np.lexsort((s, d))
         d, s, e = _runs(d[tidy], s[tidy])
-        if len(d):
-            yield _out(keys, d, np.stack([s, e], axis=1), 2)
+        found.add(keys, d, s, e)
+        yield _batch_of(found.rows())
 
     return run
 
@@ -415,9 +451,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias(_ID), F.xxhash64(text).alias(_HASH), text.alias("__text"))
 
 
-def _by_document(rows: DataFrame) -> DataFrame:
+def _documents(rows: DataFrame, parts: int, each: int) -> DataFrame:
     """All places of a document in one row, which its length bounds; written, so that the join with the texts can split a key's rows."""
-    return cut_lineage(rows.groupBy(F.col("id").alias(_ID), F.col("text_hash").alias(_HASH)).agg(F.flatten(F.collect_list("places")).alias("places")))
+    found = rows.repartition(parts, "part").mapInArrow(_by_document(each), _OUT)
+    return cut_lineage(found.select(F.col("id").alias(_ID), F.col("text_hash").alias(_HASH), "places"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, most: int = MOST) -> DataFrame:
@@ -428,11 +465,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     keyed = _keyed(docs, id_col, text_col)
     total = docs.agg(F.sum(text_bytes(F.col(text_col)))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
-    counted = cut_lineage(keyed.mapInArrow(_prefixes(window, parts), _ROW).repartition(parts, "part").mapInArrow(_count_prefixes(most), _OUT))
-    hot = np.array([r.text_hash for r in counted.where("hot").select("text_hash").collect()], np.int64).view(np.uint64)
-    found = _by_document(counted.where("not hot"))
-    dealt = keyed.join(found, [_ID, _HASH]).mapInArrow(_suffixes(window, parts, hot), _ROW).repartition(parts, "part")
-    return _by_document(dealt.mapInArrow(_trees(window), _OUT))
+    counted = cut_lineage(keyed.mapInArrow(_prefixes(window, parts), _ROW).repartition(parts, "part").mapInArrow(_count_prefixes(most, parts), _ROW))
+    hot = [_unpacked(r.x, r.n, np.uint64) for r in counted.where(F.col("kind") == HOT).select("x", "n").collect()]
+    found = _documents(counted.where(F.col("kind") == DONE), parts, 1)
+    dealt = keyed.join(found, [_ID, _HASH]).mapInArrow(_suffixes(window, parts, np.concatenate([np.zeros(0, np.uint64), *hot])), _ROW)
+    return _documents(dealt.repartition(parts, "part").mapInArrow(_trees(window, parts), _ROW), parts, 2)
 
 
 def _cut(window: int, keep: list[str], schema: T.StructType):
