@@ -23,7 +23,7 @@ Suffixes are sampled and dealt out by their first words, each group gets its own
 Counts and windows cover whole texts. Words are ``[^\\x20\\x09-\\x0D]+``, unchanged; null and empty texts have none, and texts
 of fewer words than a window have no window. A null id counts as larger than every other; rows of one
 id, repeated ones too, don't take words from each other. A window that repeats within its document alone stays.
-Very long texts are handled whole: a task needs some thirty bytes for each byte of a batch (8 MB) or of its longest text.
+Very long texts are handled whole: a task needs some thirty bytes for each byte of a piece (4 MB) or of its longest text.
 Clashing columns of the input make way for those that are added.
 """
 
@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ WINDOW, PREFIX = 13, 5
 PART_BYTES = 32 << 20
 #: Documents beyond which a prefix fills a part by itself and gets longer.
 MOST = 1 << 20
+#: Bytes of text that a task works on at once.
+PIECE = 4 << 20
 #: Windows in a tree, and in what a task holds of them at once; a prefix with more has a larger one.
 TREE_WINDOWS = 50_000
 #: Stands for a null id.
@@ -108,7 +111,7 @@ def _encoded(norm: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Codes of the words that end at ``ends``, and the distinct words."""
     offsets = np.concatenate([[0], ends]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(norm))]).dictionary_encode()
-    return np.asarray(words.indices, dtype=np.int64), words.dictionary
+    return np.asarray(words.indices, dtype=np.int32), words.dictionary
 
 
 class Anchored:
@@ -194,13 +197,22 @@ def _texts_and_keys(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.
     return texts, keys[places], places
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of PIECE bytes of text, or of one text."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("__text")).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def _prefixes(window: int, parts: int):
     """Batches of texts to rows that ask and tell of prefixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             texts, keys, _ = _texts_and_keys(batch)
             found = Anchored(Words(texts), window)
             if not len(found.anchors):
@@ -321,9 +333,7 @@ def _suffixes(window: int, parts: int, hot: np.ndarray):
     """Batches of texts with the places of their repeated prefixes to rows for the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _pieces(batches):
             texts, keys, rows = _texts_and_keys(batch)
             places = batch.column("places").take(pa.array(rows))
             found = Anchored(Words(texts), window)
@@ -347,7 +357,7 @@ def _suffixes(window: int, parts: int, hot: np.ndarray):
             same = np.flatnonzero(~fresh)
             one, other = at[order[same]], at[order[same - 1]]
             if any((found.codes[one + j] != found.codes[other + j]).any() for j in range(window)):  # a hash with two contents
-                rows_of = found.codes[at[:, None] + np.arange(window)].astype(np.int32)
+                rows_of = found.codes[at[:, None] + np.arange(window)]
                 order = np.lexsort(rows_of.T[::-1])
                 fresh = np.append(True, (rows_of[order][1:] != rows_of[order][:-1]).any(axis=1))
             done = ids > _first_documents(order, fresh, ids)
@@ -431,10 +441,12 @@ def _trees(window: int, parts: int):
         doc = np.concatenate([_unpacked(r["doc"], r["n"], np.uint32).astype(np.int64) + b for r, b in zip(rows, before, strict=False)])
         start, size, lead = (np.concatenate([_unpacked(r[c], r["n"], kind).astype(np.int64) for r in rows]) for c, kind in (("x", np.uint32), ("y", np.uint8), ("z", np.uint8)))
         norm = np.frombuffer(b"".join(pa.decompress(r.pop("words"), r["n_bytes"], "zstd", asbytes=True) for r in rows), np.uint8)
-        codes = _encoded(norm, np.flatnonzero(norm == 32) + 1)[0].astype(np.int32)
+        codes = _encoded(norm, np.flatnonzero(norm == 32) + 1)[0]
         del norm
         first = np.cumsum(size + window - 1) - (size + window - 1)
-        prefix = _hash_runs(_mixed(codes.astype(np.uint64) + np.uint64(1)), PREFIX)[first + lead]
+        prefix = np.zeros(len(first), np.uint64)
+        for j in range(PREFIX):
+            prefix = _mixed(prefix + codes[first + lead + j].astype(np.uint64))
         gone = [_repeats(codes, keys[doc[k], 0], first[k], size[k], lead[k], window, k) for k in _groups(prefix, size)]
         record, within = (np.concatenate([g[x] for g in gone]) for x in (0, 1))
         d, s = doc[record], start[record] + within
@@ -474,7 +486,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
 
 def _cut(window: int, keep: list[str], schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = batch.column("__text").cast(pa.large_binary()).to_pylist()
             words, places = Words(texts), batch.column("places")
             lengths = np.asarray(places.value_lengths().fill_null(0), dtype=np.int64)

@@ -217,6 +217,24 @@ def test_secret_rows(awkward, nothing):
 # 5
 
 
+def all_buckets(text):
+    return [b for part in langid.buckets(text) for b in part.tolist()]
+
+
+def test_languages_by_blocks_and_texts_by_pieces(awkward, rows, spark, monkeypatch):
+    text = rows[50][1] + " İstanbul 😀"
+    whole = Counter(all_buckets(text))
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert Counter(all_buckets(text)) == whole
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(k, t, f"{x}-{k % 3}" if k % 2 else x) for k, t, x in rows[:60]], "doc_id long, text string, lang string")
+    one, many = ({r.doc_id: r for r in langid.predict(docs, langid.fit(docs, block=b)).collect()} for b in (256, 2))
+    assert len(langid.fit(docs, block=2)) > 2 and len({r.lang_pred for r in one.values()}) > 4
+    assert all(many[i].lang_pred == r.lang_pred and many[i].score == pytest.approx(r.score) for i, r in one.items())
+    got = langid.predict(awkward.withColumn("lang_pred", F.lit("x")), langid.fit(awkward, block=1), keep=["doc_id", "Lang_Pred"])
+    assert got.columns == ["doc_id", "lang_pred", "score"] and {r.lang_pred for r in got.collect() if r.doc_id in (1, 2, 3, 8)} == {"und"}
+
+
 def test_language_accuracy_on_held_out(spark, rows):
     got = QUERIES["op5_language_id"](spark, SF).collect()
     lang = {i: x for i, _, x in rows}
@@ -229,19 +247,19 @@ def test_language_scores_equal_plain_sums(rows, awkward, nothing):
     texts = [(t, x) for _, t, x in rows[:40]]
     counts, n = defaultdict(Counter), Counter(x for _, x in texts)
     for t, x in texts:
-        counts[x].update(langid.buckets(t).tolist())
+        counts[x].update(all_buckets(t))
     names = sorted(counts)
     dense = np.array([[counts[x][b] for b in range(langid.BUCKETS)] for x in names], float)
     model = langid.Model(names, dense, np.array([n[x] for x in names], float))
     text = rows[50][1]
-    total = np.array([np.log(n[x] / len(texts)) + sum(np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for b in langid.buckets(text).tolist()) for x in names])
+    total = np.array([np.log(n[x] / len(texts)) + sum(np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * langid.BUCKETS)) for b in all_buckets(text)) for x in names])
     assert model.predict([text])[0] == [names[int(total.argmax())]]
     alone = [model.predict([t]) for t, _ in texts]  # a batch scores as its texts do
     assert model.predict([t for t, _ in texts]) == ([n[0] for n, _ in alone], pytest.approx([s[0] for _, s in alone]))
     got = {r.doc_id: r for r in langid.predict(awkward, langid.fit(awkward)).collect()}
     assert {got[i].lang_pred for i in (1, 2, 3, 8)} == {"und"} and got[9].lang_pred == "fr" and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in langid.predict(awkward, langid.fit(nothing)).collect()} == {"und"}
-    assert langid.predict(nothing, model).count() == 0
+    assert langid.predict(nothing, [model]).count() == 0
 
 
 # 6
