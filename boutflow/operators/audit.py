@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutflow.functions.bounded import k_smallest
 from boutflow.functions.dates import age_days
 
 
@@ -107,15 +108,34 @@ def stubs(listings: DataFrame, competitors: DataFrame, first: int, last: int) ->
     return years.join(counts, ["competitor_id", "year"], "left").fillna(0, ["n_bouts"])
 
 
-def stub_audit(years: DataFrame, competitors: DataFrame, least: int = 3, stale_days: int = 365) -> DataFrame:
-    """Competitors with ``least`` stubs or a single populated year: both numbers, and first and last populated year.
+def stub_audit(lists: DataFrame, competitors: DataFrame, careers: DataFrame, this_year: int, as_of: str, least: int = 3, stale_days: int = 365, career: int = 3) -> DataFrame:
+    """In-cohort competitors with ``least`` stubs or more (``several``), or with a single populated year in a career of ``career`` years or more (``single``).
 
-    A stub is an empty year whose ``age`` in days (null: never read) is beyond ``stale_days``; without that column, each empty year.
+    ``lists``: competitor_id, year, n_bouts, last_updated; a stub is an empty one that is never read (null) or over ``stale_days``
+    old. ``careers``: competitor_id, career_start; without a start there is no length, so never ``single``.
     """
-    full = F.col("n_bouts") > 0
-    old = F.coalesce(F.col("age") > stale_days, F.lit(True)) if "age" in years.columns else F.lit(True)
-    per = years.groupBy("competitor_id").agg(F.count_if(~full & old).alias("n_stubs"), F.count_if(full).alias("n_populated"), F.min(F.when(full, F.col("year"))).alias("first_year"), F.max(F.when(full, F.col("year"))).alias("last_year"))
-    return per.where((F.col("n_stubs") >= least) | (F.col("n_populated") == 1)).join(competitors.select("competitor_id", "in_cohort"), "competitor_id").select("competitor_id", "in_cohort", "n_stubs", "n_populated", "first_year", "last_year")
+    age = age_days(F.col("last_updated"), F.lit(as_of).cast("timestamp"))
+    full, stub = F.col("n_bouts") > 0, (F.col("n_bouts") == 0) & F.coalesce(age > stale_days, F.lit(True))
+    per = lists.groupBy("competitor_id").agg(
+        F.count_if(stub).alias("n_stubs"), F.count_if(full).alias("n_populated"), F.min(F.when(full, F.col("year"))).alias("first_year"), F.max(F.when(full, F.col("year"))).alias("last_year"), F.sum("n_bouts").alias("n_bouts"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(stub, F.col("year")))), lambda y: y.cast("string")), ",").alias("stub_years"),
+    )
+    rows = per.join(competitors.where("in_cohort").select("competitor_id"), "competitor_id").join(careers.select("competitor_id", (F.lit(this_year) - F.col("career_start")).alias("career_length")), "competitor_id", "left")
+    single = (F.col("n_populated") == 1) & F.coalesce(F.col("career_length") >= career, F.lit(False))
+    return rows.withColumns({"single": single, "several": F.col("n_stubs") >= least}).where("single or several")
+
+
+def empty_records(lists: DataFrame, before: int) -> DataFrame:
+    """Per competitor with an empty list of a year before ``before``: those years as text."""
+    years = F.array_join(F.transform(F.array_sort(F.collect_list("year")), lambda y: y.cast("string")), ",")
+    return lists.where((F.col("year") < before) & (F.col("n_bouts") == 0)).groupBy("competitor_id").agg(years.alias("years"))
+
+
+def earlier_stubs(lists: DataFrame, year: int) -> DataFrame:
+    """Competitors whose list of ``year`` is stored and empty, and who have an empty one of before."""
+    empty = F.col("n_bouts") == 0
+    per = lists.where(F.col("year") <= year).groupBy("competitor_id").agg(F.count_if(empty & (F.col("year") == year)).alias("now"), F.count_if(empty & (F.col("year") < year)).alias("before"))
+    return per.where("now > 0 and before > 0").select("competitor_id")
 
 
 def stub_only(years: DataFrame, recent: tuple[int, ...]) -> DataFrame:
@@ -134,10 +154,9 @@ def overlaps(bouts: DataFrame) -> DataFrame:
     return bouts.where(F.size("sides") >= 2).withColumn("both", both).where("size(both) > 0").select("bout_id", "bout_date", F.array_join(F.transform("both", lambda x: x.cast("string")), ",").alias("on_both_sides"), F.size("both").alias("n_both"))
 
 
-def quality_issues(bouts: DataFrame) -> DataFrame:
-    """Per issue and organisation: bouts with it, and their share of all of the organisation."""
+def _issues() -> dict[str, Column]:
     flat = F.flatten("sides")
-    issues = {
+    return {
         "sentinel": F.array_contains("participants", F.lit(-1).cast("long")),
         "sides_differ": (F.size(F.array_except(flat, F.col("participants"))) > 0) | (F.size(F.array_except(F.col("participants"), flat)) > 0),
         "empty_side": F.exists("sides", lambda s: F.size(s) == 0),
@@ -145,10 +164,56 @@ def quality_issues(bouts: DataFrame) -> DataFrame:
         "on_both_sides": F.size(F.array_intersect(F.col("sides")[0], F.col("sides")[1])) > 0,
         "large": F.size("participants") > 6,
     }
-    rows = bouts.select("org", F.explode(F.array(*[F.struct(F.lit(n).alias("issue"), c.alias("found")) for n, c in issues.items()])).alias("i")).select("org", "i.issue", "i.found")
+
+
+def _by_kind(kinds: dict[str, Column], name: str) -> Column:
+    """A row for each kind, with whether it was found."""
+    return F.explode(F.array(*[F.struct(F.lit(n).alias(name), F.coalesce(c, F.lit(False)).alias("found")) for n, c in kinds.items()])).alias("i")
+
+
+def quality_issues(bouts: DataFrame) -> DataFrame:
+    """Per issue and organisation: bouts with it, and their share of all of the organisation."""
+    rows = bouts.select("org", F.explode(F.array(*[F.struct(F.lit(n).alias("issue"), c.alias("found")) for n, c in _issues().items()])).alias("i")).select("org", "i.issue", "i.found")
     return rows.groupBy("issue", "org").agg(F.count_if("found").alias("n_bouts"), F.round(F.avg(F.col("found").cast("double")), 6).alias("share"))
 
 
+def with_examples(rows: DataFrame, by: str, key: str, k: int = 3, n: str = "n") -> DataFrame:
+    """Per kind (``by``) of ``rows`` (``by``, ``found``, ``key``): how many were found, and the ``k`` smallest keys of these as text."""
+    counts = rows.groupBy(by).agg(F.count_if("found").alias(n))
+    few = k_smallest(rows.where("found").select(by, key), [by], key, k)
+    shown = F.array_join(F.transform("examples", lambda x: x.cast("string")), ",")
+    return counts.join(few, by, "left").select(by, n, F.coalesce(shown, F.lit("")).alias("examples"))
+
+
+def issue_examples(bouts: DataFrame, k: int = 3) -> DataFrame:
+    """Per issue: bouts with it, and the first ``k``."""
+    return with_examples(bouts.select("bout_id", _by_kind(_issues(), "issue")).select("bout_id", "i.*"), "issue", "bout_id", k, "n_bouts")
+
+
+def error_report(parsed: DataFrame, k: int = 3) -> DataFrame:
+    """Per error of a parse: pages with it, and the first ``k``."""
+    rows = parsed.where("error is not null").select("error", "page_id", F.lit(True).alias("found")).distinct()
+    return with_examples(rows, "error", "page_id", k, "n_pages")
+
+
+def reparse_report(old: DataFrame, parsed: DataFrame, k: int = 3) -> DataFrame:
+    """Per kind of outcome of reading stored bouts anew: how many, and the first ``k``.
+
+    ``old``: bout_id, version (null: 1), sides (null: stored without them); ``parsed``: a row for each bout, by page_id, of
+    ``pages.parsed``. Changes of version are kinds of their own; sides are compared where both have them.
+    """
+    new = parsed.select(F.col("page_id").alias("bout_id"), F.col("version").alias("new_version"), F.col("sides").alias("new_sides"), "error")
+    rows = old.withColumn("version", F.coalesce("version", F.lit(1))).join(new, "bout_id", "left").withColumn("error", F.when(F.col("new_version").isNull(), "no page").otherwise(F.col("error")))
+    good = F.col("error").isNull()
+    kinds = {
+        "all": F.lit(True), "reparsed": good, "parse_error": ~good, "missing_sides": F.col("sides").isNull(),
+        "newly_multi_sided": good & (F.size("new_sides") > 2) & (F.coalesce(F.size("sides"), F.lit(0)) <= 2),
+        "side_differences": good & F.col("sides").isNotNull() & ~F.col("sides").eqNullSafe(F.col("new_sides")),
+    }
+    changed = rows.where(good & (F.col("version") != F.col("new_version"))).select("bout_id", F.concat(F.lit("version "), "version", F.lit(" to "), "new_version").alias("kind"), F.lit(True).alias("found"))
+    return with_examples(rows.select("bout_id", _by_kind(kinds, "kind")).select("bout_id", "i.kind", "i.found").unionByName(changed), "kind", "bout_id", k)
+
+
 def decades(starts: DataFrame) -> DataFrame:
     """Per decade of the first year: competitors, and their share."""
     per = starts.groupBy((F.floor(F.col("start_year") / 10) * 10).cast("int").alias("decade")).agg(F.count(F.lit(1)).alias("n"))

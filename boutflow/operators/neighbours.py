@@ -31,8 +31,10 @@ def reverse_neighbours(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("competitor_id")).agg(F.count_distinct("src").alias("n_sources"), F.sum("n_bouts").alias("n_bouts"))
 
 
-def missing(edges: DataFrame, competitors: DataFrame) -> DataFrame:
-    """Ids in lists that have no profile, with referrers and appearances."""
+def missing(edges: DataFrame, competitors: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """Ids in lists (those of ``sources``, competitor_id, or all) that have no profile, with referrers and appearances."""
+    if sources is not None:
+        edges = edges.join(sources.select(F.col("competitor_id").alias("src")), "src", "left_semi")
     known = competitors.select(F.col("competitor_id").alias("dst"))
     return reverse_neighbours(edges.where("dst <> -1").join(known, "dst", "left_anti")).withColumnsRenamed({"competitor_id": "missing_id", "n_sources": "n_referrers", "n_bouts": "appearances"})
 
@@ -72,6 +74,7 @@ def active_members(listings: DataFrame, last_year: int, window: int = 2, least:
     return recent.groupBy("org", "competitor_id").agg(F.count(F.lit(1)).alias("n_bouts")).where(F.col("n_bouts") >= least)
 
 
-def org_frequency(listings: DataFrame) -> DataFrame:
-    """Per organisation: bouts in in-cohort lists, which is how the plan ranks organisations."""
-    return listings.where("in_cohort").groupBy("org").agg(F.count(F.lit(1)).alias("n_bouts"), F.count_distinct("competitor_id").alias("n_competitors"))
+def org_frequency(listings: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Per organisation: bouts in in-cohort lists (or those of ``targets``, competitor_id), which is how the plan ranks organisations."""
+    lists = listings.where("in_cohort") if targets is None else listings.join(targets.select("competitor_id").distinct(), "competitor_id", "left_semi")
+    return lists.groupBy("org").agg(F.count(F.lit(1)).alias("n_bouts"), F.count_distinct("competitor_id").alias("n_competitors"))

@@ -1,6 +1,6 @@
 """Co-appearance networks by year.
 
-Pairs are counted once in each owner's list, so a bout that both list counts twice. A node is a
+Callers pass the lists of the cohort, or of a part of it. Pairs are counted once in each owner's list, so a bout that both list counts twice. A node is a
 co-participant with at least ``threshold`` listed bouts in the year; a link joins two nodes with more than
 one listed bout together. Weights are base-10 logarithms.
 """
@@ -16,14 +16,17 @@ def _pairs(listings: DataFrame) -> DataFrame:
 
 
 def nodes(listings: DataFrame, primary: DataFrame, names: DataFrame, threshold: int = 8) -> DataFrame:
-    """year, competitor_id, name, org, group (a dense number of the year's organisations), weight."""
+    """year, competitor_id, name, org, group (a dense number of the year's organisations), weight.
+
+    ``names``: competitor_id, name, and the year where names go by year.
+    """
     listed = listings.groupBy("year", "competitor_id").agg(F.count(F.lit(1)).alias("n_bouts")).where(F.col("n_bouts") >= threshold)
     seen = _pairs(listings).select("year", F.col("other").alias("competitor_id")).distinct()
     found = listed.join(seen, ["year", "competitor_id"], "left_semi").join(primary.select("competitor_id", "year", F.col("primary_org").alias("org")), ["competitor_id", "year"], "left")
     orgs = found.select("year", "org").distinct()  # a few rows a year
     numbered = orgs.withColumn("group", F.dense_rank().over(Window.partitionBy("year").orderBy("org")) - 1)
     out = found.join(F.broadcast(numbered), (found.year == numbered.year) & found.org.eqNullSafe(numbered.org)).select(found["*"], "group")
-    return out.join(names, "competitor_id", "left").select("year", "competitor_id", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")).alias("name"), "org", "group", F.round(F.log10("n_bouts"), 6).alias("weight"))
+    return out.join(names, [c for c in ("competitor_id", "year") if c in names.columns], "left").select("year", "competitor_id", F.coalesce(F.nullif("name", F.lit("")), F.lit("Unknown")).alias("name"), "org", "group", F.round(F.log10("n_bouts"), 6).alias("weight"))
 
 
 def links(listings: DataFrame, threshold: int = 8) -> DataFrame:

@@ -49,13 +49,16 @@ def former_names(renames: DataFrame) -> DataFrame:
 
 
 def named_for_year(rows: DataFrame, former: DataFrame, org: str = "primary_org") -> DataFrame:
-    """``rows`` (``org``, year) with the organisation under its name of the year."""
+    """``rows`` (``org``, year) with the organisation under its name of the year.
+
+    Renames are a list kept by hand, of tens of rows, so each task gets it: a few organisations have all the rows.
+    """
     then = former.select(F.col("name").alias("__name"), "from_year", "to_year", "name_then")
     during = (F.col(org) == F.col("__name")) & (F.col("from_year").isNull() | (F.col("year") >= F.col("from_year"))) & (F.col("to_year").isNull() | (F.col("year") < F.col("to_year")))
-    return rows.join(then, during, "left").withColumn(org, F.coalesce("name_then", org)).drop("__name", "from_year", "to_year", "name_then")
+    return rows.join(F.broadcast(then), during, "left").withColumn(org, F.coalesce("name_then", org)).drop("__name", "from_year", "to_year", "name_then")
 
 
 def with_short(rows: DataFrame, abbreviations: DataFrame, org: str = "primary_org", short: str = "short_org") -> DataFrame:
-    """``rows`` with the short name of ``org``, or the name where there is none."""
+    """``rows`` with the short name of ``org``, or the name where there is none; short names are kept by hand too."""
     known = abbreviations.select(F.col("name").alias(org), F.col("short").alias("__short"))
-    return rows.join(known, org, "left").withColumn(short, F.coalesce("__short", org)).drop("__short")
+    return rows.join(F.broadcast(known), org, "left").withColumn(short, F.coalesce("__short", org)).drop("__short")

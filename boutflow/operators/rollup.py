@@ -70,11 +70,11 @@ def inactive(competitors: DataFrame, primary: DataFrame, this_year: int, ends: D
     return rows.select("competitor_id", "last_year", (ended | F.col("last_year").isNull() | (F.col("last_year") < this_year - 3)).alias("inactive"))
 
 
-def latest_orgs(competitors: DataFrame, primary: DataFrame, this_year: int) -> DataFrame:
-    """Per competitor: the organisation of the last year; ``Inactive`` without a bout in the last three years."""
-    last = primary.groupBy("competitor_id").agg(F.max("year").alias("last_year"), F.max_by("primary_org", "year").alias("latest_org"))
-    idle = F.col("last_year").isNull() | (F.col("last_year") < this_year - 3)
-    return competitors.select("competitor_id").join(last, "competitor_id", "left").select("competitor_id", "last_year", F.when(idle, "Inactive").otherwise(F.col("latest_org")).alias("latest_org"))
+def latest_orgs(competitors: DataFrame, primary: DataFrame, this_year: int, ends: DataFrame | None = None) -> DataFrame:
+    """Per competitor: the organisation of the last year; ``Inactive`` for those that ``inactive`` says so of."""
+    last = primary.groupBy("competitor_id").agg(F.max_by("primary_org", "year").alias("latest_org"))
+    idle = inactive(competitors, primary, this_year, ends)
+    return idle.join(last, "competitor_id", "left").select("competitor_id", "last_year", F.when(F.col("inactive"), "Inactive").otherwise(F.col("latest_org")).alias("latest_org"))
 
 
 def home_countries(listings: DataFrame) -> DataFrame:
@@ -91,6 +91,20 @@ def nationality(primary: DataFrame, country: DataFrame, home: str, home_orgs: li
     return last.join(country, "competitor_id", "left").select("competitor_id", rule.alias("at_home"))
 
 
+def nationality_by_year(primary: DataFrame, country: DataFrame, home: str, home_orgs: list[str], listed: list[int] = ()) -> DataFrame:
+    """Per (competitor, year): whether at home, by a list, by the modal country of all years, or by the year's organisation."""
+    rule = F.col("competitor_id").isin(*listed) | F.coalesce(F.col("country") == home, F.lit(False)) | F.coalesce(F.col("primary_org").contains(home) | F.col("primary_org").isin(*home_orgs), F.lit(False))
+    return primary.select("competitor_id", "year", "primary_org").join(country.select("competitor_id", "country"), "competitor_id", "left").select("competitor_id", "year", rule.alias("at_home"))
+
+
+def national_cohort(competitors: DataFrame, profiles: DataFrame, listings: DataFrame, year: int, home: str, home_orgs: list[str], listed: list[int] = ()) -> DataFrame:
+    """In-cohort competitors of the national network: by a list, by their own country, by any bout of ``year`` at home, or by the organisation of their profile (competitor_id, org)."""
+    there = listings.where((F.col("year") == year) & (F.col("country") == home)).select("competitor_id").distinct().withColumn("there", F.lit(True))
+    rows = competitors.where("in_cohort").select("competitor_id", "country").join(profiles.select("competitor_id", "org"), "competitor_id", "left").join(there, "competitor_id", "left")
+    rule = F.col("competitor_id").isin(*listed) | F.coalesce(F.col("country") == home, F.lit(False)) | F.coalesce("there", F.lit(False)) | F.coalesce(F.col("org").contains(home) | F.col("org").isin(*home_orgs), F.lit(False))
+    return rows.where(rule).select("competitor_id")
+
+
 def year_totals(listings: DataFrame) -> DataFrame:
     """Per year: competitors, in-cohort ones, bouts of lists, and their average."""
     per = listings.groupBy("competitor_id", "year", "in_cohort").agg(F.count(F.lit(1)).alias("n"))

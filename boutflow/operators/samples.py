@@ -11,6 +11,11 @@ def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return rows.orderBy(F.md5(F.concat_ws("-", F.lit(seed), F.col(key))), key).limit(n)
 
 
+def write_json(rows: DataFrame, folder: str) -> None:
+    """Rows as JSON lines, as a sample to look at."""
+    rows.write.mode("overwrite").json(folder)
+
+
 def most_common(rows: DataFrame, key: Column, n: int, name: str = "key") -> DataFrame:
     """The ``n`` most frequent keys and how often they occur; ties go to the smaller key."""
     return rows.groupBy(key.alias(name)).agg(F.count(F.lit(1)).alias("n")).where(F.col(name).isNotNull()).orderBy(F.desc("n"), name).limit(n)

@@ -43,6 +43,13 @@ sides AS (
   FROM (SELECT competitor_id, year, count(*) AS n_bouts FROM listings GROUP BY ALL) AS b
   JOIN (SELECT * FROM org_counts QUALIFY row_number() OVER (PARTITION BY competitor_id, year ORDER BY n DESC, k) = 1) AS o USING (competitor_id, year)
   JOIN (SELECT * FROM country_counts QUALIFY row_number() OVER (PARTITION BY competitor_id, year ORDER BY n DESC, k) = 1) AS c USING (competitor_id, year)
+), prim_then AS (
+  SELECT *, CASE primary_org WHEN 'BUILDING' THEN 'BLD' WHEN 'OLD BUILDING' THEN 'OLD' WHEN 'MACHINERY' THEN 'MCH' WHEN 'FURNITURE' THEN 'FUR' ELSE primary_org END AS short_org FROM (
+    SELECT * REPLACE (CASE WHEN primary_org = 'BUILDING' AND year < 1997 THEN 'FIRST BUILDING' WHEN primary_org = 'BUILDING' AND year < 1999 THEN 'OLD BUILDING' WHEN primary_org = 'MACHINERY' AND year < 1998 THEN 'ENGINES' ELSE primary_org END AS primary_org) FROM prim)
+), used_then AS (
+  SELECT competitor_id, year, name_used FROM (SELECT competitor_id, year, name_used, count(*) AS n FROM names_used GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY competitor_id, year ORDER BY n DESC, name_used) = 1
+), cohort_edges AS (
+  SELECT e.* FROM edges AS e JOIN competitors AS c ON e.src = c.competitor_id WHERE c.in_cohort
 ), singles AS (
   SELECT DISTINCT bout_date, s0[1] AS a, s1[1] AS b, is_victory FROM bouts
   WHERE len(s0) = 1 AND len(s1) = 1 AND s0[1] <> s1[1]
@@ -105,34 +112,15 @@ sides AS (
   SELECT competitor_id, n_bouts, n_opponents, round(0.6 * least(n_bouts / 100.0, 1.0) + 0.4 * least(n_opponents / 50.0, 1.0), 6) AS importance
   FROM (SELECT competitor_id, count(*) AS n_bouts FROM listings WHERE year IN (2000, 2001) GROUP BY ALL)
   LEFT JOIN (SELECT src AS competitor_id, count(DISTINCT dst) AS n_opponents FROM edges WHERE year IN (2000, 2001) GROUP BY ALL) USING (competitor_id)
-), plan AS (
-  SELECT arg_min(priority, stage * 1000 + priority) AS priority, min(stage) AS stage, operation, object_id, year FROM (
-    SELECT CAST(CASE WHEN n < 5 AND c >= 0.75 THEN greatest(40, base) WHEN n < 5 THEN base
-        WHEN c >= 0.95 THEN CASE WHEN n >= 20 THEN 1 + least(floor((1 - c) * 20), 2) WHEN n >= 10 THEN 5 + least(floor((1 - c) * 30), 3) ELSE 10 + least(floor((1 - c) * 50), 5) END
-        WHEN c >= 0.75 THEN CASE WHEN n >= 20 THEN 10 + floor((0.95 - c) * 10) WHEN n >= 10 THEN 15 + floor((0.95 - c) * 15) ELSE 20 + floor((0.95 - c) * 25) END
-        WHEN c >= 0.5 THEN base WHEN c >= 0.3 THEN greatest(70, least(95, base + 20)) ELSE greatest(80, least(98, base + 40)) END AS INTEGER) AS priority,
-      1 AS stage, 'refresh_profile' AS operation, CAST(missing_id AS VARCHAR) AS object_id, CAST(NULL AS INTEGER) AS year
-    FROM (SELECT missing_id, n_referrers AS n, CAST(confidence AS DOUBLE) AS c,
-            CASE WHEN n_referrers >= 20 THEN 1 WHEN n_referrers >= 10 THEN 10 WHEN n_referrers >= 5 THEN 30 WHEN n_referrers >= 3 THEN 60 + (4 - n_referrers) ELSE 90 + (2 - n_referrers) END AS base
-          FROM missing JOIN guessed ON missing_id = subject_id)
-    UNION ALL
-    SELECT 10, CASE WHEN in_cohort THEN 2 ELSE 3 END, 'refresh_profile', CAST(competitor_id AS VARCHAR), NULL FROM aged
-    WHERE age IS NULL OR age > CASE WHEN in_cohort THEN 90 ELSE 365 END
-    UNION ALL
-    SELECT CASE WHEN n >= 3 THEN best ELSE priority END, 4, CASE WHEN n >= 3 THEN 'refresh_all_bouts' ELSE 'refresh_bouts' END, CAST(competitor_id AS VARCHAR), CASE WHEN n >= 3 THEN NULL ELSE year END
-    FROM (SELECT *, count(*) OVER (PARTITION BY competitor_id) AS n, min(priority) OVER (PARTITION BY competitor_id) AS best FROM (
-      SELECT a.competitor_id, y.year, CAST(CASE WHEN i.competitor_id IS NOT NULL THEN CASE WHEN y.year = 2001 THEN 30 ELSE least(50 + 2002 - y.year, 99) END
-               ELSE CASE WHEN y.year >= 2000 THEN 80 ELSE 80 + least(2002 - y.year, 19) END END AS INTEGER) AS priority
-      FROM (SELECT DISTINCT competitor_id, year FROM listings) AS y JOIN aged AS a USING (competitor_id) LEFT JOIN importances AS i USING (competitor_id)
-      WHERE a.in_cohort AND (a.age IS NULL OR a.age > CASE WHEN y.year = 2001 THEN 90 WHEN i.competitor_id IS NOT NULL THEN 180 ELSE 365 END)
-      UNION ALL
-      SELECT a.competitor_id, 2002, CAST(greatest(1, 10 - floor(5 * i.importance)) AS INTEGER) FROM aged AS a JOIN importances AS i USING (competitor_id) WHERE a.in_cohort))
-    UNION ALL
-    SELECT CAST(greatest(0, least(95, 95 - floor(n_bouts / 100))) AS INTEGER), 5, 'refresh_org', org, NULL FROM freq JOIN organisations USING (org) WHERE last_updated IS NULL OR epoch(TIMESTAMP '2024-06-30 00:00:00') - floor(epoch(last_updated)) > 365 * 86400
-    UNION ALL
-    SELECT CAST(greatest(1, 10 - floor(5 * coalesce(importance, 0))) AS INTEGER), 6, 'refresh_bouts', CAST(competitor_id AS VARCHAR), 2002
-    FROM aged LEFT JOIN importances USING (competitor_id) WHERE diverse
-  ) GROUP BY operation, object_id, year
+), dated AS (
+  SELECT l.competitor_id, l.year, (epoch(TIMESTAMP '2024-06-30 00:00:00') - floor(epoch(CASE WHEN (l.competitor_id + l.year) % 11 <> 0 THEN u.last_updated - (2002 - l.year) * INTERVAL 50 DAY + ((l.competitor_id * 37 + l.year * 61) % 400) * INTERVAL 1 DAY END))) / 86400.0 AS list_age
+  FROM (SELECT DISTINCT competitor_id, year FROM listings) AS l LEFT JOIN updates AS u USING (competitor_id)
+  UNION ALL SELECT competitor_id, 2002, competitor_id * 7 % 40 FROM competitors WHERE competitor_id % 4 = 0
+), people AS (
+  SELECT a.*, i.competitor_id IS NOT NULL AS active, coalesce(i.importance, 0) AS importance FROM aged AS a LEFT JOIN importances AS i USING (competitor_id)
+), cohort_missing AS (
+  SELECT dst AS missing_id, count(DISTINCT src) AS n_referrers FROM edges
+  WHERE dst NOT IN (SELECT competitor_id FROM competitors) AND src IN (SELECT competitor_id FROM competitors WHERE in_cohort) GROUP BY dst
 )
 """
 
@@ -141,6 +129,45 @@ def _sql(body: str) -> str:
     return f"WITH {_BASE} {body}"
 
 
+def _plan(force: bool = False, only_bouts: bool = False, january: bool = False, targets: str = "") -> str:
+    """The refresh plan, written from its rules; ``targets``: a query of the ids (id) that it is restricted to."""
+    wanted = f"competitor_id IN ({targets})" if targets else "in_cohort"
+    current = f"CAST(greatest(1, {90 if january else 10} - floor(5 * importance)) AS INTEGER)"
+    previous = "CAST(greatest(1, 10 - floor(5 * importance)) AS INTEGER)" if january else "30"
+    forced = f"CASE WHEN year = 2002 THEN CASE WHEN active THEN {current} ELSE 999 END WHEN year = 2001 THEN {previous} ELSE least(50 + 2002 - year, 99) END"
+    due = """in_cohort AND (list_age IS NULL OR year = 2002 AND active AND list_age > 14 OR year = 2001 AND list_age > 90 OR year < 2001 AND list_age > CASE WHEN active THEN 180 ELSE 365 END)"""
+    rank = """CASE WHEN active THEN CASE WHEN year = 2002 THEN 10 WHEN year = 2001 THEN 30 ELSE least(50 + 2002 - year, 99) END
+      ELSE CASE WHEN year = 2002 THEN 99 WHEN year >= 2000 THEN 80 ELSE 80 + least(2002 - year, 19) END END"""
+    stale = "true" if force else "(age IS NULL OR age > CASE WHEN in_cohort THEN 90 ELSE 365 END)"
+    no_current = "competitor_id NOT IN (SELECT competitor_id FROM dated WHERE year = 2002)"
+    item = lambda priority, stage, operation, object_id, year, rest: f"SELECT CAST({priority} AS INTEGER) AS priority, {stage} AS stage, '{operation}' AS operation, CAST({object_id} AS VARCHAR) AS object_id, CAST({year} AS INTEGER) AS year {rest}"
+    lists = f"""SELECT *, count(*) OVER (PARTITION BY competitor_id) AS n, min(priority) OVER (PARTITION BY competitor_id) AS best FROM (
+      SELECT competitor_id, year, {forced if force else rank} AS priority FROM dated JOIN people USING (competitor_id) WHERE {wanted} AND {"true" if force else due}
+      UNION ALL SELECT competitor_id, 2002, {current} FROM people WHERE {wanted} AND active AND {no_current})"""
+    parts = [item("best", 4, "refresh_all_bouts", "competitor_id", "NULL", f"FROM ({lists}) WHERE n >= 3"), item("priority", 4, "refresh_bouts", "competitor_id", "year", f"FROM ({lists}) WHERE n < 3")]
+    if not only_bouts:
+        counts = f"(SELECT org, count(*) AS n_bouts FROM listings WHERE {wanted} GROUP BY org)"
+        old = "true" if force else "(last_updated IS NULL OR epoch(TIMESTAMP '2024-06-30 00:00:00') - floor(epoch(last_updated)) > 365 * 86400)"
+        parts.append(item("greatest(0, least(95, 95 - floor(n_bouts / 100)))", 5, "refresh_org", "org", "NULL", f"FROM {counts} JOIN organisations USING (org) WHERE {old}"))
+        if targets:
+            parts.append(item(10, 1, "refresh_profile", "id", "NULL", f"FROM ({targets}) WHERE id NOT IN (SELECT competitor_id FROM competitors)"))
+            parts.append(item(10, 2, "refresh_profile", "competitor_id", "NULL", f"FROM people WHERE {wanted} AND {stale}"))
+        else:
+            sure = """CASE WHEN n < 5 AND c >= 0.75 THEN greatest(40, base) WHEN n < 5 THEN base
+        WHEN c >= 0.95 THEN CASE WHEN n >= 20 THEN 1 + least(floor((1 - c) * 20), 2) WHEN n >= 10 THEN 5 + least(floor((1 - c) * 30), 3) ELSE 10 + least(floor((1 - c) * 50), 5) END
+        WHEN c >= 0.75 THEN CASE WHEN n >= 20 THEN 10 + floor((0.95 - c) * 10) WHEN n >= 10 THEN 15 + floor((0.95 - c) * 15) ELSE 20 + floor((0.95 - c) * 25) END
+        WHEN c >= 0.5 THEN base WHEN c >= 0.3 THEN greatest(70, least(95, base + 20)) ELSE greatest(80, least(98, base + 40)) END"""
+            found = """FROM (SELECT missing_id, n_referrers AS n, CAST(confidence AS DOUBLE) AS c,
+            CASE WHEN n_referrers >= 20 THEN 1 WHEN n_referrers >= 10 THEN 10 WHEN n_referrers >= 5 THEN 30 WHEN n_referrers >= 3 THEN 60 + (4 - n_referrers) ELSE 90 + (2 - n_referrers) END AS base
+          FROM cohort_missing JOIN guessed ON missing_id = subject_id)"""
+            parts.append(item(sure, 1, "refresh_profile", "missing_id", "NULL", found))
+            parts.append(item(10, "CASE WHEN in_cohort THEN 2 ELSE 3 END", "refresh_profile", "competitor_id", "NULL", f"FROM people WHERE {stale}"))
+            again = "true" if force else "(list_age IS NULL OR list_age > 14)"
+            parts.append(item(f"greatest(1, {50 if january else 10} - floor(5 * importance))", 6, "refresh_bouts", "competitor_id", "2002", f"FROM people AS p LEFT JOIN (SELECT competitor_id, list_age FROM dated WHERE year = 2002) AS d USING (competitor_id) WHERE diverse AND {again}"))
+    union = " UNION ALL ".join(parts)
+    return f"(SELECT arg_min(priority, stage * 1000 + priority) AS priority, CAST(min(stage) AS INTEGER) AS stage, operation, object_id, year FROM ({union}) GROUP BY operation, object_id, year)"
+
+
 def _counter(table: str, key: str, by: str = "competitor_id, year") -> str:
     return f"(SELECT {by}, string_agg(CAST(k AS VARCHAR) || '=' || n, ',' ORDER BY k) AS c FROM (SELECT {by}, {key} AS k, count(*) AS n FROM {table} GROUP BY ALL) GROUP BY {by})"
 
@@ -185,9 +212,7 @@ LEFT JOIN {_counter("names_used", "name_used")} AS nm ON b.competitor_id = nm.co
     "missing_ids": _sql("SELECT * FROM missing"),
     "missing_buckets": _sql(_bucketed("missing", "appearances", [1, 5, 10, 20])),
     "outside_buckets": _sql(_bucketed("(SELECT e.dst, count(*) AS n_lists FROM dedges AS e JOIN competitors AS a ON e.src = a.competitor_id JOIN competitors AS b ON e.dst = b.competitor_id WHERE a.in_cohort AND NOT b.in_cohort GROUP BY e.dst)", "n_lists", [1, 5, 10, 20, 50])),
-    "primary_org": _sql("SELECT * FROM prim"),
-    "latest_org": _sql("""SELECT c.competitor_id, p.last_year, CASE WHEN p.last_year IS NULL OR p.last_year < 1999 THEN 'Inactive' ELSE p.latest_org END AS latest_org
-FROM competitors AS c LEFT JOIN (SELECT competitor_id, max(year) AS last_year, arg_max(primary_org, year) AS latest_org FROM prim GROUP BY 1) AS p USING (competitor_id)"""),
+    "primary_org": _sql("SELECT * EXCLUDE (short_org) FROM prim_then"),
     "primary_country": _sql("""SELECT m.competitor_id, m.k AS country, m.n AS country_bouts, t.c AS countries
 FROM (SELECT * FROM (SELECT competitor_id, country AS k, count(*) AS n FROM listings GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY competitor_id ORDER BY n DESC, k) = 1) AS m
 JOIN """ + _counter("listings", "country", "competitor_id") + " AS t USING (competitor_id)"),
@@ -196,17 +221,18 @@ JOIN """ + _counter("listings", "country", "competitor_id") + " AS t USING (comp
     "active_members": _sql("SELECT * FROM active"),
     "org_frequency": _sql("SELECT * FROM freq"),
     "workload_by_org": _sql(f"""SELECT year, org, n AS n_competitors, total, {_quartile(1)} AS q1, {_quartile(2)} AS median, {_quartile(3)} AS q3, most FROM (
-SELECT p.year, p.primary_org AS org, count(*) AS n, sum(n_bouts) AS total, max(n_bouts) AS most, list_sort(list(n_bouts)) AS v
-FROM prim AS p JOIN competitors AS c USING (competitor_id) WHERE c.in_cohort GROUP BY 1, 2) WHERE n >= 5"""),
+SELECT p.year, p.short_org AS org, count(*) AS n, sum(n_bouts) AS total, max(n_bouts) AS most, list_sort(list(n_bouts)) AS v
+FROM prim_then AS p JOIN competitors AS c USING (competitor_id) WHERE c.in_cohort GROUP BY 1, 2) WHERE n >= 5"""),
     "workload_hist": _sql("SELECT year, CAST(least(floor(n / 6) + 1, 20) AS INTEGER) AS bin, count(*) AS n_competitors FROM (SELECT year, competitor_id, count(*) AS n FROM listings WHERE in_cohort GROUP BY ALL) WHERE n BETWEEN 0 AND 120 GROUP BY 1, 2"),
     "workload_percentiles": _sql("SELECT year, round(quantile_cont(n, 0.25), 6) AS p25, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.75), 6) AS p75 FROM (SELECT year, competitor_id, count(*) AS n FROM listings WHERE in_cohort GROUP BY ALL) GROUP BY year"),
     "year_stats": _sql("SELECT year, count(*) AS n_competitors, count(*) FILTER (WHERE in_cohort) AS n_cohort, sum(n) AS n_bouts, coalesce(sum(n) FILTER (WHERE in_cohort), 0) AS cohort_bouts, round(avg(n), 6) AS avg_bouts FROM (SELECT competitor_id, year, in_cohort, count(*) AS n FROM listings GROUP BY ALL) GROUP BY year"),
     "available_years": _sql("SELECT year, lag(year) OVER (ORDER BY year) AS previous_year, lead(year) OVER (ORDER BY year) AS next_year FROM (SELECT DISTINCT year FROM (SELECT year FROM listings GROUP BY competitor_id, year HAVING count(*) > 8))"),
-    "network_nodes": _sql("""SELECT p.year, p.competitor_id, c.name, p.primary_org AS org, CAST(dense_rank() OVER (PARTITION BY p.year ORDER BY p.primary_org) - 1 AS INTEGER) AS "group", round(log10(p.n_bouts), 6) AS weight
-FROM prim AS p JOIN competitors AS c USING (competitor_id) WHERE p.n_bouts >= 8 AND EXISTS (SELECT 1 FROM edges AS e WHERE e.dst = p.competitor_id AND e.year = p.year)"""),
+    "network_nodes": _sql("""SELECT p.year, p.competitor_id, coalesce(u.name_used, c.name) AS name, p.short_org AS org, CAST(dense_rank() OVER (PARTITION BY p.year ORDER BY p.short_org) - 1 AS INTEGER) AS "group", round(log10(p.n_bouts), 6) AS weight
+FROM prim_then AS p JOIN competitors AS c USING (competitor_id) LEFT JOIN used_then AS u ON p.competitor_id = u.competitor_id AND p.year = u.year
+WHERE c.in_cohort AND p.n_bouts >= 8 AND EXISTS (SELECT 1 FROM cohort_edges AS e WHERE e.dst = p.competitor_id AND e.year = p.year)"""),
     "network_links": _sql("""SELECT e.year, least(src, dst) AS source, greatest(src, dst) AS target, sum(e.n_bouts) AS n_listed, round(log10(sum(e.n_bouts)), 6) AS weight
-FROM edges AS e JOIN prim AS a ON e.src = a.competitor_id AND e.year = a.year JOIN prim AS b ON e.dst = b.competitor_id AND e.year = b.year
-WHERE a.n_bouts >= 8 AND b.n_bouts >= 8 GROUP BY 1, 2, 3 HAVING sum(e.n_bouts) > 1"""),
+FROM cohort_edges AS e JOIN prim AS a ON e.src = a.competitor_id AND e.year = a.year JOIN prim AS b ON e.dst = b.competitor_id AND e.year = b.year
+JOIN competitors AS d ON e.dst = d.competitor_id WHERE d.in_cohort AND a.n_bouts >= 8 AND b.n_bouts >= 8 GROUP BY 1, 2, 3 HAVING sum(e.n_bouts) > 1"""),
     "glicko_period_terms": _sql(f"""SELECT period, id AS competitor_id, round(1 / (count(*) * {_G} * {_G} * 0.25), 6) AS v, round(sum({_G} * (score - 0.5)) / (count(*) * {_G} * {_G} * 0.25), 6) AS delta
 FROM (SELECT strftime(bout_date, '%Y-%m') AS period, a AS id, CASE WHEN is_victory THEN 1.0 ELSE 0.5 END AS score FROM singles
       UNION ALL SELECT strftime(bout_date, '%Y-%m'), b, CASE WHEN is_victory THEN 0.0 ELSE 0.5 END FROM singles) GROUP BY 1, 2"""),
@@ -247,16 +273,15 @@ LEFT JOIN (SELECT p.* FROM pairs AS p JOIN active AS x ON p.org = x.org AND p.pa
     "profile_totals": _sql("SELECT c.country, count(*) AS n, count(*) FILTER (WHERE c.in_cohort) AS n_cohort, count(l.competitor_id) AS n_listed, count(*) FILTER (WHERE name <> '') AS n_named, round((count(*) FILTER (WHERE c.in_cohort)) / count(*), 6) AS cohort_share FROM competitors AS c LEFT JOIN (SELECT DISTINCT competitor_id FROM listings) AS l USING (competitor_id) GROUP BY 1"),
     "coverage": _sql("SELECT year, count(DISTINCT competitor_id) AS n_with_data, (SELECT count(*) FROM competitors WHERE in_cohort) AS n_cohort, round(count(DISTINCT competitor_id) / (SELECT count(*) FROM competitors WHERE in_cohort), 6) AS share FROM listings WHERE in_cohort GROUP BY year"),
     "freshness": _sql("SELECT in_cohort, count(*) AS n, count(age) AS n_updated, round(avg(age), 5) AS mean_age, round(list_sort(list(age) FILTER (WHERE age IS NOT NULL))[count(age) // 2 + 1], 5) AS upper_median_age, round(min(age), 5) AS newest_age, round(max(age), 5) AS oldest_age FROM aged GROUP BY in_cohort"),
-    "stub_audit": _sql("""SELECT competitor_id, in_cohort, count(*) FILTER (WHERE n IS NULL) AS n_stubs, count(n) AS n_populated, min(year) FILTER (WHERE n > 0) AS first_year, max(year) FILTER (WHERE n > 0) AS last_year FROM (
-SELECT c.competitor_id, c.in_cohort, CAST(y.year AS INTEGER) AS year, l.n FROM competitors AS c CROSS JOIN (SELECT unnest(range(1990, 2003)) AS year) AS y
-LEFT JOIN (SELECT competitor_id, year, count(*) AS n FROM listings GROUP BY ALL) AS l ON c.competitor_id = l.competitor_id AND y.year = l.year) GROUP BY 1, 2 HAVING n_stubs >= 3 OR n_populated = 1"""),
     "stub_seed": _sql("""SELECT c.competitor_id, CAST(y.year AS INTEGER) AS year, CAST(0 AS BIGINT) AS n_bouts, TIMESTAMP '2022-07-01 00:00:00' AS last_updated FROM competitors AS c CROSS JOIN (SELECT unnest(range(1993, 2003)) AS year) AS y
 WHERE NOT EXISTS (SELECT 1 FROM listings AS l WHERE l.competitor_id = c.competitor_id AND l.year = y.year)"""),
     "name_search": _sql("SELECT competitor_id, name, in_cohort FROM competitors WHERE contains(lower(name), 'r#0000000') ORDER BY CASE WHEN lower(name) = 'r#0000000' THEN 0 ELSE 1 END, name, competitor_id LIMIT 50"),
     "importance": _sql("SELECT competitor_id, n_bouts, coalesce(n_opponents, 0) AS n_opponents, importance FROM importances"),
-    "refresh_plan": _sql("SELECT * FROM plan"),
-    "plan_stats": _sql("""SELECT CAST(grouping(operation, decade, year) AS BIGINT) AS level, operation, decade, year, count(*) AS n_items, count(DISTINCT object_id) AS n_objects
-FROM (SELECT operation, CAST(floor(priority / 10) * 10 AS INTEGER) AS decade, year, object_id FROM plan) GROUP BY GROUPING SETS ((operation), (decade), (year), ())"""),
+    "refresh_plan": _sql(f"SELECT * FROM {_plan()}"),
+    "session_items": _sql(f"SELECT * FROM {_plan()} ORDER BY priority, stage, object_id, year NULLS FIRST, operation LIMIT 40"),
+    "plan_modes": _sql(f"SELECT *, 'force' AS mode FROM {_plan(force=True)} UNION ALL SELECT *, 'only_bouts' FROM {_plan(only_bouts=True)} UNION ALL SELECT *, 'transition' FROM {_plan(january=True)}"),
+    "plan_stats": _sql(f"""SELECT CAST(grouping(operation, decade, year) AS BIGINT) AS level, operation, decade, year, count(*) AS n_items, count(DISTINCT object_id) AS n_objects
+FROM (SELECT operation, CAST(floor(priority / 10) * 10 AS INTEGER) AS decade, year, object_id FROM {_plan()}) GROUP BY GROUPING SETS ((operation), (decade), (year), ())"""),
     "anniversaries": _sql("""SELECT competitor_id, debut, CAST(2024 - year(debut) AS INTEGER) AS years, a AS anniversary FROM (
 SELECT competitor_id, min(bout_date) AS debut, make_date(2024, month(min(bout_date)), CASE WHEN month(min(bout_date)) = 2 AND day(min(bout_date)) = 29 THEN 28 ELSE day(min(bout_date)) END) AS a
 FROM listings WHERE in_cohort GROUP BY 1) WHERE abs(date_diff('day', DATE '2024-02-20', a)) <= 60"""),
@@ -294,4 +319,4 @@ for _name, _columns in _TYPES.items():
     SQL[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {t}) AS {c}' for c, t in _columns.items())}) FROM ({SQL[_name]})"
 
 
-from boutflow import oracle_store  # noqa: E402, F401  adds more
+from boutflow import oracle_kept, oracle_store  # noqa: E402, F401  add more

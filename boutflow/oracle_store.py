@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boutflow.oracle import SQL, _BASE
+from boutflow.oracle import SQL, _BASE, _plan
 
 _MORE = (
     _BASE
@@ -28,6 +28,19 @@ _MORE = (
   SELECT * FROM listings WHERE (competitor_id, year) NOT IN (SELECT (competitor_id, year) FROM fresh) UNION ALL SELECT * FROM fresh
 ), fresh_edges AS (
   SELECT competitor_id AS src, t.id AS dst, year, count(*) AS n_bouts FROM fresh AS l JOIN taking AS t ON l.bout_id = t.bout_id WHERE t.id <> competitor_id GROUP BY ALL
+), patched AS (
+  SELECT d.competitor_id, d.year, d.list_age, l.n_bouts FROM dated AS d JOIN lists AS l USING (competitor_id, year) WHERE d.year < 2002 AND (d.competitor_id % 9 <> 0 OR d.year = 1995)
+), patchy AS (
+  SELECT * FROM patched UNION ALL
+  SELECT competitor_id, CAST(y.year AS INTEGER), CASE WHEN (competitor_id + y.year) % 13 <> 0 THEN (competitor_id * 31 + y.year * 17) % 800 END, 0
+  FROM competitors AS c CROSS JOIN (SELECT unnest(range(1990, 2003)) AS year) AS y WHERE (competitor_id + y.year) % 3 = 0 AND NOT EXISTS (SELECT 1 FROM patched AS p WHERE p.competitor_id = c.competitor_id AND p.year = y.year)
+), stubs AS (
+  SELECT p.competitor_id, count(*) FILTER (WHERE stub) AS n_stubs, count(*) FILTER (WHERE n_bouts > 0) AS n_populated, min(p.year) FILTER (WHERE n_bouts > 0) AS first_year, max(p.year) FILTER (WHERE n_bouts > 0) AS last_year,
+         CAST(sum(n_bouts) AS BIGINT) AS n_bouts, coalesce(string_agg(CAST(p.year AS VARCHAR), ',' ORDER BY p.year) FILTER (WHERE stub), '') AS stub_years, any_value(2002 - f.career_start) AS career_length
+  FROM (SELECT *, n_bouts = 0 AND (list_age IS NULL OR list_age > 365) AS stub FROM patchy) AS p JOIN competitors AS c USING (competitor_id) JOIN facts AS f USING (competitor_id) WHERE c.in_cohort GROUP BY 1
+), home_cohort AS (
+  SELECT competitor_id FROM competitors AS c JOIN facts AS f USING (competitor_id)
+  WHERE c.in_cohort AND (competitor_id IN (1, 2, 3) OR c.country = 'NATION_0' OR contains(f.org, 'NATION_0') OR f.org = 'BLD' OR competitor_id IN (SELECT competitor_id FROM listings WHERE year = 2001 AND country = 'NATION_0'))
 ), split AS (
   SELECT competitor_id, year, count(*) AS n_bouts FROM listings WHERE competitor_id % 2 = 0 AND bout_id % 10 <> 7 GROUP BY ALL
 ), late AS (
@@ -89,9 +102,16 @@ UNION ALL SELECT 'left', count(*), count(DISTINCT competitor_id) FROM late WHERE
     "empty_before": _sql("SELECT year, count(*) AS n_lists, count(*) FILTER (WHERE n_bouts = 0) AS n_empty FROM stubbed WHERE NOT (n_bouts = 0 AND year < 1995) GROUP BY 1"),
     "list_freshness": _sql(f"SELECT year, count(*) AS n_lists, round(avg({_AGE}), 5) AS mean_age, round(min({_AGE}), 5) AS newest_age, round(max({_AGE}), 5) AS oldest_age FROM lists WHERE last_updated IS NOT NULL GROUP BY 1"),
     "list_updates": _sql("""SELECT c.competitor_id, CAST(y.year AS INTEGER) AS year, coalesce(CAST(floor(epoch(l.last_updated)) AS BIGINT), 0) AS updated FROM competitors AS c CROSS JOIN (SELECT unnest([2000, 2001, 2002]) AS year) AS y LEFT JOIN lists AS l ON l.competitor_id = c.competitor_id AND l.year = y.year"""),
-    "aged_stubs": _sql("""SELECT competitor_id, in_cohort, count(*) FILTER (WHERE n IS NULL AND (2002 - year) * 60 > 365) AS n_stubs, count(n) AS n_populated, min(year) FILTER (WHERE n > 0) AS first_year, max(year) FILTER (WHERE n > 0) AS last_year FROM (
-SELECT c.competitor_id, c.in_cohort, CAST(y.year AS INTEGER) AS year, l.n_bouts AS n FROM competitors AS c CROSS JOIN (SELECT unnest(range(1990, 2003)) AS year) AS y
-LEFT JOIN lists AS l ON c.competitor_id = l.competitor_id AND y.year = l.year) GROUP BY 1, 2 HAVING n_stubs >= 3 OR n_populated = 1"""),
+    "aged_stubs": _sql("SELECT competitor_id, stub_years, n_bouts FROM stubs WHERE n_stubs >= 3"),
+    "stub_audit": _sql("SELECT * EXCLUDE (stub_years), n_populated = 1 AND coalesce(career_length >= 3, false) AS single, n_stubs >= 3 AS several FROM stubs WHERE n_stubs >= 3 OR n_populated = 1 AND career_length >= 3"),
+    "empty_records": _sql("SELECT competitor_id, string_agg(CAST(year AS VARCHAR), ',' ORDER BY year) AS years FROM patchy WHERE year < 2002 AND n_bouts = 0 GROUP BY 1"),
+    "earlier_stubs": _sql("""SELECT competitor_id FROM (SELECT competitor_id, year, CASE WHEN competitor_id % 2 <> 0 AND year = 2001 THEN 0 ELSE n_bouts END AS n FROM patchy)
+GROUP BY 1 HAVING count(*) FILTER (WHERE n = 0 AND year = 2001) > 0 AND count(*) FILTER (WHERE n = 0 AND year < 2001) > 0"""),
+    "nationality_by_year": _sql("""SELECT p.competitor_id, p.year, p.competitor_id IN (1, 2, 3) OR m.k = 'NATION_0' OR contains(p.primary_org, 'NATION_0') OR p.primary_org = 'BUILDING' AS at_home FROM prim_then AS p
+JOIN (SELECT * FROM (SELECT competitor_id, country AS k, count(*) AS n FROM listings GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY competitor_id ORDER BY n DESC, k) = 1) AS m USING (competitor_id)"""),
+    "latest_org": _sql("""SELECT i.competitor_id, i.last_year, CASE WHEN i.inactive THEN 'Inactive' ELSE p.latest_org END AS latest_org
+FROM inact AS i LEFT JOIN (SELECT competitor_id, arg_max(primary_org, year) AS latest_org FROM prim_then GROUP BY 1) AS p USING (competitor_id)"""),
+    "sampled_json": _sql(f"SELECT bout_id, bout_date, org, is_victory, {_JOIN.format('s0')} AS won, {_JOIN.format('s1')} AS lost FROM bouts ORDER BY md5('7-' || bout_id), bout_id LIMIT 200"),
     "recent_gaps": _sql("""SELECT count(*) AS n_cohort, count(*) FILTER (WHERE y1 OR y2) AS n_active, count(*) FILTER (WHERE (y1 OR y2) AND NOT y0) AS active_without_this_year, count(*) FILTER (WHERE NOT y1) AS without_last_year FROM (
 SELECT c.competitor_id, coalesce(bool_or(year = 2002), false) AS y0, coalesce(bool_or(year = 2001), false) AS y1, coalesce(bool_or(year = 2000), false) AS y2 FROM competitors AS c LEFT JOIN lists AS l USING (competitor_id) WHERE c.in_cohort GROUP BY 1)"""),
     "most_active": _sql("SELECT competitor_id, c.name, n_bouts FROM (SELECT competitor_id, count(*) AS n_bouts FROM listings WHERE in_cohort AND year IN (2000, 2001) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) JOIN competitors AS c USING (competitor_id)"),
@@ -109,10 +129,10 @@ LEFT JOIN active AS a ON x.org = a.org AND x.id = a.competitor_id GROUP BY bout_
     "workload_report": SQL["workload_by_org"],
     "graph_report": f"SELECT CAST(year AS INTEGER) AS year, count(*) AS n, round(sum(weight), 3) AS weight, 'nodes' AS kind FROM ({SQL['network_nodes']}) GROUP BY 1 UNION ALL SELECT CAST(year AS INTEGER), count(*), round(sum(weight), 3), 'links' FROM ({SQL['network_links']}) GROUP BY 1",
     "national_links": _sql("""SELECT e.year, least(src, dst) AS source, greatest(src, dst) AS target, CAST(sum(e.n_bouts) AS BIGINT) AS n_listed, round(log10(sum(e.n_bouts)), 6) AS weight FROM edges AS e
-JOIN natl AS h ON e.src = h.competitor_id AND h.at_home JOIN prim AS a ON e.src = a.competitor_id AND e.year = a.year JOIN prim AS b ON e.dst = b.competitor_id AND e.year = b.year JOIN natl AS g ON e.dst = g.competitor_id AND g.at_home
+JOIN home_cohort AS h ON e.src = h.competitor_id JOIN prim AS a ON e.src = a.competitor_id AND e.year = a.year JOIN prim AS b ON e.dst = b.competitor_id AND e.year = b.year JOIN home_cohort AS g ON e.dst = g.competitor_id
 WHERE a.n_bouts >= 2 AND b.n_bouts >= 2 GROUP BY 1, 2, 3 HAVING sum(e.n_bouts) > 1"""),
     "prediction_cache": _sql(f"SELECT subject_id, confidence, {_AS_OF} - (subject_id // 10 % 5) * INTERVAL 1 HOUR AS made_at FROM guessed WHERE subject_id // 10 % 2 = 1 AND subject_id // 10 % 5 <= 2"),
-    "restricted_plan": _sql("SELECT CASE WHEN stage = 1 THEN 10 ELSE priority END AS priority, stage, operation, object_id, year FROM plan WHERE operation <> 'refresh_org' AND stage NOT IN (3, 6) AND object_id IN (SELECT CAST(competitor_id AS VARCHAR) FROM competitors WHERE competitor_id % 4 = 1)"),
+    "restricted_plan": _sql(f"SELECT * FROM {_plan(targets='SELECT DISTINCT id FROM taking WHERE id % 4 = 1 OR id % 20 = 0')}"),
     "date_texts": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN d WHEN 1 THEN CAST(date_trunc('month', d) AS DATE) WHEN 2 THEN CAST(date_trunc('year', d) AS DATE) END AS read, d AS first, CASE WHEN o_orderkey % 5 <> 4 THEN CAST(year(d) AS INTEGER) END AS year,
 strftime(d, '%G-W%V') AS week, make_date(2023, month(d), CASE WHEN month(d) = 2 AND day(d) = 29 THEN 28 ELSE day(d) END) AS anniversary FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
     "venues": "SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN 'Unknown' WHEN n_name = 'NATION_1' THEN 'First' ELSE n_name END AS country, c_custkey % 3 = 0 AS stand_in, n_name AS label FROM customer JOIN nation ON c_nationkey = n_nationkey",

@@ -13,39 +13,18 @@ so that a lost executor costs no more than the period, and the next plan starts
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boutflow.functions import glicko
 from boutflow.functions.dates import iso_week_key, month_key
 from boutflow.functions.text import record_text
+from boutflow.sources.steps import Steps
 
 KEY = ["year", "competitor_id"]
 STATE = "year int, competitor_id long, mu double, phi double, sigma double, wins long, losses long, draws long"
 
 
-class Steps:
-    """Writes frames to a folder of their own under ``spark.checkpoint.dir`` and reads them back."""
-
-    def __init__(self, spark: SparkSession):
-        context = spark.sparkContext
-        folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not re.fullmatch(r"local(\[.*\])?", context.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-            folder = tempfile.mkdtemp(prefix="spark-")  # one machine: tests
-        self.spark, self.folder, self.n = spark, f"{folder}/steps-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        df.write.parquet(f"{self.folder}/{self.n}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
-
-
 def results(singles: DataFrame, by_week: bool = False) -> DataFrame:
     """year, period, competitor_id, opponent_id, score: each bout from both sides; draws score a half.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boutflow.functions import dates, glicko, text
 from boutflow.operators import audit, classify, dossier, neighbours, network, organisations, rollup, teams, workload
 from boutflow.plans import ranking, refresh
-from boutflow.sources import pages, store
+from boutflow.sources import pages, profiles, store
 from boutflow.sources.tables import COHORT_ORGS, HOME, RAISED, RENAMES, SHORT, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,10 +32,49 @@ def _edges(t: Tables) -> DataFrame:
     return neighbours.edge_weights(t.listings)
 
 
-def _primary(t: Tables) -> DataFrame:
+def _now_primary(t: Tables) -> DataFrame:
+    """Primary organisations under their names of today."""
     return rollup.primary_orgs(t.listings, SHARE)
 
 
+def _former(t: Tables) -> DataFrame:
+    return organisations.former_names(t.spark.createDataFrame(RENAMES, "name string, change_year int, old_name string"))
+
+
+def _abbreviations(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(SHORT, "name string, short string")
+
+
+def _primary(t: Tables) -> DataFrame:
+    """Primary organisations under their names of the year."""
+    return organisations.named_for_year(_now_primary(t), _former(t))
+
+
+def _short_primary(t: Tables) -> DataFrame:
+    """The same, by short names."""
+    return organisations.with_short(_primary(t), _abbreviations(t), short="short_org").withColumn("primary_org", F.col("short_org")).drop("short_org")
+
+
+def _names_by_year(t: Tables) -> DataFrame:
+    """competitor_id, year, name: the name most used in the year, or the profile's."""
+    used = rollup.modal(rollup.counted(t.names_used, "name_used"), rollup.KEY, "used").select(*rollup.KEY, "used")
+    years = t.listings.select(*rollup.KEY).distinct()
+    rows = years.join(used, rollup.KEY, "left").join(t.competitors.select("competitor_id", "name"), "competitor_id", "left")
+    return rows.select(*rollup.KEY, F.coalesce("used", "name").alias("name"))
+
+
+def _facts(t: Tables) -> DataFrame:
+    return profiles.facts(profiles.decoded(t.profiles), _abbreviations(t))
+
+
+def _ends(t: Tables) -> DataFrame:
+    return _facts(t).where("career_end is not null")
+
+
+def _cohort(t: Tables) -> DataFrame:
+    return t.listings.where("in_cohort")
+
+
 def _scored(t: Tables) -> DataFrame:
     return classify.with_probability(t.bouts, COHORT_ORGS, HOME, RAISED)
 
@@ -91,7 +130,7 @@ def primary_org(t: Tables) -> DataFrame:
 
 @query
 def latest_org(t: Tables) -> DataFrame:
-    return rollup.latest_orgs(t.competitors, _primary(t), THIS_YEAR)
+    return rollup.latest_orgs(t.competitors, _primary(t), THIS_YEAR, _ends(t))
 
 
 @query
@@ -121,7 +160,7 @@ def org_frequency(t: Tables) -> DataFrame:
 
 @query
 def workload_by_org(t: Tables) -> DataFrame:
-    return workload.by_org(t.listings, _primary(t))
+    return workload.by_org(t.listings, _short_primary(t))
 
 
 @query
@@ -146,12 +185,12 @@ def available_years(t: Tables) -> DataFrame:
 
 @query
 def network_nodes(t: Tables) -> DataFrame:
-    return network.nodes(t.listings, _primary(t), t.competitors.select("competitor_id", "name"))
+    return network.nodes(_cohort(t), _short_primary(t), _names_by_year(t))
 
 
 @query
 def network_links(t: Tables) -> DataFrame:
-    return network.links(t.listings)
+    return network.links(_cohort(t))
 
 
 @query
@@ -168,13 +207,11 @@ def glicko_period_terms(t: Tables) -> DataFrame:
 def ranking_table(t: Tables) -> DataFrame:
     """The ranking of each year under the names most used in it, with short organisations; three bouts rank here."""
     spark = t.spark
-    former = organisations.former_names(spark.createDataFrame(RENAMES, "name string, change_year int, old_name string"))
-    short = organisations.with_short(organisations.named_for_year(_primary(t), former), spark.createDataFrame(SHORT, "name string, short string"))
     used = rollup.modal(rollup.counted(t.names_used, "name_used"), rollup.KEY, "used").select(*rollup.KEY, "used")
     years = [r.year for r in rollup.available_years(t.listings).select("year").collect()]
     state = ranking.by_year(spark, _singles(t), years, 3)
     names = state.select(*rollup.KEY).join(used, rollup.KEY, "left").join(t.competitors.select("competitor_id", "name"), "competitor_id", "left")
-    return ranking.table(state, names.select(*rollup.KEY, F.coalesce("used", "name").alias("name")), short.select(*rollup.KEY, F.col("short_org").alias("org")), 3)
+    return ranking.table(state, names.select(*rollup.KEY, F.coalesce("used", "name").alias("name")), _short_primary(t).select(*rollup.KEY, F.col("primary_org").alias("org")), 3)
 
 
 @query
@@ -284,7 +321,8 @@ def freshness(t: Tables) -> DataFrame:
 
 @query
 def stub_audit(t: Tables) -> DataFrame:
-    return audit.stub_audit(audit.stubs(t.listings, t.competitors, 1990, THIS_YEAR), t.competitors)
+    """In-cohort competitors whose history isn't whole: many stubs, or a single year in a long career."""
+    return audit.stub_audit(t.patchy_lists, t.competitors, _facts(t), THIS_YEAR, AS_OF).drop("stub_years")
 
 
 @query
@@ -304,10 +342,11 @@ def importance(t: Tables) -> DataFrame:
     return refresh.importances(t.listings, THIS_YEAR)
 
 
-def _plan(t: Tables) -> DataFrame:
-    edges = _edges(t)
+def _plan(t: Tables, **modes: bool) -> DataFrame:
+    cohort = t.competitors.where("in_cohort")
+    lost = neighbours.missing(neighbours.edge_weights(_cohort(t)), t.competitors, cohort)
     guess = classify.confidence(classify.appearances(_scored(t), t.listings, t.competitors)).select("subject_id", "confidence")
-    return refresh.build(t.competitors, t.listings, t.updates, neighbours.missing(edges, t.competitors), guess, neighbours.org_frequency(t.listings), THIS_YEAR, AS_OF, organisations=t.organisations)
+    return refresh.build(t.competitors, t.listings, t.dated_lists, t.updates, lost, guess, neighbours.org_frequency(t.listings), THIS_YEAR, AS_OF, organisations=t.organisations, **modes)
 
 
 @query
@@ -315,6 +354,20 @@ def refresh_plan(t: Tables) -> DataFrame:
     return _plan(t)
 
 
+@query
+def plan_modes(t: Tables) -> DataFrame:
+    """The plan by force, of lists only, and in early January."""
+    modes = ("force", "only_bouts", "transition")
+    plans = [_plan(t, **{m: True}).withColumn("mode", F.lit(m)) for m in modes]
+    return plans[0].unionByName(plans[1]).unionByName(plans[2])
+
+
+@query
+def session_items(t: Tables) -> DataFrame:
+    """The first forty items of the plan, in the order of work."""
+    return refresh.in_order(_plan(t), 40)
+
+
 @query
 def plan_stats(t: Tables) -> DataFrame:
     return refresh.stats(_plan(t))
@@ -361,4 +414,4 @@ def page_urls(t: Tables) -> DataFrame:
     return pages.url_parts(t.read("pages"))
 
 
-from boutflow import queries_store  # noqa: E402, F401  registers more
+from boutflow import queries_kept, queries_store  # noqa: E402, F401  register more

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from boutflow.functions import dates, scoring, text
 from boutflow.operators import audit, classify, neighbours, network, organisations, rollup, samples, teams, workload
 from boutflow.plans import ranking, refresh
-from boutflow.queries import AS_OF, SHARE, THIS_YEAR, _edges, _plan, _primary, query
+from boutflow.queries import AS_OF, SHARE, THIS_YEAR, _abbreviations, _cohort, _edges, _ends, _facts, _names_by_year, _now_primary, _primary, _short_primary, query
 from boutflow.sources import pages, profiles, store
-from boutflow.sources.tables import KNOWN_MISSING, RENAMES, SHORT, HOME, Tables
+from boutflow.sources.tables import HOME, KNOWN_MISSING, Tables
 
 LAST_YEARS = [THIS_YEAR - 1, THIS_YEAR - 2]
 
@@ -19,18 +19,6 @@ def _text(ids):
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), ",")
 
 
-def _abbreviations(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(SHORT, "name string, short string")
-
-
-def _former(t: Tables) -> DataFrame:
-    return organisations.former_names(t.spark.createDataFrame(RENAMES, "name string, change_year int, old_name string"))
-
-
-def _facts(t: Tables) -> DataFrame:
-    return profiles.facts(profiles.decoded(t.profiles), _abbreviations(t))
-
-
 # Organisations
 
 
@@ -44,7 +32,7 @@ def org_lookup(t: Tables) -> DataFrame:
 @query
 def named_orgs(t: Tables) -> DataFrame:
     """Primary organisations under their names of the year, with short names."""
-    return organisations.with_short(organisations.named_for_year(_primary(t), _former(t)), _abbreviations(t))
+    return organisations.with_short(_primary(t), _abbreviations(t))
 
 
 @query
@@ -90,12 +78,12 @@ def upserted_profiles(t: Tables) -> DataFrame:
 
 @query
 def inactive(t: Tables) -> DataFrame:
-    return rollup.inactive(t.competitors, _primary(t), THIS_YEAR, _facts(t).where("career_end is not null"))
+    return rollup.inactive(t.competitors, _now_primary(t), THIS_YEAR, _ends(t))
 
 
 @query
 def nationality(t: Tables) -> DataFrame:
-    return rollup.nationality(_primary(t), rollup.home_countries(t.listings), HOME, ["BUILDING"], [1, 2, 3])
+    return rollup.nationality(_now_primary(t), rollup.home_countries(t.listings), HOME, ["BUILDING"], [1, 2, 3])
 
 
 @query
@@ -111,11 +99,11 @@ def debut_anniversaries(t: Tables) -> DataFrame:
 
 
 def inactive_ids(t: Tables) -> DataFrame:
-    return rollup.inactive(t.competitors, _primary(t), THIS_YEAR, _facts(t).where("career_end is not null")).where("inactive").select("competitor_id")
+    return rollup.inactive(t.competitors, _now_primary(t), THIS_YEAR, _ends(t)).where("inactive").select("competitor_id")
 
 
 def nationality_ids(t: Tables) -> DataFrame:
-    return rollup.nationality(_primary(t), rollup.home_countries(t.listings), HOME, ["BUILDING"], [1, 2, 3]).where("at_home").select("competitor_id")
+    return rollup.nationality(_now_primary(t), rollup.home_countries(t.listings), HOME, ["BUILDING"], [1, 2, 3]).where("at_home").select("competitor_id")
 
 
 @query
@@ -216,9 +204,20 @@ def list_updates(t: Tables) -> DataFrame:
 
 @query
 def aged_stubs(t: Tables) -> DataFrame:
-    """The audit of stubs, for which a year counts that is empty and was read over a year ago."""
-    years = audit.stubs(t.listings, t.competitors, 1990, THIS_YEAR).withColumn("age", (F.lit(THIS_YEAR) - F.col("year")) * 60.0)
-    return audit.stub_audit(years, t.competitors)
+    """The years to be read again of in-cohort competitors with many stubs: empty lists, never read or over a year ago."""
+    found = audit.stub_audit(t.patchy_lists, t.competitors, _facts(t), THIS_YEAR, AS_OF)
+    return found.where("several").select("competitor_id", "stub_years", "n_bouts")
+
+
+@query
+def empty_records(t: Tables) -> DataFrame:
+    return audit.empty_records(t.patchy_lists, THIS_YEAR)
+
+
+@query
+def earlier_stubs(t: Tables) -> DataFrame:
+    """Competitors with an empty list of 2001 and an empty one of before."""
+    return audit.earlier_stubs(t.patchy_lists.withColumn("n_bouts", F.when(F.col("competitor_id") % 2 == 0, F.col("n_bouts")).otherwise(F.when(F.col("year") == 2001, 0).otherwise(F.col("n_bouts")))), THIS_YEAR - 1)
 
 
 @query
@@ -282,11 +281,21 @@ def sampled_bouts(t: Tables) -> DataFrame:
     return samples.sample(t.bouts.where("size(participants) > 0"), "bout_id", 100).select("bout_id", "bout_date", _text("participants").alias("participants"))
 
 
+@query
+def sampled_json(t: Tables) -> DataFrame:
+    """Sampled bouts written as JSON, sides and all, and read again."""
+    folder = f"{ranking.Steps(t.spark).folder}/sample"
+    rows = samples.sample(t.bouts.where("size(participants) > 0"), "bout_id", 200, 7)
+    samples.write_json(rows, folder)
+    back = t.spark.read.schema(rows.schema).json(folder)
+    return back.select("bout_id", "bout_date", "org", "is_victory", _text(F.get("sides", 0)).alias("won"), _text(F.get("sides", 1)).alias("lost"))
+
+
 @query
 def workload_report(t: Tables) -> DataFrame:
     """The workload of each year, written as a report by year and read again."""
     folder = f"{ranking.Steps(t.spark).folder}/workload"
-    report = workload.by_org(t.listings, _primary(t))
+    report = workload.by_org(t.listings, _short_primary(t))
     ranking.write_report(report, folder)
     return t.spark.read.schema(report.schema).json(folder).orderBy("year", F.desc("median"))
 
@@ -295,15 +304,21 @@ def workload_report(t: Tables) -> DataFrame:
 def graph_report(t: Tables) -> DataFrame:
     """Nodes and links written as JSON by year, and how many are read again."""
     folder = f"{ranking.Steps(t.spark).folder}/graph"
-    network.write_graph(network.nodes(t.listings, _primary(t), t.competitors.select("competitor_id", "name")), network.links(t.listings), folder)
+    network.write_graph(network.nodes(_cohort(t), _short_primary(t), _names_by_year(t)), network.links(_cohort(t)), folder)
     count = lambda kind: t.spark.read.json(f"{folder}/{kind}").groupBy(F.col("year").cast("int").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 3).alias("weight")).withColumn("kind", F.lit(kind))
     return count("nodes").unionByName(count("links"))
 
 
 @query
 def national_links(t: Tables) -> DataFrame:
-    """The network of the competitors at home, at the lower threshold."""
-    return network.links(t.listings.join(nationality_ids(t), "competitor_id", "left_semi"), 2)
+    """The network of the cohort at home, at the lower threshold."""
+    home = rollup.national_cohort(t.competitors, _facts(t), t.listings, THIS_YEAR - 1, HOME, ["BLD"], [1, 2, 3])
+    return network.links(_cohort(t).join(home, "competitor_id", "left_semi"), 2)
+
+
+@query
+def nationality_by_year(t: Tables) -> DataFrame:
+    return rollup.nationality_by_year(_primary(t), rollup.home_countries(t.listings), HOME, ["BUILDING"], [1, 2, 3])
 
 
 @query
@@ -317,7 +332,9 @@ def prediction_cache(t: Tables) -> DataFrame:
 
 @query
 def restricted_plan(t: Tables) -> DataFrame:
-    return refresh.restricted(_plan(t), t.competitors.where("competitor_id % 4 = 1").select("competitor_id"))
+    """The plan for a quarter of all listed competitors, and some without a profile."""
+    listed = t.bouts.select(F.explode("participants").alias("competitor_id")).distinct()
+    return refresh.restricted(t.competitors, t.listings, t.dated_lists, t.updates, listed.where("competitor_id % 4 = 1 or competitor_id % 20 = 0"), THIS_YEAR, AS_OF, organisations=t.organisations)
 
 
 @query

@@ -138,12 +138,40 @@ def fold_sides(found: Column) -> Column:
     return F.aggregate(found, start, step, finish)
 
 
+#: The version of bouts that this parser makes.
+PARSE_VERSION = 3
+_TABLE_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
+
+
+def _span(row: Column | str, name: str) -> Column:
+    return F.regexp_extract(row, rf'(?is)<(span|div) class="{name}">(.*?)</\1>', 2)
+
+
 def bouts(pages: DataFrame) -> DataFrame:
     """page_id, position, bout_date, bout_type, country, org_id, sides, is_victory, participants, teams of two linked members."""
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("position", "row"))
-    span = lambda name: F.regexp_extract("row", rf'(?is)<(span|div) class="{name}">(.*?)</\1>', 2)
-    rows = rows.withColumn("card", span("MatchCard")).where("card <> ''")
-    parsed = rows.withColumn("parsed", fold_sides(tokens(F.col("card"))))
+    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_TABLE_ROW), F.lit(1))).alias("position", "row"))
+    return _described(rows.withColumn("card", _span("row", "MatchCard")).where("card <> ''"), ["page_id"])
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """A row for each bout of a page, with what ``bouts`` has, its ``version``, and ``error``; other columns of ``pages`` but the markup stay.
+
+    A page that gives no bout has one row with an error: no markup, no row, no card. A bout that can't be
+    stored has one too: no participant, no date.
+    """
+    found = F.regexp_extract_all("html", F.lit(_TABLE_ROW), F.lit(1))
+    cards = F.filter(F.transform(found, lambda row, k: F.struct(k.alias("position"), row.alias("row"), _span(row, "MatchCard").alias("card"))), lambda c: c["card"] != "")
+    keep = [c for c in pages.columns if c != "html"]
+    state = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "no markup").when(F.size(found) == 0, "no row").when(F.size(cards) == 0, "no card")
+    rows = pages.select(*keep, state.alias("error"), F.explode_outer(cards).alias("c")).select(*keep, "error", "c.*")
+    out = _described(rows, [*keep, "error"])
+    error = F.coalesce("error", F.when(F.size("participants") <= 0, "no participant").when(F.col("bout_date").isNull(), "no date"))
+    return out.withColumns({"error": error, "version": F.lit(PARSE_VERSION)})
+
+
+def _described(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, position and the fields of a bout, of rows of markup (``row``) with their ``card``."""
+    read = rows.withColumn("parsed", fold_sides(tokens(F.col("card"))))
     team = r'(?s)<a href="[^"]*[?&]id=(28|29)&(?:amp;)?nr=(\d+)[^"]*"[^>]*>([^<]*)</a>\s*\((.*?)\)'
     whole = F.regexp_extract_all("card", F.lit(team), F.lit(0))
     member = r"[?&]id=2&(?:amp;)?nr=(\d+)"
@@ -151,9 +179,9 @@ def bouts(pages: DataFrame) -> DataFrame:
         F.transform(whole, lambda w: F.struct(F.regexp_extract(w, team, 2).cast("long").alias("team_id"), F.regexp_extract(w, team, 3).alias("name"), F.when(F.regexp_extract(w, team, 1) == "28", "tag_team").otherwise("stable").alias("kind"), F.array_sort(F.transform(F.regexp_extract_all(w, F.lit(member), F.lit(1)), lambda m: m.cast("long"))).alias("members"))),
         lambda t: F.size(t["members"]) == 2,
     )
-    event = span("MatchEventLine")
-    return parsed.select(
-        "page_id", "position", first_date(plain(F.col("row"))).alias("bout_date"), F.nullif(F.regexp_replace(plain(span("MatchType")), r":\s*$", ""), F.lit("")).alias("bout_type"), venue_country(plain(event)).alias("country"),
+    event = _span("row", "MatchEventLine")
+    return read.select(
+        *keep, "position", first_date(plain(F.col("row"))).alias("bout_date"), F.nullif(F.regexp_replace(plain(_span("row", "MatchType")), r":\s*$", ""), F.lit("")).alias("bout_type"), venue_country(plain(event)).alias("country"),
         F.regexp_extract("row", r"[?&]id=8&(?:amp;)?nr=(\d+)", 1).try_cast("long").alias("org_id"), "parsed.sides", "parsed.is_victory",
         F.array_sort(F.array_distinct(F.flatten("parsed.sides"))).alias("participants"), teams.alias("teams"),
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from boutflow.operators.organisations import numbered
 from boutflow.shipping import ship
+from boutflow.sources.steps import Steps
 
 #: Organisations of the cohort, and the country that counts as home.
 COHORT_ORGS = ("BUILDING", "MACHINERY")
@@ -24,10 +25,17 @@ RENAMES = [("BUILDING", 1999, "OLD BUILDING"), ("OLD BUILDING", 1997, "FIRST BUI
 SHORT = [("BUILDING", "BLD"), ("OLD BUILDING", "OLD"), ("MACHINERY", "MCH"), ("FURNITURE", "FUR")]
 #: Ids that are known to have no profile page.
 KNOWN_MISSING = [5, 10, 20, 7777777]
+#: Frames that a session has written, by application, folder of the tables and name.
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Tables:
-    """Frames over one folder of tables; each is planned once for a session's query."""
+    """Frames over one folder of tables; each is planned once for a session's query.
+
+    Bouts and listings, which most queries read many times, are written once a session to the folder that the
+    cluster shares, so a session sees these as the tables were when it first used them. They aren't bucketed: a competitor may
+    have a third of all rows, and sums before a shuffle bear that better than a bucket does.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         ship(spark)
@@ -36,9 +44,18 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def _once(self, name: str, df: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            _WRITTEN[key] = Steps(self.spark).save(df)
+        return _WRITTEN[key]
+
     @cached_property
     def bouts(self) -> DataFrame:
         """bout_id, bout_date, year, org, country, is_victory, sides, participants."""
+        return self._once("bouts", self._bouts())
+
+    def _bouts(self) -> DataFrame:
         side = lambda odd: F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == odd, F.col("l_suppkey"))))
         lines = self.read("lineitem").groupBy("l_orderkey").agg(side(1).alias("won"), side(0).alias("lost"))
         lines = lines.where("size(won) > 0 and size(lost) > 0")
@@ -64,7 +81,7 @@ class Tables:
     def listings(self) -> DataFrame:
         """A row for each bout and profiled participant: the bout as that competitor's list holds it."""
         rows = self.bouts.withColumn("competitor_id", F.explode("participants"))
-        return rows.join(self.competitors.select("competitor_id", "in_cohort"), "competitor_id")
+        return self._once("listings", rows.join(self.competitors.select("competitor_id", "in_cohort"), "competitor_id"))
 
     @cached_property
     def names_used(self) -> DataFrame:
@@ -107,6 +124,26 @@ class Tables:
         per = self.listings.groupBy("competitor_id", "year").agg(F.count(F.lit(1)).alias("n_bouts"))
         return per.join(self.updates, "competitor_id", "left").withColumn("last_updated", F.col("last_updated") - F.make_dt_interval(((2002 - F.col("year")) * 50).cast("int")))
 
+    @cached_property
+    def dated_lists(self) -> DataFrame:
+        """competitor_id, year, n_bouts, last_updated: stored lists with times of their own (null: never), and stubs of 2002 for every fourth competitor."""
+        i, y = F.col("competitor_id"), F.col("year")
+        read = F.col("last_updated") + F.make_dt_interval(((i * 37 + y * 61) % 400).cast("int"))
+        stored = self.lists.select(i, y, "n_bouts", F.when((i + y) % 11 != 0, read).alias("last_updated"))
+        seen = F.lit("2024-06-30 00:00:00").cast("timestamp") - F.make_dt_interval((i * 7 % 40).cast("int"))
+        stubs = self.competitors.where("competitor_id % 4 = 0").select(i, F.lit(2002).alias("year"), F.lit(0).cast("long").alias("n_bouts"), seen.alias("last_updated"))
+        return stored.unionByName(stubs)
+
+    @cached_property
+    def patchy_lists(self) -> DataFrame:
+        """Lists with gaps: every ninth competitor has that of 1995 only, and a third of the years from 1990 without a list have an empty one."""
+        i, y = F.col("competitor_id"), F.col("year")
+        stored = self.dated_lists.where("year < 2002 and (competitor_id % 9 <> 0 or year = 1995)")
+        years = self.competitors.select(i, F.explode(F.sequence(F.lit(1990), F.lit(2002))).alias("year")).where((i + y) % 3 == 0)
+        seen = F.lit("2024-06-30 00:00:00").cast("timestamp") - F.make_dt_interval(((i * 31 + y * 17) % 800).cast("int"))
+        stubs = years.join(stored.select("competitor_id", "year"), ["competitor_id", "year"], "left_anti").select(i, y, F.lit(0).cast("long").alias("n_bouts"), F.when((i + y) % 13 != 0, seen).alias("last_updated"))
+        return stored.unionByName(stubs)
+
     @cached_property
     def bout_pages(self) -> DataFrame:
         """page_id, url, html: each bout as the row of a bout list; participants without a profile are unlinked, and some sides are named teams."""
@@ -127,3 +164,31 @@ class Tables:
             F.lit(' (10:00)</span><div class="MatchEventLine"><a href="?id=8&amp;nr='), "org_id", F.lit('">'), "org", F.lit("</a> House Show @ Hall, City, "), "country", F.lit(".</div></td></tr></table>"),
         )
         return rows.select(F.col("bout_id").alias("page_id"), F.concat(F.lit("https://bouts.example/?id=1&nr="), "bout_id").alias("url"), html.alias("html"))
+
+    @cached_property
+    def card_pages(self) -> DataFrame:
+        """page_id, url, html: bouts as cards of up to three sides, some sides as named teams, and some pages and cards that can't be read.
+
+        Every fourth bout of three or more has a side for each of its first two participants and one for all others.
+        """
+        n, people = F.col("bout_id") % 50, F.col("participants")
+        several = (F.col("bout_id") % 4 == 0) & (F.size(people) >= 3)
+        three = F.array(F.slice(people, 1, 1), F.slice(people, 2, 1), F.slice(people, F.lit(3), F.size(people)))
+        shown = self.bouts.withColumn("shown", F.when(several, three).otherwise(F.col("sides")))
+        members = shown.select("bout_id", F.posexplode("shown").alias("side", "ids")).select("bout_id", "side", "ids", F.posexplode("ids").alias("place", "id"))
+        known = self.competitors.select(F.col("competitor_id").alias("id"), "name")
+        linked = F.concat(F.lit('<a href="?id=2&amp;nr='), "id", F.lit('">'), "name", F.lit("</a>"))
+        one = F.struct("place", F.when(F.col("name").isNotNull(), linked).otherwise(F.concat(F.lit("Stranger "), "id")).alias("text"))
+        sides = members.join(known, "id", "left").groupBy("bout_id", "side", "ids").agg(F.array_sort(F.collect_list(one)).alias("m"), F.count("name").alias("n_known"))
+        total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+        joined = lambda by: F.array_join(F.transform("m", lambda x: x["text"]), by)
+        named = F.concat(F.lit('<a href="?id=28&amp;nr='), total, F.lit('">Team '), total, F.lit("</a> ("), joined(" and "), F.lit(")"))
+        team = (F.size("ids") == 2) & (F.col("n_known") == 2) & (total % 3 == 1)
+        cards = sides.select("bout_id", F.struct("side", F.when(team, named).otherwise(joined(" &amp; ")).alias("text")).alias("s")).groupBy("bout_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]).alias("texts"))
+        rest = F.array_join(F.slice("texts", F.lit(2), F.size("texts")), " and ")
+        result = F.when(F.col("is_victory"), F.concat(F.get("texts", 0), F.lit(" defeats "), rest)).otherwise(F.array_join("texts", " vs. "))
+        card = F.when(n == 10, "-").otherwise(F.concat(result, F.lit(" (10:00)")))
+        date = F.when(n == 11, "99.99.2000").otherwise(F.date_format("bout_date", "dd.MM.yyyy"))
+        row = F.concat(F.lit("<table><tr><td>"), date, F.lit('</td><td><span class="MatchType">Bout: </span><span class="MatchCard">'), card, F.lit("</span></td></tr></table>"))
+        html = F.when(n == 8, "<p>gone</p>").when(n == 9, "<table><tr><td>none</td></tr></table>").when(n != 7, row)
+        return self.bouts.join(cards, "bout_id").select(F.col("bout_id").alias("page_id"), F.concat(F.lit("https://cards.example/?id=1&nr="), "bout_id").alias("url"), html.alias("html"))

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from boutflow.plans.ranking import Steps
 from boutflow.sources import pages as source
+from boutflow.sources.steps import Steps
 from boutflow.sources.store import latest
 
 PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])

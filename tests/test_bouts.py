@@ -253,18 +253,70 @@ def test_reclassify(competitors, listings):
     assert classify.reclassify(competitors, shares, [300]).where("competitor_id = 300").first().in_cohort
 
 
+def stored(spark, *rows):
+    return spark.createDataFrame([(c, y, n, None if at is None else dt.datetime.fromisoformat(at)) for c, y, n, at in rows], "competitor_id long, year int, n_bouts long, last_updated timestamp")
+
+
+def items(plan):
+    return {(r.operation, r.object_id, r.year): (r.priority, r.stage) for r in plan.collect()}
+
+
 def test_plan_order_and_first_wins(spark, listings, competitors):
     updates = spark.createDataFrame([(100, dt.datetime(2020, 1, 1))], "competitor_id long, last_updated timestamp")
     edges = neighbours.edge_weights(listings)
     guess = spark.createDataFrame([(900, 0.96)], "subject_id long, confidence double")
-    plan = refresh.build(competitors, listings, updates, neighbours.missing(edges, competitors), guess, neighbours.org_frequency(listings), 2025, "2025-06-01 00:00:00")
+    lists = stored(spark, (100, 2023, 3, "2025-05-30"), (200, 2024, 1, None))
+    plan = refresh.build(competitors, listings, lists, updates, neighbours.missing(edges, competitors), guess, neighbours.org_frequency(listings), 2025, "2025-06-01 00:00:00")
     rows = [tuple(r) for r in refresh.in_order(plan).collect()]
     assert rows == sorted(rows, key=lambda r: (r[0], r[1], r[3], r[4] or 0))
     keys = [(r[2], r[3], r[4]) for r in rows]
     assert len(set(keys)) == len(keys) and ("refresh_profile", "900", None) in keys and ("refresh_bouts", "300", 2025) in keys
     assert ("refresh_bouts", "100", 2025) in keys and refresh.in_order(plan, 2).count() == 2
-    part = refresh.restricted(plan, spark.createDataFrame([(900,)], "competitor_id long"))
-    assert [(r.priority, r.object_id) for r in part.collect()] == [(10, "900")]
+    # 900 occurs in the list of 200 alone, which is outside the cohort
+    inside = competitors.where("in_cohort")
+    assert neighbours.missing(edges, competitors, inside).count() == 0 and neighbours.missing(edges, competitors).count() == 1
+
+
+def test_lists_are_judged_by_their_own_time(spark, listings, competitors):
+    fresh = spark.createDataFrame([(100, dt.datetime(2025, 5, 31)), (200, dt.datetime(2025, 5, 31)), (300, dt.datetime(2025, 5, 31))], "competitor_id long, last_updated timestamp")
+    none, guess = spark.createDataFrame([], "missing_id long, n_referrers long, appearances long"), spark.createDataFrame([], "subject_id long, confidence double")
+    orgs = spark.createDataFrame([], "org string, n_bouts long")
+    build = lambda lists, **modes: items(refresh.build(competitors, listings, lists, fresh, none, guess, orgs, 2025, "2025-06-01 00:00:00", **modes))
+    # 100 is active: 180 days for old years, 90 for 2024, 14 for 2025; a stub counts as a list of its year
+    aged = stored(spark, (100, 2023, 3, "2024-12-04"), (100, 2024, 0, "2025-03-02"), (100, 2025, 0, "2025-05-18"), (200, 2023, 1, None), (300, 2025, 0, "2025-05-30"))
+    assert build(aged) == {("refresh_bouts", "100", 2024): (30, 4)}
+    stale = stored(spark, (100, 2023, 3, "2024-12-02"), (100, 2025, 0, "2025-05-17"), (300, 2025, 0, "2025-05-17"))
+    # the profile is fresh, the lists aren't; 300 is inactive, but as a diverse one it counts as active for this year
+    assert build(stale) == {("refresh_bouts", "100", 2023): (52, 4), ("refresh_bouts", "100", 2025): (10, 4), ("refresh_bouts", "300", 2025): (10, 6)}
+    never = stored(spark, (100, 2021, 0, None), (100, 2022, 0, None), (100, 2023, 3, None), (300, 2025, 0, "2025-05-30"))
+    assert build(never) == {("refresh_all_bouts", "100", None): (10, 4)}  # with this year's, which is lacking
+    assert build(aged, force=True, only_bouts=True) == {("refresh_all_bouts", "100", None): (10, 4), ("refresh_bouts", "300", 2025): (999, 4)}
+    january = build(stored(spark, (100, 2023, 3, "2025-05-30"), (300, 2025, 0, "2025-05-30")), transition=True)
+    assert january == {("refresh_bouts", "100", 2025): (90, 4)}
+
+
+def test_restricted_plan_is_built_for_its_targets(spark, listings, competitors):
+    updates = spark.createDataFrame([(100, dt.datetime(2025, 5, 31))], "competitor_id long, last_updated timestamp")
+    lists = stored(spark, (100, 2023, 3, None), (200, 2023, 1, None))
+    targets = spark.createDataFrame([(200,), (900,), (900,)], "competitor_id long")
+    orgs = spark.createDataFrame([("A", None)], "org string, last_updated timestamp")
+    got = items(refresh.restricted(competitors, listings, lists, updates, targets, 2025, "2025-06-01 00:00:00", organisations=orgs))
+    # 200 is outside the cohort: its profile and this year's list come, its old lists don't; organisations are those of its lists
+    assert got == {("refresh_profile", "200", None): (10, 2), ("refresh_profile", "900", None): (10, 1), ("refresh_bouts", "200", 2025): (10, 4), ("refresh_org", "A", None): (95, 5), ("refresh_org", "B", None): (95, 5)}
+
+
+def test_stub_audit(spark, competitors):
+    careers = spark.createDataFrame([(100, 2020), (300, 2024)], "competitor_id long, career_start int")
+    lists = stored(spark, (100, 2023, 5, None), (100, 2022, 0, "2025-05-01"), (300, 2024, 2, None), (300, 2019, 0, None), (300, 2020, 0, "2020-01-01"), (300, 2021, 0, "2020-01-01"), (200, 2023, 1, None))
+    got = {r.competitor_id: (r.n_stubs, r.single, r.several, r.career_length, r.stub_years) for r in audit.stub_audit(lists, competitors, careers, 2025, "2025-06-01 00:00:00").collect()}
+    assert got == {100: (0, True, False, 5, ""), 300: (3, False, True, 1, "2019,2020,2021")}
+
+
+def test_latest_org_of_ended_careers(spark, competitors):
+    primary = spark.createDataFrame([(100, 2024, "A"), (200, 2024, "B"), (200, 2025, "C"), (300, 2019, "D")], "competitor_id long, year int, primary_org string")
+    ends = spark.createDataFrame([(100, 2024)], "competitor_id long, career_end int")
+    got = {r.competitor_id: r.latest_org for r in rollup.latest_orgs(competitors, primary, 2025, ends).collect()}
+    assert got == {100: "Inactive", 200: "C", 300: "Inactive"}
 
 
 def test_prediction_cache(spark):
