@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutflow.llm import decontamination, exact_dedup, hard_negatives, langid, secrets_crf, sentencepiece_codec, sharding, simhash, substring_dedup, token_counts, toxicity, url_filter, whitening
-from boutflow.llm.common import table
+from boutflow.llm.common import cut_lineage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -104,6 +104,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.limits(token_counts.histogram(counted))
 
 
+def _length_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return token_counts.limits(cut_lineage(token_counts.histogram(counted)))
+
+
+@query
+def token_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What context limits of powers of two keep and cut."""
+    return token_counts.at_limits(_length_report(spark, sf_dir), [1 << k for k in range(5, 18)])
+
+
+@query
+def token_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.quantiles(_length_report(spark, sf_dir), [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0])
+
+
 @query
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
@@ -134,6 +150,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(found)
 
 
+@query
+def cut_benchmark_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without the spans that benchmark items hold: those of 13 words or more, or all where they are over a twentieth of the text."""
+    found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id", "text"])
+    cut = decontamination.cut_spans(found.withColumn("text", F.coalesce("text", F.lit(""))))
+    return cut.select("doc_id", "n_words", F.size("spans").cast("long").alias("n_spans"), F.sha2("cut_text", 256).alias("cut_sha256"))
+
+
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:[0-9a-z]|[^\x00-\x7F])+')"
 
 SQL["op10_decontamination"] = f"""

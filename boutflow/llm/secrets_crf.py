@@ -7,9 +7,10 @@ which those that touch no base span are added.
 
 The field is trained here, on windows of a bounded sample of documents: up to ``SAMPLE`` that may hold a
 base span and as many others, those of the smallest hash. What it learns from are their base spans and
-secrets of other forms, made up and put into copies of the windows (other key words, ``Bearer`` headers,
-prefixed keys, upper-case hexadecimal), beside made-up strings that are none (dates, versions, numbers,
-key words in plain sentences). So it finds secrets that the patterns don't know.
+secrets of other FORMS, made up and put into copies of the windows (other key words, ``Bearer`` headers,
+prefixed keys, dotted tokens, passwords in addresses), beside made-up strings that are none (dates, versions, numbers,
+names, key words in plain sentences). So it finds secrets that the patterns don't know, and those of forms that it
+was not shown as well.
 
 Features and scores are numpy arrays over all tokens of a batch. The Viterbi path is exact, but is only
 worked out where it can leave "outside": over a run of tokens, no path through a token can gain on
@@ -54,6 +55,9 @@ _MAY_ASSIGN = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that make a neighbour worth telling.
 KEY_WORDS = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "key", "auth", "bearer", "credential", "credentials", "private", "access_key", "authorization", "private_key", "client_secret", "passphrase", "login")
 
+#: Stems of key words, as parts of names.
+_STEM = re.compile("pass|pwd|secret|token|key|auth|cred", re.IGNORECASE)
+
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, start of the value), in order; positions are code points."""
@@ -82,8 +86,11 @@ for _k, _s in enumerate((" ", "\"'`", "=", ":", "@", "\n\r", "<>()[]{},;")):
 _LENGTHS = np.array([4, 6, 8, 12, 16, 24, 40])
 #: Values of each feature: length, shape, hexadecimal by length, digits by changes of class, key word one
 #: or two tokens before, character before, character after, an assignment within three characters before,
-#: shape before, shape after, file, constant.
-SIZES = (8, 32, 16, 20, 4, 8, 8, 2, 32, 32, 16, 1)
+#: shape before, shape after, file, constant; and, together, the characters before and after, the number of kinds of
+#: characters and the length, dots and the mean length between them, hexadecimal parts between dashes by a key word,
+#: changes of class by length, a part of a word before that is a key word, by an assignment, and signs of a key before by digits
+#: and length.
+SIZES = (8, 32, 16, 20, 4, 8, 8, 2, 32, 32, 16, 1, 64, 40, 12, 8, 64, 4, 48)
 OFFSETS = np.concatenate([[0], np.cumsum(SIZES)[:-1]])
 N_FEATURES = sum(SIZES)
 
@@ -113,6 +120,7 @@ class Tokens:
 
         digit, hexed, upper, sign, wide = (count(kind == k) for k in (_DIGIT, _HEX, _UPPER, _SIGN, _WIDE))
         lower = length - digit - upper - sign - wide
+        dots, dashes = count(codes == 46), count(codes == 45)
         changes = count(np.diff(np.where(kind == _HEX, _LOWER, kind), prepend=kind[:1]) != 0)
         shape = (lower > 0) + 2 * (upper > 0) + 4 * (digit > 0) + 8 * (sign > 0) + 16 * (wide > 0)
         size = np.searchsorted(_LENGTHS, length, "right")
@@ -133,10 +141,25 @@ class Tokens:
         keys = np.bincount(self.doc, key1 & assign, len(texts)) > 0
         digits = np.bincount(self.doc, digit > 0, len(texts)) * 50 > tokens
         file = np.searchsorted([50, 500, 5000], tokens) + 4 * keys + 8 * digits
-        columns = (size, shape, 8 * (hexed + digit == length) + size, 4 * np.minimum(4 * digit // length, 4) + np.minimum(4 * changes // (length + 1), 3), key1 + 2 * key2, _AROUND[before], _AROUND[after], assign, shape_before, shape_after, file[self.doc], 0)
+        kinds = (lower > 0).astype(np.int64) + (upper > 0) + (digit > 0) + (sign > 0)
+        parts = 4 * np.minimum(dots, 2) + np.searchsorted([4, 8, 16], length // (dots + 1), "right")
+        dashed = (dashes >= 2) & (hexed + digit + dashes == length)
+        near = key1 | key2
+        stem = np.concatenate([[False], self._stems(joined)[:-1]]) & same
+        columns = (size, shape, 8 * (hexed + digit == length) + size, 4 * np.minimum(4 * digit // length, 4) + np.minimum(4 * changes // (length + 1), 3), key1 + 2 * key2, _AROUND[before], _AROUND[after], assign, shape_before, shape_after, file[self.doc], 0,
+            8 * _AROUND[before] + _AROUND[after], 8 * kinds + size, parts, 4 * dashed + 2 * (dashed & (digit > 0)) + near, 8 * size + np.minimum(10 * changes // (length + 1), 7), 2 * stem + assign, 16 * np.minimum(near.astype(np.int64) + assign + stem, 2) + 8 * (digit > 0) + size)
         for k, c in enumerate(columns):
             self.features[:, k] = c + OFFSETS[k]
 
+    def _stems(self, joined: str) -> np.ndarray:
+        """Tokens of up to 40 characters that have a stem of a key word in them."""
+        out = np.zeros(len(self.start), bool)
+        places = np.array([m.span() for m in _STEM.finditer(joined)], np.int64).reshape(-1, 2)
+        at = np.searchsorted(self.start, places[:, 0], "right") - 1
+        good = (at >= 0) & (places[:, 1] <= self.end[at]) & (self.end[at] - self.start[at] <= 40)
+        out[at[good]] = True
+        return out
+
     def _key_words(self, joined: str, codes: np.ndarray, length: np.ndarray) -> np.ndarray:
         key = np.zeros(len(length), bool)
         fold = lambda c: np.where((c >= 65) & (c <= 90), c + 32, c)
@@ -261,15 +284,36 @@ class Field:
         return field
 
 
-def _made_up(rng: np.random.Generator) -> tuple[str, int, int]:
-    """A secret of a form that the base patterns don't know, in its setting; start and end of its value."""
-    pick = lambda alphabet, low, high: "".join(rng.choice(list(alphabet), rng.integers(low, high)))
-    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    word, any_case = letters + digits, letters + letters.upper() + digits
-    value = [lambda: pick(any_case, 12, 44), lambda: pick(word, 10, 32), lambda: pick("0123456789ABCDEF", 24, 44), lambda: pick(any_case + "+/", 20, 60) + "=", lambda: pick(letters, 2, 4) + "_" + pick(letters, 4, 5) + "_" + pick(any_case, 20, 40), lambda: pick(letters, 3, 4) + "_" + pick(any_case, 30, 40)][rng.integers(6)]()
+_LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+_ANY_CASE = _LETTERS + _LETTERS.upper() + _DIGITS
+
+
+def _pick(rng: np.random.Generator, alphabet: str, low: int, high: int) -> str:
+    return "".join(rng.choice(list(alphabet), rng.integers(low, high)))
+
+
+#: Forms of made-up secrets.
+FORMS = {
+    "any case": lambda r: _pick(r, _ANY_CASE, 8, 44), "lower": lambda r: _pick(r, _LETTERS + _DIGITS, 10, 32), "upper hex": lambda r: _pick(r, "0123456789ABCDEF", 24, 44), "base64": lambda r: _pick(r, _ANY_CASE + "+/", 20, 60) + "=",
+    "prefixed": lambda r: _pick(r, _LETTERS, 2, 4) + "_" + _pick(r, _LETTERS, 4, 5) + "_" + _pick(r, _ANY_CASE, 20, 40), "short prefix": lambda r: _pick(r, _LETTERS, 3, 4) + "_" + _pick(r, _ANY_CASE, 30, 40),
+    "dotted": lambda r: ".".join(_pick(r, _ANY_CASE + "_-", 20, 60) for _ in range(3)), "uuid": lambda r: "-".join(_pick(r, "0123456789abcdef", n, n + 1) for n in (8, 4, 4, 4, 12)), "address": lambda r: _pick(r, _ANY_CASE, 8, 24), "grouped": lambda r: "-".join(_pick(r, _LETTERS.upper() + _DIGITS, 4, 6) for _ in range(5)),
+}
+
+
+def made_up(rng: np.random.Generator, forms: tuple[str, ...] = tuple(FORMS)) -> tuple[str, int, int]:
+    """A secret of one of ``forms``, which the base patterns don't know, in its setting; start and end of its value."""
+    form = forms[rng.integers(len(forms))]
+    value = FORMS[form](rng)
     key = ["pwd", "auth", "private_key", "credential", "credentials", "access_key", "client_secret", "passphrase", "login", "key"][rng.integers(10)]
-    key = [key, key.upper(), key.capitalize()][rng.integers(3)]
-    before = [f"{key}={{}}", f"{key}: {{}}", f'{key} = "{{}}"', f"{key} => '{{}}'", "Authorization: Bearer {}", "bearer {}", f"{key} {{}}"][rng.integers(7)]
+    key = [key, key.upper(), key.capitalize(), f"{_pick(rng, _LETTERS, 2, 6)}_{key}".upper()][rng.integers(4)]
+    settings = [f"{key}={{}}", f"{key}: {{}}", f'{key} = "{{}}"', f"{key} => '{{}}'", f"{key} {{}}", "Authorization: Bearer {}", "bearer {}"]
+    if form == "address":  # between a user and a host
+        settings = [f"{s}://{_pick(rng, _LETTERS, 3, 9)}:{{}}@{_pick(rng, _LETTERS, 3, 9)}{e}" for s in ("postgres", "mysql", "https", "amqp") for e in (".org/db", ":5432/main")]
+    elif form in ("any case", "dotted", "prefixed", "short prefix", "base64") and rng.random() < 0.5:  # such as stand alone too
+        settings = ["{}", "with {} then", "({})"]
+    elif form == "uuid":
+        settings = settings[:5]
+    before = settings[rng.integers(len(settings))]
     start = before.index("{")
     return before.format(value), start, start + len(value)
 
@@ -279,17 +323,18 @@ def _harmless(rng: np.random.Generator) -> str:
     n = [int(x) for x in rng.integers(1, 10**6, 4)]
     return [
         f"20{n[0] % 25:02}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}", f"v{n[0] % 20}.{n[1] % 30}.{n[2] % 90}", f"{n[0]}{n[1]}", f"+{n[0] % 99} {n[1]} {n[2]}", f"no. {n[0]}", f"{n[0] % 999}.{n[1] % 999}.{n[2] % 99}",
+        f"{n[0]:06x}-{n[1]:06x}", "-".join(f"{x % 65536:04x}" for x in (*n, *n)), f"https://site{n[0] % 99}.org:80{n[1] % 99:02}/a", f"{n[0] % 9}:{n[1] % 9}@home", "e.g.the.next.part", f"lib.so.{n[0] % 9}.{n[1] % 9}", "some_long_name_of_a_thing", "CamelCaseNameOfAThing", f"FileName{n[0]}.tar.gz", f"AB-{n[0] % 9999:04}-XY",
         "key: value", "the key to", "auth: none", "login: yes", "password reset", "a bearer of", "private key", f"user{n[0] % 999}", f"page={n[0] % 99}", "ISO/IEC", "HTTP/2", "ABC-DEF", "well-known", f"{n[0] % 23}:{n[1] % 59:02}", f"id={n[0]}", f"www.site{n[0] % 99}.org/page", f"name{n[0] % 99}@mail.org",
-    ][rng.integers(23)]
+    ][rng.integers(33)]
 
 
-def implanted(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
-    """A stretch of ``text`` with a made-up secret and two harmless strings put between words; the values' places."""
+def implanted(text: str, rng: np.random.Generator, forms: tuple[str, ...] = tuple(FORMS)) -> tuple[str, list[tuple[int, int]]]:
+    """A stretch of ``text`` with a made-up secret and four harmless strings put between words; the values' places."""
     words = text.split(" ")
     at = int(rng.integers(0, len(words)))
     words = words[max(0, at - 4 * REACH) : at + 4 * REACH]
-    secret, start, end = _made_up(rng)
-    parts = [(int(rng.integers(0, len(words) + 1)), x) for x in (secret, _harmless(rng), _harmless(rng))]
+    secret, start, end = made_up(rng, forms)
+    parts = [(int(rng.integers(0, len(words) + 1)), x) for x in (secret, *(_harmless(rng) for _ in range(4)))]
     for place, x in sorted(parts, key=lambda p: -p[0]):
         words.insert(place, x)
     out = " ".join(words)
@@ -297,7 +342,7 @@ def implanted(text: str, rng: np.random.Generator) -> tuple[str, list[tuple[int,
     return out, [(from_, from_ + end - start)]
 
 
-def _windows(text: str) -> tuple[list[list[int]], list[int]]:
+def _windows(text: str, forms: tuple[str, ...] = tuple(FORMS)) -> tuple[list[list[int]], list[int]]:
     """Training windows of a text: flat features of each, and tags (-1: no token), REACH * 2 + 1 places."""
     features, out = [], []
 
@@ -322,14 +367,14 @@ def _windows(text: str) -> tuple[list[list[int]], list[int]]:
     base = [(value, end) for _, _, end, value in base_spans(text)]
     add(text, base, True)
     rng = np.random.default_rng(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-    for _ in range(2 if text else 0):
-        copy, values = implanted(text, rng)
+    for _ in range(4 if text else 0):
+        copy, values = implanted(text, rng, forms)
         add(copy, values + [(value, end) for _, _, end, value in base_spans(copy)], False)
     return features, out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Trains the field on windows of at most twice ``sample`` documents: such as may hold a base span, and others."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, forms: tuple[str, ...] = tuple(FORMS)) -> Field:
+    """Trains the field on windows of at most twice ``sample`` documents, such as may hold a base span and others, with made-up secrets of ``forms``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
     first = lambda some: some.select("id").orderBy(F.xxhash64("id"), "id").limit(sample)
     ids = first(rows.where(F.col("text").rlike(r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"))).union(first(rows)).distinct()
@@ -337,7 +382,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            found = [_windows(t or "") for t in batch.column("text").to_pylist()]
+            found = [_windows(t or "", forms) for t in batch.column("text").to_pylist()]
             small = pa.list_(pa.list_(pa.int16()))
             return {"features": pa.array([f for f, _ in found], small), "tags": pa.array([t for _, t in found], small)}
 

@@ -44,7 +44,7 @@ from boutflow.llm.common import SPACES, bounded_batches, cut_lineage, text_bytes
 #: Words of a window, and of the prefix at its anchor.
 WINDOW, PREFIX = 13, 5
 #: Bytes of text for each part into which prefixes are dealt.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: Documents beyond which a prefix fills a part by itself and gets longer.
 MOST = 1 << 20
 #: Bytes of text that a task works on at once.

@@ -49,7 +49,7 @@ def limits(hist: DataFrame) -> DataFrame:
 
     ``n_docs`` of that very length, ``n_longer``, ``n_fitting``, ``fitting_share``, ``tokens_total``,
     ``tokens_kept`` (texts cut at the limit) and ``tokens_cut``. A limit between two lengths L < M keeps
-    what L keeps and one more token of each document longer than L for each step from L.
+    what L keeps and one more token of each document longer than L for each step from L (``at_limits``).
     The window runs over the histogram, a row a length.
     """
     upto = Window.orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
@@ -67,6 +67,27 @@ def limits(hist: DataFrame) -> DataFrame:
     )
 
 
+def at_limits(report: DataFrame, context_limits: list[int]) -> DataFrame:
+    """The totals of ``limits`` for any context limits, whether a text has that length or not; no rows for an empty report."""
+    asked = report.sparkSession.createDataFrame([(c,) for c in sorted(set(context_limits))], "asked long")
+    whole = report.agg(F.max("n_fitting").alias("docs"), F.max("tokens_total").alias("total")).where("docs is not null")
+    below = F.max_by(F.struct("context_limit", "n_fitting", "tokens_kept"), "context_limit")  # of the greatest length within the limit
+    last = asked.join(report, F.col("context_limit") <= F.col("asked")).groupBy("asked").agg(below.alias("b"))
+    rows = asked.join(whole).join(last, "asked", "left")  # one row of totals
+    fitting, length, kept = (F.coalesce(f"b.{c}", F.lit(0)) for c in ("n_fitting", "context_limit", "tokens_kept"))
+    cut_at = kept + (F.col("asked") - length) * (F.col("docs") - fitting)
+    return rows.select(
+        F.col("asked").alias("context_limit"), (F.col("docs") - fitting).alias("n_longer"), fitting.alias("n_fitting"), (fitting / F.col("docs")).alias("fitting_share"),
+        F.col("total").alias("tokens_total"), cut_at.alias("tokens_kept"), (F.col("total") - cut_at).alias("tokens_cut"),
+    )
+
+
+def quantiles(report: DataFrame, shares: list[float]) -> DataFrame:
+    """share, length: the smallest length that at least that share of all documents don't exceed."""
+    asked = report.sparkSession.createDataFrame([(s,) for s in sorted(set(shares))], "share double")
+    return asked.join(report, F.col("fitting_share") >= F.col("share")).groupBy("share").agg(F.min("context_limit").alias("length"))
+
+
 def quantile(report: DataFrame, share: float) -> DataFrame:
     """The smallest length that at least ``share`` of all documents don't exceed."""
     return report.where(F.col("fitting_share") >= share).agg(F.min("context_limit").alias("length"))

@@ -193,6 +193,23 @@ def test_field_finds_secrets_that_the_patterns_miss(field, rows):
     assert sum(len(every) - len(base) for base, every in secrets_crf.scan(clean, field)) <= 0.02 * len(clean)
 
 
+def test_field_finds_each_form(field, rows):
+    rng, clean = np.random.default_rng(79), [t for i, t, _ in rows if i % 2]
+    for form in secrets_crf.FORMS:
+        texts, values = zip(*(secrets_crf.implanted(t, rng, (form,)) for t in clean), strict=True)
+        hit = sum(any(s < want[0][1] and want[0][0] < e for s, _, e in every) for (_, every), want in zip(secrets_crf.scan(list(texts), field), values, strict=True))
+        assert hit >= 0.8 * len(texts), (form, hit, len(texts))
+
+
+@pytest.mark.parametrize("form", ["dotted", "uuid", "base64", "grouped", "prefixed"])
+def test_field_finds_a_form_that_it_was_not_shown(docs, rows, form):
+    field = secrets_crf.fit(docs.where("doc_id % 2 = 0"), sample=60, forms=tuple(f for f in secrets_crf.FORMS if f != form))
+    rng = np.random.default_rng(78)
+    texts, values = zip(*(secrets_crf.implanted(t, rng, (form,)) for i, t, _ in rows if i % 2), strict=True)
+    hit = sum(any(s < want[0][1] and want[0][0] < e for s, _, e in every) for (_, every), want in zip(secrets_crf.scan(list(texts), field), values, strict=True))
+    assert hit >= 0.8 * len(texts), (hit, len(texts))
+
+
 def test_base_columns_of_rows_equal_plain_patterns(spark, docs, rows, field):
     rng = np.random.default_rng(5)
     bits = ["password", "Token", "api_key", "apikey", "SECRET", "=", ": ", ' "', "'", " ", "AKIA", "ABCDEFGH12345678XYZ", "deadbeef", "0123456789abcdef", "é", "\n", "xy/z.+=", "word "]
@@ -345,6 +362,13 @@ def test_token_limits(spark, rows, awkward, nothing):
     for limit, r in got.items():
         assert (r.n_docs, r.n_longer, r.tokens_total, r.tokens_kept) == (sizes.count(limit), sum(s > limit for s in sizes), sum(sizes), sum(min(s, limit) for s in sizes))
     assert token_counts.quantile(report, 0.5).first()[0] == sorted(sizes)[-(-len(sizes) // 2) - 1]
+    for r in QUERIES["token_limits"](spark, SF).collect():
+        limit = r.context_limit
+        assert (r.n_longer, r.n_fitting, r.tokens_total, r.tokens_kept, r.tokens_cut) == (sum(s > limit for s in sizes), sum(s <= limit for s in sizes), sum(sizes), sum(min(s, limit) for s in sizes), sum(max(0, s - limit) for s in sizes))
+    assert {r.share: r.length for r in QUERIES["token_quantiles"](spark, SF).collect()} == {q: next(s for s in sorted(sizes) if sum(x <= s for x in sizes) >= q * len(sizes)) for q in (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)}
+    few = token_counts.limits(spark.createDataFrame([(7, 2), (9, 1)], "n_tokens long, n_docs long"))
+    assert [(r.context_limit, r.n_longer, r.tokens_kept) for r in token_counts.at_limits(few, [8, 3, 20, 8]).orderBy("context_limit").collect()] == [(3, 3, 9), (8, 1, 22), (20, 0, 23)]
+    assert token_counts.at_limits(few.limit(0), [8]).count() == 0 and token_counts.quantiles(few.limit(0), [0.5]).count() == 0
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     assert token_counts.limits(token_counts.histogram(token_counts.lengths(awkward, path, public_tokenizers.PATTERN))).first().n_docs == 2
     assert token_counts.limits(token_counts.histogram(token_counts.lengths(nothing, path, public_tokenizers.PATTERN))).count() == 0
@@ -544,11 +568,35 @@ def test_cut_spans(spark):
     assert out[2] == "clean" and out[1].startswith("before it, ;") and "t5" not in out[1]
 
 
+def test_cut_query_equals_brute_force(spark, rows):
+    """Spans by comparing all windows, and texts cut word by word."""
+    items = [[w.decode() for w in decontamination.words(r.text)] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + min(13, len(w))]) for w in items if w for k in range(max(1, len(w) - 12))}
+    sizes = {len(w) for w in windows}
+    want = Counter()
+    for i, t, _ in rows:
+        places = [m.span() for m in re.finditer(r"(?:[0-9A-Za-z]|[^\x00-\x7F])+", t or "")]
+        folded = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t[a:b]) for a, b in places]
+        hit = [False] * len(places)
+        for n in sizes:
+            for k in range(len(folded) - n + 1):
+                if tuple(folded[k : k + n]) in windows:
+                    hit[k : k + n] = [True] * n
+        spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join("01"[h] for h in hit))]
+        over = sum(hit) * 20 > len(hit)
+        text, last = "", 0
+        for a, b in [x for x in spans if over or x[1] - x[0] >= 13]:
+            text, last = text + t[last : places[a][0]], places[b - 1][1]
+        want[(i, len(places), sha(text + (t or "")[last:]))] += 1
+    got = Counter((r.doc_id, r.n_words, r.cut_sha256) for r in QUERIES["cut_benchmark_spans"](spark, SF).collect())
+    assert got == want and len({h for _, _, h in want} - {sha(t or "") for _, t, _ in rows}) > 0
+
+
 def test_queries_against_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     for name, sql in SQL.items():
         got = QUERIES[name](spark, SF)
