@@ -93,6 +93,7 @@ def completeness(facts: DataFrame, listings: DataFrame, fields: list[str]) -> Da
 
 def team_links(bouts: DataFrame, pages: DataFrame) -> DataFrame:
     """Per year of parsed ``bouts`` (page_id, bout_date, sides): bouts, those with a side of two or more, those whose page links a team or names one before parentheses, and distinct teams."""
+    # fixed value: the markup of a link to a team
     link = r'<a href="\?id=(?:28|29)&amp;nr=(\d+)[^"]*">[^<]+</a>'
     marks = pages.select("page_id", F.array_distinct(F.regexp_extract_all("html", F.lit(link), F.lit(1))).alias("team_ids"), F.col("html").rlike(r">([^<(]+)</a> \([^)]+&amp;[^)]+\)").alias("named"))
     rows = bouts.withColumn("tag", F.exists("sides", lambda s: F.size(s) >= 2)).join(marks, "page_id")

@@ -30,7 +30,7 @@ def _list_rows(t: Tables) -> DataFrame:
 def kept_lists(t: Tables) -> Maintained:
     """A store of all lists after three upserts: the lists of 2000 with bouts of an even id only, every third competitor's with another
     organisation for each fourth bout, and the lists of 2000 of even competitors as they first were."""
-    store = Maintained(t.spark, _folder(t, "lists"), *LIST_UNIT)
+    store = Maintained(t.spark, _folder(t, "lists"), *LIST_UNIT, buckets=16)
     rows = ranking.Steps(t.spark).save(_list_rows(t))  # a read of the source, which each upsert takes a part of
     units = lambda which: rows.where(which).select(*LIST_UNIT[0]).distinct()
     store.apply(0, rows)
@@ -83,7 +83,7 @@ def _landed(t: Tables) -> str:
 
 def kept_pages(t: Tables) -> tuple[Maintained, str]:
     """The store that a stream over landed pages keeps, and the folder of the unreadable ones."""
-    store, bad = maintain.store_of(t.spark, _folder(t, "pages")), _folder(t, "bad")
+    store, bad = maintain.store_of(t.spark, _folder(t, "pages"), 16), _folder(t, "bad")
     maintain.maintain(t.spark, _landed(t), store, bad, _folder(t, "progress"), files=8)
     return store, bad
 

@@ -1,51 +1,44 @@
-"""Incremental ingest of landed pages with Structured Streaming.
+"""Incremental ingest of landed pages to a table of bouts with Structured Streaming.
 
-Each micro-batch of pages is parsed to bouts and upserted by page: bouts of a page that comes again replace
-those of before, so a batch that runs twice after a failure leaves the same table. Rows of pages without a
-readable bout go to a quarantine folder, under the batch's number, which a repeated batch overwrites; what
-an earlier version of such a page gave stays.
+Each micro-batch of pages is parsed and appended under its number: the bouts of each page's last readable version of
+the batch. A batch that runs twice after a failure writes over what it wrote, so it leaves the same table, and no
+file of an earlier batch is touched. ``current`` reads the table: of each page the version fetched last, whatever the
+order in which versions landed. Versions without a readable bout go to a quarantine folder, under the batch's number, with
+the reason; what earlier versions of such a page gave stays.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from boutflow.sources import pages as source
-from boutflow.sources.steps import Steps
-from boutflow.sources.store import latest
-
-PAGES = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
-#: Pages are dealt by id into so many partitions, and a batch rewrites those that it touches only.
-BUCKETS = 64
+from boutflow.streaming.maintain import PAGES, last_readable, unreadable, versions
 
 
 def ingest(spark: SparkSession, landing: str, target: str, quarantine: str, progress: str):
-    """Parses what has newly landed in ``landing`` (Parquet of pages) into ``target``; returns the finished query."""
-    steps = Steps(spark)
-    checkpointed = steps.save
+    """Parses what has newly landed in ``landing`` (Parquet of PAGES) into ``target``; returns the finished query."""
     stream = spark.readStream.schema(PAGES).parquet(landing)
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        last = batch.where("page_id is not null").withColumn("place", F.monotonically_increasing_id())
-        last = checkpointed(latest(last, ["page_id"], "place").drop("place"))  # of versions in one batch, the one read last
-        parsed = checkpointed(source.bouts(last))
-        bucket = F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int")
-        new = parsed.withColumn("bucket", bucket)
-        touched = new.select("bucket").distinct()
-        try:
-            old = spark.read.parquet(target)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = None
-        if old is not None:
-            new = old.join(touched, "bucket", "left_semi").join(parsed.select("page_id"), "page_id", "left_anti").select(new.columns).unionByName(new)
-        new = checkpointed(new)  # read before its partitions are rewritten
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(target)
-        last.join(parsed.select("page_id"), "page_id", "left_anti").select("page_id", "url").write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-
-    query = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", progress).trigger(availableNow=True).start()
+    def append(batch: DataFrame, number: int) -> None:
+        parsed = source.parsed(versions(batch)).persist()
+        last_readable(parsed).drop("mark", "error", "url").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        unreadable(batch, parsed).write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        parsed.unpersist()
+
+    query = stream.writeStream.foreachBatch(append).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The bouts of each page's last version, of those fetched at one time that of the last batch; an empty frame before the first batch."""
+    try:
+        rows = spark.read.parquet(target)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "page_id long, fetched_at timestamp")
+    last = rows.groupBy("page_id").agg(F.max(F.struct("fetched_at", "batch")).alias("l")).select("page_id", "l.*")
+    return rows.join(last, ["page_id", "fetched_at", "batch"], "left_semi").drop("batch")

@@ -380,17 +380,21 @@ def test_profile_pages(spark):
 
 
 def test_streaming_ingest_is_idempotent(spark, tmp_path):
-    from boutflow.streaming.ingest import ingest
+    from boutflow.streaming.ingest import current, ingest
 
     def land(k, rows):
-        spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/landing/{k}")
+        pages = [(i, "u", html, dt.datetime(2025, 1, day)) for i, html, day in rows]
+        spark.createDataFrame(pages, "page_id long, url string, html string, fetched_at timestamp").write.parquet(f"{tmp_path}/landing/{k}")
         ingest(spark, f"{tmp_path}/landing/*", f"{tmp_path}/bouts", f"{tmp_path}/bad", f"{tmp_path}/progress")
-
-    land(1, [(1, "u", ROW.format(f"{link(1)} defeats {link(2)}")), (2, "u", "nothing")])
-    land(2, [(1, "u", ROW.format(f"{link(1)} defeats {link(3)}")), (3, "u", ROW.format(f"{link(5)} vs. {link(6)}"))])
-    got = {r.page_id: [list(s) for s in r.sides] for r in spark.read.parquet(f"{tmp_path}/bouts").collect()}
-    assert got == {1: [[1], [3]], 3: [[5], [6]]} and spark.read.parquet(f"{tmp_path}/bad").count() == 1
-    land(3, [(3, "u", "nothing any more"), (4, "u", ROW.format(f"{link(7)} defeats {link(8)}"))])  # what page 3 gave before stays
-    got = {r.page_id: [list(s) for s in r.sides] for r in spark.read.parquet(f"{tmp_path}/bouts").collect()}
+        return {r.page_id: [list(s) for s in r.sides] for r in current(spark, f"{tmp_path}/bouts").collect()}
+
+    assert current(spark, f"{tmp_path}/bouts").count() == 0
+    assert land(1, [(1, ROW.format(f"{link(1)} defeats {link(2)}"), 5), (2, "nothing", 5)]) == {1: [[1], [2]]}
+    assert land(2, [(1, ROW.format(f"{link(1)} defeats {link(3)}"), 6), (3, ROW.format(f"{link(5)} vs. {link(6)}"), 5)]) == {1: [[1], [3]], 3: [[5], [6]]}
+    assert spark.read.parquet(f"{tmp_path}/bad").count() == 1
+    # what page 3 gave before stays, and an older version of page 1 that lands later loses
+    got = land(3, [(3, "nothing any more", 7), (4, ROW.format(f"{link(7)} defeats {link(8)}"), 7), (1, ROW.format(f"{link(1)} defeats {link(9)}"), 4)])
     assert got == {1: [[1], [3]], 3: [[5], [6]], 4: [[7], [8]]}
-    assert sorted(r.page_id for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == [2, 3]
+    assert sorted((r.page_id, r.error) for r in spark.read.parquet(f"{tmp_path}/bad").collect()) == [(2, "no row"), (3, "no row")]
+    ingest(spark, f"{tmp_path}/landing/*", f"{tmp_path}/bouts", f"{tmp_path}/bad", f"{tmp_path}/again")  # progress is lost: all comes again as batch 0
+    assert {r.page_id: [list(s) for s in r.sides] for r in current(spark, f"{tmp_path}/bouts").collect()} == got
