@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boutflow.llm.common import SPACES
+from boutflow.llm.common import SPACES, cut_lineage
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX = 256
@@ -63,18 +63,21 @@ def refine(docs: DataFrame, text_col: str = "text", hash_all: bool = False) -> D
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of the normalised text."""
     rows = refine(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", hash_all=True)
-    order = F.struct(-F.col("__chars"), F.col("__id").isNull(), F.col("__id"))
-    groups = rows.where("__full is not null").groupBy("__full").agg(F.count(F.lit(1)).alias("__size"), F.min(order).alias("__best"))
-    groups = groups.select(F.col("__full").alias("__group"), "__size", (-F.col("__best.col1")).alias("__most"), F.col("__best.__id").alias("__keep"))
+    rows = cut_lineage(rows.select("__id", "__chars", "__sha256", "__full"))  # a few bytes a row, so that texts are read no more
+    each = rows.where("__full is not null").groupBy("__full", "__chars", "__id").agg(F.count(F.lit(1)).alias("__n"))
+    order = F.struct((-F.col("__chars")).alias("less"), F.col("__id").isNull().alias("null"), F.col("__id").alias("id"), F.col("__n").alias("n"))
+    groups = each.groupBy(F.col("__full").alias("__group")).agg(F.sum("__n").alias("__size"), F.min(order).alias("__best"))
     joined = rows.join(groups, F.col("__sha256") == F.col("__group"), "left")  # lone rows too have keys of their own
     alone = F.col("__group").isNull()
-    best = ~alone & (F.col("__chars") == F.col("__most")) & F.col("__id").eqNullSafe(F.col("__keep"))
-    # repeats of one id: only the best rows of a group meet here, one from each set of copies but for repeats
-    repeat = F.row_number().over(Window.partitionBy("__sha256", "__id", "__chars").orderBy(F.lit(1)))
-    return joined.withColumn("__repeat", repeat).select(
-        F.col("__id").alias(id_col), F.when(alone, F.col("__id")).otherwise(F.col("__keep")).alias("keep_id"),
-        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), (alone | (best & (F.col("__repeat") == 1))).alias("kept"),
-        F.col("__sha256").alias("text_sha256"),
+    best = ~alone & (F.col("__chars") == -F.col("__best.less")) & F.col("__id").eqNullSafe(F.col("__best.id"))
+    marked = joined.select("*", best.alias("__is_best"), (best & (F.col("__best.n") > 1)).alias("__repeats"))
+    # of a best row that comes several times one stays; no others meet in a window
+    first = F.row_number().over(Window.partitionBy("__sha256").orderBy(F.lit(1))) == 1
+    once = marked.where("not __repeats").withColumn("__kept", alone | F.col("__is_best"))
+    several = marked.where("__repeats").withColumn("__kept", first)
+    return once.unionByName(several).select(
+        F.col("__id").alias(id_col), F.when(alone, F.col("__id")).otherwise(F.col("__best.id")).alias("keep_id"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), F.col("__kept").alias("kept"), F.col("__sha256").alias("text_sha256"),
     )
 
 

@@ -339,6 +339,47 @@ def test_chosen_features_are_those_that_differ_most(spark):
         assert sorted((z[b] for b in got[1, out]), reverse=True) == pytest.approx(best)
 
 
+def test_chain_fit_equals_dense_fit_out_of_fold(spark):
+    """The whole fit over a dense matrix, with the earlier category's probabilities from models that haven't seen the row."""
+    docs, labels, _ = _toxic_frame(spark)
+    chain = toxicity.fit(docs, labels)
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", toxicity.MAX_ROWS)
+    chosen = toxicity.telling(sample, [(0, f) for f in range(-1, toxicity.FOLDS)] + [(1, -1)])
+    rows = sorted(sample.collect(), key=lambda r: (r.id, r.y0, r.y1))
+    place = {b: k for k, b in enumerate(np.unique(np.concatenate(list(chosen.values()))).tolist())}
+    x = np.zeros((len(rows), len(place)))
+    for k, r in enumerate(rows):
+        counts = Counter(toxicity.words(r.text))
+        for w, n in counts.items():
+            for b in toxicity.buckets(w):
+                if b in place:
+                    x[k, place[b]] += np.float32(math.sqrt(n / sum(counts.values())))
+    columns = {m: [place[b] for b in found.tolist()] for m, found in chosen.items()}
+
+    def dense_fit(x, more, y):
+        share = y.mean()
+        w, d, c = np.zeros(x.shape[1]), np.zeros(more.shape[1]), np.array([math.log(share / (1 - share))])
+        state = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, d, c)]
+        for step in range(1, toxicity.STEPS + 1):
+            error = (1 / (1 + np.exp(-(x @ w + more @ d + c))) - y) / len(y)
+            for p, g, (m, v), rate in zip((w, d, c), (x.T @ error + 2e-5 * w, more.T @ error + 2e-4 * d, np.array([error.sum()])), state, (0.5, 0.1, 0.1)):
+                m[:] = 0.9 * m + 0.1 * g
+                v[:] = 0.99 * v + 0.01 * g * g
+                p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        return w, d, float(c[0])
+
+    fold, y0, y1 = (np.array([r[c] for r in rows], float) for c in ("fold", "y0", "y1"))
+    none, earlier = np.zeros((len(rows), 0)), np.zeros(len(rows))
+    for f in range(toxicity.FOLDS):
+        held = fold == f
+        w, _, c = dense_fit(x[~held][:, columns[0, f]], none[~held], y0[~held])
+        earlier[held] = 1 / (1 + np.exp(-(x[held][:, columns[0, f]] @ w + c)))
+    for k, (more, y) in enumerate(((none, y0), (earlier[:, None], y1))):
+        w, d, c = dense_fit(x[:, columns[k, -1]], more, y)
+        assert np.allclose(chain.weights[chosen[k, -1], k], w, atol=0.02) and np.allclose(chain.dense[k], d, atol=0.02) and abs(chain.constants[k] - c) < 0.02
+        assert np.count_nonzero(chain.weights[:, k]) <= len(chosen[k, -1])
+
+
 def test_toxicity_with_repeated_ids(spark):
     docs, labels, _ = _toxic_frame(spark)
     twice = docs.unionByName(docs).unionByName(docs.withColumn("text", F.lit("zzz")))
