@@ -31,7 +31,7 @@ def index(names: DataFrame) -> DataFrame:
 
 def write_index(rows: DataFrame, folder: str, buckets: int = 32) -> None:
     """By bucket of the gram, sorted by it, so that a lookup reads a few row groups of a bucket."""
-    rows.withColumn("bucket", bucket_of("gram", buckets)).repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    rows.withColumn("bucket", bucket_of("gram", buckets)).hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,3 +25,9 @@ class Steps:
         self.n += 1
         df.write.parquet(f"{self.folder}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{self.n}")
+
+
+def is_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a written frame is still there, to its mark of success."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boutflow.operators.organisations import numbered
 from boutflow.shipping import ship
-from boutflow.sources.steps import Steps
+from boutflow.sources.steps import Steps, is_whole
 
 #: Organisations of the cohort, and the country that counts as home.
 COHORT_ORGS = ("BUILDING", "MACHINERY")
@@ -26,7 +26,7 @@ SHORT = [("BUILDING", "BLD"), ("OLD BUILDING", "OLD"), ("MACHINERY", "MCH"), ("F
 #: Ids that are known to have no profile page.
 KNOWN_MISSING = [5, 10, 20, 7777777]
 #: Frames that a session has written, by application, folder of the tables and name.
-_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 class Tables:
@@ -46,9 +46,11 @@ class Tables:
 
     def _once(self, name: str, df: DataFrame) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _WRITTEN:
-            _WRITTEN[key] = Steps(self.spark).save(df)
-        return _WRITTEN[key]
+        if key not in _WRITTEN or not is_whole(self.spark, _WRITTEN[key][0]):  # someone may have cleared the folder
+            steps = Steps(self.spark)
+            frame = steps.save(df)
+            _WRITTEN[key] = f"{steps.folder}/{steps.n}", frame
+        return _WRITTEN[key][1]
 
     @cached_property
     def bouts(self) -> DataFrame:

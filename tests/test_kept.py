@@ -82,6 +82,9 @@ def test_lookup_reads_one_bucket(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert re.search(rf"PartitionFilters: \[.*\(bucket#\d+ = {bucket}\)", plan), plan  # a folded constant: other folders aren't read
     assert store.edges_from(12345).count() == 0
+    # an upsert looks up what its units gave in their buckets
+    plan = store._read("rows", [2, 5])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[.*bucket#\d+ IN \(2,5\)", plan), plan
 
 
 def test_empty_store(spark, tmp_path):

@@ -41,3 +41,16 @@ def test_entry_module_without_text_operators():
     import __spark_entry__ as entry
 
     assert set(SQL) <= set(entry.oracle_sql()) and set(QUERIES) <= set(entry.queries()) and set(SQL) == set(QUERIES)
+
+
+def test_bouts_are_written_again_if_their_folder_goes(spark):
+    import shutil
+
+    from boutflow.sources import tables
+
+    before = tables.Tables(spark, SF).bouts.count()
+    key = (spark.sparkContext.applicationId, SF, "bouts")
+    first = tables._WRITTEN[key][0]
+    assert tables.Tables(spark, SF).bouts is tables._WRITTEN[key][1] and tables._WRITTEN[key][0] == first
+    shutil.rmtree(first.removeprefix("file:"))
+    assert tables.Tables(spark, SF).bouts.count() == before and tables._WRITTEN[key][0] != first
