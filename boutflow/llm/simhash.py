@@ -13,8 +13,9 @@ value at up to 2 bits from it instead: two fingerprints at 4 bits or fewer share
 that share one are at 4 bits or fewer, so one link from each to the smallest under the value keeps the
 components exact, at a cost in proportion to the rows.
 
-Equal fingerprints are collapsed before the index. ``near_copies`` is the form that finds texts by
-the similarity of their shingle sets; see there.
+Equal fingerprints are collapsed before the index. ``near_copies`` is the form that asks for a similarity
+of the shingle sets: links come from the fingerprints by the same index and are verified on the sets, and
+what is similar beyond the index's guarantee is looked up by shingles; see there.
 
 Edge cases: a null or wordless text has fingerprint zero and is linked like any other; null ids take no
 part in choosing a component's id; repeated rows each give a row; other columns are not read;
@@ -249,19 +250,36 @@ def _similar(pairs: DataFrame, rows: DataFrame, sources: DataFrame, shingle: int
     return filter_batches(likely.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b"), make).select("a", "b")
 
 
+def print_pairs(rows: DataFrame, max_bits: int = 4, hot_list: int = HOT_LIST) -> DataFrame:
+    """Pairs ``a`` < ``b`` of keys of ``rows``, whose ``simhash`` differ in at most ``max_bits`` bits, by the index of ``links``.
+
+    Of an equal fingerprint, all keys meet the smallest; of two linked ones, the smallest keys meet.
+    """
+    heads = cut_lineage(rows.groupBy("simhash").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("copies")))
+    equal = rows.select("simhash", "key").join(heads.where("copies > 1"), "simhash").where("key <> head").select(F.col("head").alias("a"), F.col("key").alias("b"))
+    of = lambda x: heads.select(F.col("simhash").alias(x), F.col("head").alias(f"head_{x}"))
+    met = links(heads.select(F.col("simhash").alias("fp")), max_bits, hot_list).join(of("a"), "a").join(of("b"), "b")
+    return equal.unionByName(met.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).distinct())  # a list and a value may give a pair both
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text_col: str = "text") -> DataFrame:
     """Per distinct text of ``docs`` with a near copy: ``sha`` (the SHA-256 of the text) and ``group``.
 
     Texts are linked when the Jaccard similarity of their sets of word shingles is ``similarity`` or more,
-    and the groups are the components of all such links. At 0.8 about a seventh of a SimHash's bits differ,
-    too many for a guarantee over its bytes, so the inverted index is over the shingles themselves: each text
-    is in the lists of its ``prefix``, of which two near copies share one at least. Parities play the part
-    of the fingerprints: a pair has to reach the least agreement of sizes and parity bits that near copies
+    and the groups are the components of all such links. The first links are those of the SimHash fingerprints
+    at 4 bits or fewer, by the byte-position index and its tally (``print_pairs``). A small distance of
+    fingerprints that repeated shingles make alike is no proof, so each pair is verified on the sets.
+
+    At 0.8 about a seventh of a SimHash's bits differ, too many for a guarantee over its bytes. So that no
+    link is lost, an index over the shingles themselves completes the components: each text
+    is in the lists of its ``prefix``, of which two near copies share one at least. A pair
+    has to reach the least agreement of sizes and parity bits that near copies
     are sure to have, first in a short print and then in one as long as the text asks for, and what is left
     is verified on the sets.
 
     A list's members don't all meet. First all meet its head, the member of which most of the prefix is in
-    other texts too: in a group of near copies, the one that is nearest to all. Where members of a list are
+    other texts too: in a group of near copies, the one that is nearest to all; those that the fingerprints linked
+    to it, or to a text that it is linked to, need not. Where members of a list are
     then in different components, these meet, in blocks; two of one component need not, since their link would change nothing.
     """
     sources = docs.select(F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("sha"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -271,9 +289,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
         counts = known.value
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+            sets, majorities = [], np.zeros(batch.num_rows, np.uint64)
+            for k, t in enumerate(batch.column(1).to_pylist()):
+                hashes = shingle_hashes(t, shingle)
+                majorities[k] = majority(hashes[:, None])[0]
+                sets.append(np.unique(hashes))
             longs, prints = pa.list_(pa.int64()), [parity(s, parity_bits(len(s))) for s in sets]
             return {
+                "simhash": pa.array(majorities.view(np.int64)),
                 "n": pa.array([len(s) for s in sets], pa.int32()), "parity": pa.array([p.tobytes() for p in prints], pa.binary()),
                 "fp": pa.array([folded(p, 8 * SHORT).view(np.int64) for p in prints], longs), "lists": pa.array([prefix(s, similarity, counts) for s in sets], longs),
             }
@@ -281,22 +304,31 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, text
         return work
 
     longs = T.ArrayType(T.LongType())
-    wide = cut_lineage(per_batch(sources, make, ["sha"], [("n", T.IntegerType()), ("parity", T.BinaryType()), ("fp", longs), ("lists", longs)]))
+    wide = cut_lineage(per_batch(sources, make, ["sha"], [("simhash", T.LongType()), ("n", T.IntegerType()), ("parity", T.BinaryType()), ("fp", longs), ("lists", longs)]))
     wide = wide.withColumn("key", F.monotonically_increasing_id())  # of written rows, so the same each time
     repeats = cut_lineage(wide.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("first")).where("copies > 1"))
     again = cut_lineage(wide.select("sha", "key").join(_sent(repeats), "sha").where("key <> first").select("key"))
     rows = wide.join(_sent(again), "key", "left_anti")  # one for each text
     info = rows.select("key", "n", "fp", F.size("lists").alias("k"))
 
+    of = lambda x: info.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
+
+    def close(pairs):
+        met = pairs.join(of("a"), F.col("a") == F.col("key_a")).join(of("b"), (F.col("b") == F.col("key_b")) & _may_be_near(similarity))
+        return cut_lineage(met.select("a", "b"))
+
+    printed = cut_lineage(_similar(close(print_pairs(rows)), rows, sources, shingle, similarity))
+    both = printed.union(printed.select("b", "a")).toDF("key", "other")
+    by_print = both.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("hook"))  # two of one hook are in one component
+
     posted = rows.select("key", F.explode("lists").alias("list"))
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     shared = cut_lineage(posted.join(sizes, "list"))
-    own = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met")).join(info.select("key", "k"), "key").select("key", (F.col("k") - F.col("met")).alias("alone"))
-    heads = shared.join(own, "key").groupBy("list").agg(F.min(F.struct("alone", F.xxhash64("list", "key"), "key")).alias("head")).select("list", F.col("head.key").alias("head"))
-    stars = shared.join(heads, "list").where("head <> key").select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
-    of = lambda x: info.select(F.col("key").alias(f"key_{x}"), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
-    close = stars.join(of("a"), F.col("a") == F.col("key_a")).join(of("b"), (F.col("b") == F.col("key_b")) & _may_be_near(similarity)).select("a", "b")
-    linked = cut_lineage(_similar(cut_lineage(close), rows, sources, shingle, similarity))
+    own = shared.groupBy("key").agg(F.count(F.lit(1)).alias("met")).join(info.select("key", "k"), "key").join(by_print, "key", "left")
+    ranked = shared.join(own.select("key", (F.col("k") - F.col("met")).alias("alone"), F.coalesce("hook", "key").alias("hook")), "key")
+    heads = ranked.groupBy("list").agg(F.min(F.struct("alone", F.xxhash64("list", "key"), "key", "hook")).alias("head")).select("list", F.col("head.key").alias("head"), F.col("head.hook").alias("head_hook"))
+    stars = ranked.join(heads, "list").where("head <> key and hook <> head_hook").select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
+    linked = cut_lineage(printed.unionByName(_similar(close(stars), rows, sources, shingle, similarity)))
     group = cut_lineage(components(linked))
 
     placed = shared.where("members > 2").join(group, F.col("key") == F.col("node"), "left").select("list", "members", "key", F.coalesce("component", "key").alias("component"))

@@ -535,6 +535,44 @@ def test_near_copies_finds_every_pair_at_the_threshold(spark):
     assert kept == set(range(605)) - {k + 1 for k in at} - {601, 603}
 
 
+def test_near_copies_come_by_their_fingerprints(spark, monkeypatch):
+    """Without any list of shingles, the pairs within 4 bits are found by the fingerprints' index, and verified on the sets."""
+    monkeypatch.setattr(simhash, "prefix", lambda shingles, similarity, counts: np.zeros(0, np.int64))
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(20):
+        ws = [f"a{i}w{k}" for k in range(int(rng.integers(200, 500)))]
+        texts += [" ".join(ws), " ".join([*ws, f"b{i}"]), " ".join([f"c{i}", *ws[1:]])]
+    repeated = "x y z " * 200  # alike in the fingerprint, unlike in the set
+    texts += [repeated + " ".join(f"d{i}w{k}" for k in range(40)) for i in range(3)]
+    prints = [_fingerprint(t, 5) for t in texts]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(a, b) for a in range(63) for b in range(a + 1, 63) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    near = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 20 and (60, 61) in pairs and (60, 61) not in near
+    at = {sha(t): k for k, t in enumerate(texts)}
+    got = {}
+    for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.group, set()).add(at[r.sha.hex()])
+    want = {}
+    for k, g in _groups(range(63), near).items():
+        want.setdefault(g, set()).add(k)
+    assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+
+
+@pytest.mark.parametrize("hot_list", [256, 3])
+def test_print_pairs(spark, hot_list):
+    rng = np.random.default_rng(22)
+    centres = [int(x) for x in rng.integers(1 << 62, size=6)]
+    prints = [c ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 3), replace=False)) for c in centres for _ in range(8)]
+    prints += [centres[0]] * 3 + [0, 0, (1 << 64) - 1]
+    frame = spark.createDataFrame([(k, simhash._signed(p)) for k, p in enumerate(prints)], "key long, simhash long")
+    got = [(r.a, r.b) for r in simhash.print_pairs(frame, hot_list=hot_list).collect()]
+    near = [(a, b) for a in range(len(prints)) for b in range(a + 1, len(prints)) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert set(got) <= set(near) and len(got) == len(set(got))
+    assert _groups(range(len(prints)), got) == _groups(range(len(prints)), near)
+
+
 # 9
 
 
