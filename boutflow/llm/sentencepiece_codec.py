@@ -28,6 +28,8 @@ from boutflow.llm.common import per_batch, texts
 
 #: Distinct chunks that a task holds at once.
 MAX_CHUNKS = 100_000
+#: The same where rows are kept whole (``encode_texts``): beside the table, the task then holds texts, ids and decoded texts.
+MAX_CHUNKS_WHOLE = 32_768
 #: Chunks longer than this are segmented but not held.
 MAX_HELD_CHARS = 64
 MARKER = "▁"
@@ -36,9 +38,11 @@ MARKER = "▁"
 class Codec:
     """Encodes and decodes whole texts exactly as the library does, through distinct chunks."""
 
-    def __init__(self, model_path: str):
+    def __init__(self, model_path: str, max_chunks: int | None = None):
         import sentencepiece
 
+        self.max_chunks = MAX_CHUNKS if max_chunks is None else max_chunks
+
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not (self.model.is_control(i) or self.model.is_byte(i) or self.model.is_unknown(i))]
         self.marker_id = self.model.piece_to_id(MARKER)
@@ -61,7 +65,7 @@ class Codec:
         # decode() drops one leading space of what it is given, so each chunk is decoded after a marker
         decoded = self.model.decode([[self.marker_id, *x] for x in ids], num_threads=1) if ids else []
         for c, x, d in zip([*marked, *other, *lone], ids, decoded, strict=True):
-            self.table[c] = (" ".join(map(str, x)), d)
+            self.table[c] = (" ".join(map(str, x)), c if c == d else d)  # mostly equal: held once
 
     def run(self, text: str) -> tuple[list[str], list[str]]:
         """The text's ids by chunk, as text, and its decoded text by chunk."""
@@ -70,7 +74,7 @@ class Codec:
         chunks = self.chunk.findall(" " + text.replace(MARKER, " "))
         table = self.table
         if new := list({c for c in chunks if c not in table}):
-            if len(table) + len(new) > MAX_CHUNKS:
+            if len(table) + len(new) > self.max_chunks:
                 table.clear()
                 new = list(set(chunks))
             self._segment(new)
@@ -100,7 +104,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
     """Per row of ``docs``: ``keep`` (the id column), ``token_ids`` (ints, the end id last) and ``decoded``."""
 
     def make():
-        codec = Codec(model_path)
+        codec = Codec(model_path, MAX_CHUNKS_WHOLE)
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
             out = [codec.both(t) for t in texts(batch, text_col)]

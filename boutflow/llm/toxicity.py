@@ -244,10 +244,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     flat = lambda c: pc.list_flatten(got[c]).to_numpy()
     row = np.repeat(np.arange(len(got), dtype=np.int32), pc.list_value_length(got["at"]).to_numpy())
     rows, fold = Rows(row, flat("at"), flat("value"), np.zeros((len(got), 0))), got["fold"].to_numpy()
+    labels_of = [got[f"y{k}"].to_numpy().astype(float) for k in range(len(names))]
+    del got
+    pa.default_memory_pool().release_unused()  # the driver needs the flat arrays only
     mask = lambda m: np.isin(at, chosen[m])
     out = []
     for k in range(len(names)):
-        y = got[f"y{k}"].to_numpy().astype(float)
+        y = labels_of[k]
         out.append(Linear(rows.where(mask((k, -1))), y, len(at)))
         if k < last:
             earlier = np.zeros(len(y))
