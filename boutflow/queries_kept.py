@@ -65,19 +65,25 @@ def edges_of_one(t: Tables) -> DataFrame:
     return both.select("direction", "src", "dst", "year", "n_bouts")
 
 
+def _in_large_files(df: DataFrame, folder: str) -> None:
+    """Appends ``df`` in as many files as tasks run at once, each with several row groups: few micro-batches, whose tasks share a file."""
+    df.coalesce(df.sparkSession.sparkContext.defaultParallelism).write.option("parquet.block.size", 4 << 20).mode("append").parquet(folder)
+
+
 def _landed(t: Tables) -> str:
     """Pages that land in three lots: all of them; newer versions of every third with another country; old ones of every fifth and unreadable ones."""
     folder, html = _folder(t, "landing"), F.col("html")
-    page = t.bout_pages.select("page_id", "url", "html", F.lit(AS_OF).cast("timestamp").alias("at"))
-    days = lambda n: F.col("at") + F.make_dt_interval(F.lit(n))
+    days = lambda n: F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(F.lit(n))
     elsewhere = lambda place: F.regexp_replace(html, r", City, [^<]*\.</div>", f", City, {place}.</div>")
+    made = t.bout_pages.select("page_id", "url", "html", F.when(F.col("page_id") % 5 == 0, days(2)).otherwise(days(1)).alias("fetched_at"))
+    _in_large_files(made, folder)
+    page = t.spark.read.schema(made.schema).parquet(folder)  # the first lot, whose files are listed here; the others are made of it
     lots = [
-        page.select("page_id", "url", "html", F.when(F.col("page_id") % 5 == 0, days(2)).otherwise(days(1)).alias("fetched_at")),
         page.where("page_id % 3 = 0").select("page_id", "url", elsewhere("Elsewhere").alias("html"), days(3).alias("fetched_at")),
         page.where("page_id % 5 = 0 or page_id % 7 = 1").select("page_id", "url", F.when(F.col("page_id") % 5 == 0, elsewhere("Nowhere")).otherwise("gone").alias("html"), F.when(F.col("page_id") % 5 == 0, days(0)).otherwise(days(9)).alias("fetched_at")),
     ]
     for lot in lots:
-        lot.write.mode("append").parquet(folder)
+        _in_large_files(lot, folder)
     return folder
 
 

@@ -42,3 +42,37 @@ def test_an_upsert_reads_the_edges_it_wrote(spark, tmp_path, monkeypatch):
     store.apply(0, rows_of(spark, [(1, 2020, 10, "A", "X", [1, 2], ["n"]), (None, 2020, 10, "A", "X", [1, 2], ["n"])]))
     assert len(calls) == 1 and store.rows().count() == 1  # a row without its unit isn't stored
     assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(store._read("edges_out")._jdf).isDefined()
+
+
+def test_landing_files_follow_the_cores_and_not_the_rows(spark):
+    from boutflow import queries_kept
+
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if each partition were large
+    try:
+        files = spark.read.parquet(queries_kept._landed(Tables(spark, SF))).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(files) <= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_copies_of_a_version_count_once(spark, tmp_path):
+    page = (1, "u", ROW.format(f"{person(1)} defeats {person(2)}", "X"), dt.datetime(2025, 1, 1))
+    for _ in range(2):
+        spark.createDataFrame([page, page, (2, "u", "gone", dt.datetime(2025, 1, 1)), (2, "u", "gone", dt.datetime(2025, 1, 1))], maintain.PAGES).write.mode("append").parquet(str(tmp_path / "landing"))
+    kept = maintain.store_of(spark, str(tmp_path / "kept"), 4)
+    maintain.maintain(spark, str(tmp_path / "landing"), kept, str(tmp_path / "bad"), str(tmp_path / "progress"))
+    assert [(r.n_bouts, r.opponents) for r in kept.rollup().orderBy("competitor_id").collect()] == [(1, "2"), (1, "1")] and spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+def test_links_of_odd_markup(spark):
+    cards = {
+        '<a class="x" href="?id=2&nr=5">Bob</a> vs. <a href="?id=2&amp;nr=6">Al</a>': ([[5], [6]], False), '<a href="?x=1&amp;id=2&nr=7">A</a> defeats <a href="/nr=3?id=28&nr=9">T</a> (<a href="?id=2&nr=8">B</a> and <a href="?id=2&nr=4">C</a>)': ([[7], [4, 8]], True),
+        '<a href="?id=8&nr=1">Org</a> &amp; <a href="?id=2">No number</a>': ([[-1]], False), " Tom  \t& &quot;Jim&quot; vs. ( Al ) and <b>": ([[-1], [-1]], False), "": ([], False),
+    }
+    rows = spark.createDataFrame([(c,) for c in cards], "card string").select("card", pages.fold_sides(pages.tokens(F.col("card"))).alias("s"))
+    got = {r.card: (r.s.sides, r.s.is_victory) for r in rows.collect()}
+    assert got == cards
+    kinds = spark.createDataFrame([(next(iter(cards)),)], "card string").select(pages.tokens(F.col("card")).alias("t")).first().t
+    assert [(k.kind, k.id) for k in kinds] == [("competitor", 5), ("versus", None), ("competitor", 6)]
