@@ -76,3 +76,17 @@ def test_links_of_odd_markup(spark):
     assert got == cards
     kinds = spark.createDataFrame([(next(iter(cards)),)], "card string").select(pages.tokens(F.col("card")).alias("t")).first().t
     assert [(k.kind, k.id) for k in kinds] == [("competitor", 5), ("versus", None), ("competitor", 6)]
+
+
+def saves(monkeypatch):
+    found, save = [], steps.Steps.save
+    monkeypatch.setattr(steps.Steps, "save", lambda self, df: found.append(df.columns) or save(self, df))
+    return found
+
+
+def test_feature_vectors_are_made_once(spark, monkeypatch):
+    t = Tables(spark, SF)
+    assert t.bouts.count() and t.listings.count()
+    found = saves(monkeypatch)
+    df = queries.QUERIES["feature_summary"](spark, SF)
+    assert [c for c in found if "subject_id" in c] and "bout_id" not in df._jdf.queryExecution().optimizedPlan().toString()
