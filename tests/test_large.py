@@ -90,3 +90,13 @@ def test_feature_vectors_are_made_once(spark, monkeypatch):
     found = saves(monkeypatch)
     df = queries.QUERIES["feature_summary"](spark, SF)
     assert [c for c in found if "subject_id" in c] and "bout_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_reparse_report_reads_its_parse_once(spark, monkeypatch):
+    html = [ROW.format(f"{person(1)} defeats {person(2)}", "X"), "gone", None]
+    parsed = pages.parsed(spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string"))
+    old = spark.createDataFrame([(0, 1, None), (1, 3, [[1], [2]]), (2, None, None), (7, 2, [[1], [2]])], "bout_id long, version int, sides array<array<long>>")
+    found = saves(monkeypatch)
+    df = audit.reparse_report(old, parsed)
+    assert len(found) == 1 and "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.kind: (r.n, r.examples) for r in df.collect()} == {"all": (4, "0,1,2"), "reparsed": (1, "0"), "parse_error": (3, "1,2,7"), "missing_sides": (2, "0,2"), "newly_multi_sided": (0, ""), "side_differences": (0, ""), "version 1 to 3": (1, "0")}
